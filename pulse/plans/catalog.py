@@ -230,3 +230,201 @@ def acceptance(spark, sf):
     a = fx.labelled(spark, sf).where(F.col("tweet_id") % 2 == 0)
     b = fx.labelled(spark, sf).where(F.col("tweet_id") % 2 == 1)
     return dq.acceptance(a, b).select("criterion", r6("result").alias("result"), "limit", "passed")
+
+
+# ------------------------------------------------------ sources and sinks ---
+
+from pulse.operators import schema as sc  # noqa: E402
+from pulse.session import shared_path  # noqa: E402
+from pulse.sources import files as io  # noqa: E402
+from pulse.streaming import jobs as sj  # noqa: E402
+from pulse.streaming import messages as sm  # noqa: E402
+from pulse.streaming.windows import as_wall_clock, minute_counts as _minute_counts  # noqa: E402
+
+BATCH_COLUMNS = ["tweet_id", "entity", "sentiment", "tweet_content", "tweet_content_cleaned"]
+
+
+def simulator_rows(spark, sf):
+    """stream_events in the simulator's record layout (contract B)."""
+    se = fx.stream_events(spark, sf)
+    return se.select(F.col("tweet_id").alias("Tweet ID"), F.col("entity").alias("Entity"),
+                     F.col("sentiment").alias("Sentiment"), F.col("tweet_content").alias("Tweet content"),
+                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+
+
+@query
+def roundtrip_parquet(spark, sf):
+    path = shared_path(spark, "batch_tweets")
+    io.write_parquet(cleaned(spark, sf).select(*BATCH_COLUMNS), path)
+    return io.read_parquet(spark, path)
+
+
+@query
+def roundtrip_csv(spark, sf):
+    path = shared_path(spark, "raw_tweets_csv")
+    io.write_csv(fx.raw_tweets(spark, sf), path)
+    return io.read_tweets_csv(spark, path, header=True)
+
+
+@query
+def roundtrip_json(spark, sf):
+    path = shared_path(spark, "synth_json")
+    io.write_json(simulator_rows(spark, sf), path)
+    back = io.read_tweets_json(spark, path, multi_line=False)
+    return as_wall_clock(back, ["event_time"])
+
+
+@query
+def encode_json(spark, sf):
+    rows = simulator_rows(spark, sf)
+    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    return rows.select(F.col("Tweet ID").alias("tweet_id"), value.alias("value"))
+
+
+@query
+def bounded_sample(spark, sf):
+    return io.bounded_sample(cleaned(spark, sf).select(*BATCH_COLUMNS), 1000, ["tweet_id"])
+
+
+# ---------------------------------------------------------------- schema ---
+
+@query
+def project_rename(spark, sf):
+    return sc.canonical(fx.raw_tweets(spark, sf))
+
+
+@query
+def schema_by_name(spark, sf):
+    t = fx.tweets(spark, sf).select(F.col("tweet_id").alias("id"), F.col("entity").alias(" Brand"),
+                                    F.col("sentiment").alias("polarity"), F.col("tweet_content").alias("text "),
+                                    F.col("lang").alias("language"))
+    return sc.infer_by_name(t)
+
+
+def headerless(spark, sf):
+    """tweets as a headerless CSV would read: _c0.._c4, all strings."""
+    t = fx.tweets(spark, sf).select("tweet_id", "entity", "sentiment", "tweet_content", "lang")
+    return sc.as_text(t.toDF(*[f"_c{i}" for i in range(5)]), [f"_c{i}" for i in range(5)])
+
+
+@query
+def schema_by_content(spark, sf):
+    m = sc.content_metrics(headerless(spark, sf))
+    roles = sc.choose_roles([r.asDict() for r in m.collect()])  # one row per column
+    role_of = F.create_map(*[x for dst, src in roles.items() for x in (F.lit(src), F.lit(dst))])
+    return m.select("position", "column", r6("digit_share").alias("digit_share"),
+                    r6("label_share").alias("label_share"), r6("mean_len").alias("mean_len"),
+                    "n_distinct", "rows", F.try_element_at(role_of, F.col("column")).alias("role"))
+
+
+# ------------------------------------------------------------- streaming ---
+
+@query
+def decode_json(spark, sf):
+    d = sm.decode_messages(fx.messages(spark, sf))
+    return as_wall_clock(d, ["event_time"])
+
+
+@query
+def minute_counts(spark, sf):
+    return as_wall_clock(_minute_counts(fx.stream_events(spark, sf), "ts"), ["w_start", "w_end"])
+
+
+@query
+def stream_minute_counts(spark, sf):
+    """The streaming job end to end: a file stream of events stands in for the
+    topic, values are encoded and decoded, counted per minute and class with
+    a 10-minute watermark, appended to Parquet with a checkpoint; the query
+    drains what is there (availableNow) and the sink is read back."""
+    events_schema = fx.table(spark, sf, "events").schema
+    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet")
+    counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
+    out, ck = shared_path(spark, "minute_counts"), shared_path(spark, "minute_counts_ckpt")
+    q = sj.stream_to_parquet(counts, out, ck, {"availableNow": True})
+    q.awaitTermination()
+    return as_wall_clock(spark.read.parquet(out), ["w_start", "w_end"])
+
+
+# ---------------------------------------------------- augment, resample ---
+
+from pulse.operators import augment as au  # noqa: E402
+from pulse.operators import resample as sa  # noqa: E402
+
+SEED = 42
+# Synonyms over words the driver's prose does contain (the reference's
+# English keys occur in none of its documents).
+QUERY_SYNONYMS = {"the": ["a", "this", "that"], "and": ["plus", "with"]}
+BASE_TIME = 1704067200.0
+
+
+def _augment_one(spark, sf, step: str, p: float):
+    t = fx.tweets(spark, sf)
+    kw = {"p_syn": p, "p_swap": p, "p_typo": p}
+    a = au.augment_words(t, "tweet_content", "tweet_id", SEED, 0, QUERY_SYNONYMS, steps=(step,), **kw)
+    return a.select("tweet_id", "augmented")
+
+
+@query
+def augment_synonyms(spark, sf):
+    return _augment_one(spark, sf, "syn", au.P_SYNONYM)
+
+
+@query
+def augment_swap(spark, sf):
+    return _augment_one(spark, sf, "swap", au.P_SWAP)
+
+
+@query
+def augment_typo(spark, sf):
+    return _augment_one(spark, sf, "typo", au.P_TYPO)
+
+
+@query
+def augment_table(spark, sf):
+    return au.augment(fx.labelled(spark, sf), 3, SEED, BASE_TIME, mapping=QUERY_SYNONYMS)
+
+
+@query
+def resample_uniform(spark, sf):
+    return sa.resample(fx.labelled(spark, sf), 2.0, SEED).select("tweet_id", "entity", "sentiment")
+
+
+@query
+def resample_to_profile(spark, sf):
+    lab = fx.labelled(spark, sf)
+    n = lab.agg(F.count(F.lit(1))).scalar()
+    return sa.resample_to_profile(lab, "sentiment", sa.REFERENCE_PROFILE, n, SEED, "tweet_id") \
+        .select("tweet_id", "sentiment")
+
+
+# -------------------------------------------------------------- measures ---
+
+from pulse.operators import measures as ms  # noqa: E402
+
+
+@query
+def mean_sentiment(spark, sf):
+    m = ms.mean_sentiment(fx.tweets(spark, sf), "entity")
+    return m.select("entity", "n", r6("mean_score").alias("mean_score"))
+
+
+@query
+def mention_volume(spark, sf):
+    v = ms.mention_volume(fx.stream_events(spark, sf), "ts", "entity", "1 day")
+    return as_wall_clock(v, ["w_start", "w_end"])
+
+
+@query
+def hashtag_trend(spark, sf):
+    ev = fx.stream_events(spark, sf)
+    tags = ev.select(F.concat(F.lit("#"), F.col("sentiment")).alias("text"), "ts")
+    return as_wall_clock(ms.hashtag_trend(tags, "text", "ts", "1 day"), ["w_start"])
+
+
+@query
+def opinion_by_region(spark, sf):
+    ev = fx.table(spark, sf, "events").select("user_id", fx.event_class("event_type").alias("sentiment"))
+    o = ms.opinion_by_region(ev, fx.region_dimension(spark, sf), "user_id", "sentiment",
+                             ["Positive", "Negative", "Neutral"])
+    return o.select("r_name", "n", *[r6(c).alias(c) for c in
+                                     ["share_positive", "share_negative", "share_neutral", "mean_score"]])

@@ -256,3 +256,228 @@ SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS pass
   UNION ALL
   SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT
            + (tweet_content IS NULL)::BIGINT + (lang IS NULL)::BIGINT)::DOUBLE, 0.0 FROM lb)"""
+
+
+# ------------------------------------------------------ sources and sinks ---
+
+_BATCH = "tweet_id, entity, sentiment, tweet_content, tweet_content_cleaned"
+ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
+
+O["roundtrip_parquet"] = with_(CLEANED) + f"\nSELECT {_BATCH} FROM cleaned"
+
+O["roundtrip_csv"] = with_(TWEETS) + "\nSELECT tweet_id, entity, sentiment, tweet_content FROM tweets"
+
+O["roundtrip_json"] = """
+SELECT event_id AS tweet_id, CAST(user_id AS VARCHAR) AS entity, event_type AS sentiment,
+       props AS tweet_content, ts AS event_time
+FROM events"""
+
+O["encode_json"] = f"""
+SELECT event_id AS tweet_id,
+       to_json(struct_pack("Tweet ID" := event_id, "Entity" := CAST(user_id AS VARCHAR),
+                           "Sentiment" := event_type, "Tweet content" := props,
+                           "timestamp" := {ISO}))::VARCHAR AS value
+FROM events"""
+
+O["bounded_sample"] = with_(CLEANED) + f"\nSELECT {_BATCH} FROM cleaned ORDER BY tweet_id LIMIT 1000"
+
+# ---------------------------------------------------------------- schema ---
+
+O["project_rename"] = with_(TWEETS) + "\nSELECT tweet_id, entity, sentiment, tweet_content FROM tweets"
+
+O["schema_by_name"] = with_(TWEETS) + """
+SELECT tweet_id AS "Tweet ID", entity AS "Entity", sentiment AS "Sentiment",
+       tweet_content AS "Tweet content", lang AS language FROM tweets"""
+
+_METRICS = TWEETS + """,
+h AS (SELECT CAST(tweet_id AS VARCHAR) AS c0, entity AS c1, sentiment AS c2, tweet_content AS c3, lang AS c4
+      FROM tweets),
+cells AS (
+  SELECT pos, coalesce(v, '') AS v FROM (
+    SELECT unnest([0, 1, 2, 3, 4]) AS pos, unnest([c0, c1, c2, c3, c4]) AS v FROM h)),
+m AS (
+  SELECT pos AS position, '_c' || pos AS "column",
+         avg(regexp_full_match(v, '[0-9]+')::DOUBLE) AS digit_share,
+         avg((lower(v) IN ('positive', 'negative', 'neutral', 'irrelevant', 'pos', 'neg', 'neu'))::DOUBLE)
+           AS label_share,
+         avg(length(v)::DOUBLE) AS mean_len, count(DISTINCT v) AS n_distinct,
+         (SELECT count(*) FROM h) AS rows
+  FROM cells GROUP BY pos),
+id_col AS (SELECT min(position) AS p FROM m WHERE digit_share > 0.9),
+sent_col AS (SELECT position AS p FROM m WHERE label_share >= 0.05
+             AND label_share = (SELECT max(label_share) FROM m) ORDER BY position LIMIT 1),
+text_col AS (SELECT position AS p FROM m ORDER BY mean_len DESC, position LIMIT 1),
+ent_col AS (SELECT position AS p FROM m
+            WHERE position IS DISTINCT FROM (SELECT p FROM id_col)
+              AND position IS DISTINCT FROM (SELECT p FROM sent_col)
+              AND position IS DISTINCT FROM (SELECT p FROM text_col)
+              AND n_distinct > 1 AND n_distinct < greatest(5000, rows // 2) AND mean_len < 40
+            ORDER BY abs(n_distinct - 50), position LIMIT 1)"""
+
+O["schema_by_content"] = with_(_METRICS) + """
+SELECT position, "column", round(digit_share, 6) AS digit_share, round(label_share, 6) AS label_share,
+       round(mean_len, 6) AS mean_len, n_distinct, rows,
+       CASE WHEN position = (SELECT p FROM ent_col) THEN 'Entity'
+            WHEN position = (SELECT p FROM text_col) THEN 'Tweet content'
+            WHEN position = (SELECT p FROM sent_col) THEN 'Sentiment'
+            WHEN position = (SELECT p FROM id_col) THEN 'Tweet ID' END AS role
+FROM m"""
+
+# ------------------------------------------------------------- streaming ---
+
+O["decode_json"] = """
+SELECT CASE WHEN bad THEN NULL ELSE CAST(event_id AS VARCHAR) END AS tweet_id,
+       CASE WHEN NOT bad AND event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS original_tweet_id,
+       CASE WHEN bad THEN NULL ELSE CAST(user_id AS VARCHAR) END AS entity,
+       CASE WHEN bad THEN NULL ELSE event_type END AS sentiment,
+       CASE WHEN bad THEN NULL ELSE props END AS tweet_content,
+       CASE WHEN bad THEN NULL ELSE ts END AS event_time,
+       CASE WHEN bad THEN NULL WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS contract,
+       bad OR event_type IS NULL OR ts IS NULL AS rejected
+FROM (SELECT *, event_id % 100 = 0 AS bad FROM events)"""
+
+O["minute_counts"] = """
+SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' AS w_end,
+       event_type AS sentiment, count(*) AS count
+FROM events GROUP BY ALL"""
+
+O["stream_minute_counts"] = """
+WITH ok AS (SELECT event_type AS sentiment, ts FROM events WHERE event_id % 100 <> 0),
+c AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, sentiment, count(*) AS count FROM ok GROUP BY ALL)
+SELECT w_start, w_start + INTERVAL '1 minute' AS w_end, sentiment, count FROM c
+WHERE w_start + INTERVAL '1 minute' <= (SELECT max(ts) FROM ok) - INTERVAL '10 minutes'"""
+
+# ---------------------------------------------------- augment, resample ---
+
+
+def u_sql(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def pick_sql(n: str, *parts: str) -> str:
+    return f"floor({u_sql(*parts)} * ({n}))::INTEGER"
+
+
+def words_sql(c: str) -> str:
+    return f"list_filter(string_split_regex({c}, {_q('[' + PY_SPACE + ']+')}), lambda x: x <> '')"
+
+
+def syn_case(x: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {_q(k)} THEN [{', '.join(_q(s) for s in v)}]" for k, v in mapping.items())
+    return f"(CASE {x} {whens} END)"
+
+
+def syn_step(w: str, mapping: dict, p: float, seed: int, row: str, copy: str) -> str:
+    s = syn_case("x", mapping)
+    return (f"list_transform({w}, lambda x, i: CASE WHEN {s} IS NOT NULL AND "
+            f"{u_sql(_q(str(seed)), row, copy, 'i - 1', _q('syn'))} < {p}::DOUBLE "
+            f"THEN {s}[{pick_sql(f'len({s})', _q(str(seed)), row, copy, 'i - 1', _q('syn_pick'))} + 1] "
+            f"ELSE x END)")
+
+
+def swap_cte(name: str, src: str, p: float, seed: int, row: str, copy: str) -> str:
+    sd = _q(str(seed))
+    return f"""
+{name}_ij AS (
+  SELECT *, {pick_sql('len(w)', sd, row, copy, _q('swap_i'))} AS si,
+         {pick_sql('len(w) - 1', sd, row, copy, _q('swap_j'))} AS sj0,
+         len(w) >= 6 AND {u_sql(sd, row, copy, _q('swap'))} < {p}::DOUBLE AS sdo
+  FROM {src}),
+{name} AS (
+  SELECT * EXCLUDE (w, si, sj0, sdo, sj),
+         CASE WHEN sdo THEN list_transform(w, lambda x, k: CASE WHEN k - 1 = si THEN w[sj + 1]
+                                                      WHEN k - 1 = sj THEN w[si + 1] ELSE x END)
+              ELSE w END AS w
+  FROM (SELECT *, CASE WHEN sj0 >= si THEN sj0 + 1 ELSE sj0 END AS sj FROM {name}_ij))"""
+
+
+def typo_cte(name: str, src: str, p: float, seed: int, row: str, copy: str) -> str:
+    sd = _q(str(seed))
+    return f"""
+{name}_i AS (
+  SELECT *, {pick_sql('len(w)', sd, row, copy, _q('typo_i'))} AS ti,
+         len(w) > 0 AND {u_sql(sd, row, copy, _q('typo'))} < {p}::DOUBLE AS tdo
+  FROM {src}),
+{name}_w AS (
+  SELECT *, w[ti + 1] AS tw,
+         {pick_sql('length(w[ti + 1])', sd, row, copy, _q('typo_pos'))} AS tpos,
+         substr('abcdefghijklmnopqrstuvwxyz', {pick_sql('26', sd, row, copy, _q('typo_ch'))} + 1, 1) AS tch
+  FROM {name}_i),
+{name} AS (
+  SELECT * EXCLUDE (w, ti, tdo, tw, tpos, tch),
+         CASE WHEN tdo AND length(tw) >= 3
+              THEN list_transform(w, lambda x, k: CASE WHEN k - 1 = ti
+                     THEN substr(tw, 1, tpos) || tch || substr(tw, tpos + 2) ELSE x END)
+              ELSE w END AS w
+  FROM {name}_w)"""
+
+
+_SEED = 42
+_QSYN = {"the": ["a", "this", "that"], "and": ["plus", "with"]}
+
+_AUG_BASE = TWEETS + f""",
+a0 AS (SELECT tweet_id, 0 AS cp, {words_sql('tweet_content')} AS w FROM tweets)"""
+
+O["augment_synonyms"] = with_(_AUG_BASE) + f"""
+SELECT tweet_id, array_to_string({syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'cp')}, ' ') AS augmented FROM a0"""
+
+O["augment_swap"] = with_(_AUG_BASE, swap_cte("a1", "a0", 0.1, _SEED, "tweet_id", "cp")) + """
+SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
+
+O["augment_typo"] = with_(_AUG_BASE, typo_cte("a1", "a0", 0.05, _SEED, "tweet_id", "cp")) + """
+SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
+
+O["augment_table"] = with_(LABELLED + f""",
+b0 AS (SELECT tweet_id, entity, sentiment, c AS copy, {words_sql('tweet_content')} AS w
+       FROM labelled, (SELECT unnest([1, 2, 3]) AS c)),
+b1 AS (SELECT * EXCLUDE (w), {syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'copy')} AS w FROM b0)""",
+                           swap_cte("b2", "b1", 0.1, _SEED, "tweet_id", "copy"),
+                           typo_cte("b3", "b2", 0.05, _SEED, "tweet_id", "copy")) + f"""
+SELECT md5(concat_ws('|', '{_SEED}', tweet_id, copy)) AS tweet_id, CAST(tweet_id AS VARCHAR) AS original_tweet_id,
+       copy, entity, sentiment, array_to_string(w, ' ') AS tweet_content, 1704067200.0::DOUBLE AS timestamp
+FROM b3"""
+
+O["resample_to_profile"] = with_(LABELLED + """,
+tgt AS (SELECT * FROM (VALUES ('Negative', 0.3018::DOUBLE), ('Positive', 0.2789::DOUBLE),
+                              ('Neutral', 0.2453::DOUBLE), ('Irrelevant', 0.1739::DOUBLE)) t(sentiment, share))""") + f"""
+SELECT tweet_id, sentiment FROM (
+  SELECT tweet_id, sentiment,
+         row_number() OVER (PARTITION BY sentiment ORDER BY {u_sql(_q(str(_SEED)), 'tweet_id', _q('profile'))}, tweet_id) AS r
+  FROM labelled) JOIN tgt USING (sentiment)
+WHERE r <= floor(share * (SELECT count(*) FROM labelled))"""
+
+# -------------------------------------------------------------- measures ---
+
+_SCORE = "CASE WHEN {c} = 'Positive' THEN 1.0 WHEN {c} = 'Negative' THEN -1.0 ELSE 0.0 END"
+
+O["mean_sentiment"] = with_(TWEETS) + f"""
+SELECT entity, count(*) AS n, round(avg({_SCORE.format(c='sentiment')}), 6) AS mean_score
+FROM tweets WHERE sentiment IS NOT NULL GROUP BY entity"""
+
+O["mention_volume"] = """
+SELECT time_bucket(INTERVAL '1 day', ts) AS w_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS w_end,
+       CAST(user_id AS VARCHAR) AS entity, count(*) AS mentions
+FROM events GROUP BY ALL"""
+
+O["hashtag_trend"] = """
+SELECT w_start, hashtag, n, lag(n) OVER (PARTITION BY hashtag ORDER BY w_start) AS prev_n,
+       n - lag(n) OVER (PARTITION BY hashtag ORDER BY w_start) AS change
+FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS w_start, lower('#' || event_type) AS hashtag, count(*) AS n
+      FROM events GROUP BY ALL)"""
+
+_EV_CLASS = """CASE WHEN event_type = 'error' THEN 'Negative'
+     WHEN event_type IN ('purchase', 'signup') THEN 'Positive'
+     WHEN event_type IN ('click', 'view') THEN 'Neutral' END"""
+
+O["opinion_by_region"] = f"""
+SELECT r_name, count(*) AS n,
+       round(avg((cls = 'Positive')::DOUBLE), 6) AS share_positive,
+       round(avg((cls = 'Negative')::DOUBLE), 6) AS share_negative,
+       round(avg((cls = 'Neutral')::DOUBLE), 6) AS share_neutral,
+       round(avg({_SCORE.format(c='cls')}), 6) AS mean_score
+FROM (SELECT e.user_id, {_EV_CLASS} AS cls FROM events e) ev
+JOIN customer c ON ev.user_id = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE cls IS NOT NULL
+GROUP BY r_name"""

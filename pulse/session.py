@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # the deploy config wins, since getOrCreate() keeps an existing session's values.
 DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -94,7 +94,7 @@ def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         F.col("tweet_id").cast("string").alias("tweet_id"),
         F.col("tweet_id").cast("string").alias("original_tweet_id"),
         F.col("entity"), F.col("sentiment"), F.col("tweet_content"),
-        F.unix_micros("ts").cast("double").__truediv__(F.lit(1e6)).alias("timestamp")))
+        (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp")))
     b = F.to_json(F.struct(
         F.col("tweet_id").alias("Tweet ID"), F.col("entity").alias("Entity"),
         F.col("sentiment").alias("Sentiment"), F.col("tweet_content").alias("Tweet content"),
