@@ -71,7 +71,7 @@ def hashtags(c) -> Column:
 
 def words(c) -> Column:
     """Split on white space as Python's str.split() does (no empty words)."""
-    return F.filter(F.split(_col(c), f"[{PY_SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(_col(c), f"[{PY_SPACE}]+"), "")
 
 
 def text_length(c) -> Column:

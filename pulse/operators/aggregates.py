@@ -84,3 +84,24 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def corpus_profile(df: DataFrame, text: str = "tweet_content", cls: str = "sentiment",
+                   entity: str = "entity", n_words: int = 30) -> DataFrame:
+    """The generator's profile of a corpus as one long table
+    (section, key, value): row total, class and entity shares, length
+    statistics and the top words with their counts. The branches read the
+    same input; Spark reuses a shared exchange rather than recomputing it."""
+    from pulse.operators.words import top_words
+
+    total = df.agg(F.count(F.lit(1)).cast("double").alias("value")) \
+        .select(F.lit("total").alias("section"), F.lit("rows").alias("key"), "value")
+    sent = shares(df, cls).select(F.lit("sentiment").alias("section"), F.col(cls).alias("key"),
+                                  F.col("share").alias("value"))
+    ent = shares(df, entity).select(F.lit("entity").alias("section"), F.col(entity).alias("key"),
+                                    F.col("share").alias("value"))
+    lens = stack_columns(length_stats(df, text), LENGTH_METRICS[1:], "key", "value") \
+        .select(F.lit("length").alias("section"), "key", "value")
+    words = top_words(df, text, n_words).select(F.lit("word").alias("section"), F.col("word").alias("key"),
+                                                F.col("count").cast("double").alias("value"))
+    return union_all([total, sent, ent, lens, words])

@@ -53,6 +53,12 @@ def replace_synonyms(words: Column, mapping: dict, p: float, seed: int, row: Col
     return F.transform(words, step)
 
 
+def _replace_at(words: Column, k: Column, value: Column) -> Column:
+    """words with position k (0-based) set to value: slices and concat, so
+    row-level draws are evaluated once per row, not once per element."""
+    return F.concat(F.slice(words, 1, k), F.array(value), F.slice(words, k + 2, F.size(words)))
+
+
 def swap_words(words: Column, p: float, seed: int, row: Column, copy) -> Column:
     """With probability p, and only in arrays of more than 5 words, swap two
     different positions i and j (j drawn among the n-1 others)."""
@@ -61,8 +67,10 @@ def swap_words(words: Column, p: float, seed: int, row: Column, copy) -> Column:
     i = pick(n, seed, row, copy, "swap_i")
     j0 = pick(n - 1, seed, row, copy, "swap_j")
     j = F.when(j0 >= i, j0 + 1).otherwise(j0)
-    swapped = F.transform(words, lambda w, k: F.when(k == i, F.element_at(words, j + 1))
-                          .when(k == j, F.element_at(words, i + 1)).otherwise(w))
+    lo, hi = F.least(i, j), F.greatest(i, j)
+    swapped = F.concat(F.slice(words, 1, lo), F.array(F.try_element_at(words, hi + 1)),
+                       F.slice(words, lo + 2, hi - lo - 1), F.array(F.try_element_at(words, lo + 1)),
+                       F.slice(words, hi + 2, n))
     return F.when(do, swapped).otherwise(words)
 
 
@@ -71,13 +79,12 @@ def typo(words: Column, p: float, seed: int, row: Column, copy) -> Column:
     replace the letter at a drawn position by a drawn letter a-z."""
     n = F.size(words)
     idx = pick(n, seed, row, copy, "typo_i")
-    w = F.element_at(words, idx + 1)
+    w = F.try_element_at(words, idx + 1)
     pos = pick(F.length(w), seed, row, copy, "typo_pos")
     letter = F.substr(F.lit(LETTERS), pick(F.lit(len(LETTERS)), seed, row, copy, "typo_ch") + 1, F.lit(1))
     changed = F.overlay(w, letter, pos + 1, F.lit(1))
     do = (n > 0) & (uniform(seed, row, copy, "typo") < F.lit(p))
-    typoed = F.transform(words, lambda x, k: F.when(k == idx, changed).otherwise(x))
-    return F.when(do & (F.length(w) >= TYPO_MIN_LEN), typoed).otherwise(words)
+    return F.when(do & (F.length(w) >= TYPO_MIN_LEN), _replace_at(words, idx, changed)).otherwise(words)
 
 
 def augment_words(df: DataFrame, text: str, id_col: str, seed: int, copy="copy",

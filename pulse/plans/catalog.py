@@ -235,7 +235,7 @@ def acceptance(spark, sf):
 # ------------------------------------------------------ sources and sinks ---
 
 from pulse.operators import schema as sc  # noqa: E402
-from pulse.session import shared_path  # noqa: E402
+from pulse.session import materialize, shared_path  # noqa: E402
 from pulse.sources import files as io  # noqa: E402
 from pulse.streaming import jobs as sj  # noqa: E402
 from pulse.streaming import messages as sm  # noqa: E402
@@ -428,3 +428,11 @@ def opinion_by_region(spark, sf):
                              ["Positive", "Negative", "Neutral"])
     return o.select("r_name", "n", *[r6(c).alias(c) for c in
                                      ["share_positive", "share_negative", "share_neutral", "mean_score"]])
+
+
+@query
+def corpus_profile(spark, sf):
+    """Profile of the de-duplicated train + validation corpus."""
+    kept = materialize(dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"]), "kept_corpus")
+    p = ag.corpus_profile(kept)
+    return p.select("section", "key", r6("value").alias("value"))

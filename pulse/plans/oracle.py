@@ -481,3 +481,17 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE cls IS NOT NULL
 GROUP BY r_name"""
+
+O["corpus_profile"] = with_(CORPUS + """,
+kept AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY source_rank) AS rn FROM corpus) WHERE rn = 1),
+lens AS (SELECT length(tweet_content) AS l FROM kept WHERE tweet_content IS NOT NULL)""") + f"""
+SELECT section, key, round(value, 6) AS value FROM (
+  SELECT 'total' AS section, 'rows' AS key, count(*)::DOUBLE AS value FROM kept
+  UNION ALL SELECT 'sentiment', sentiment, share FROM ({shares_sql('kept', 'sentiment')})
+  UNION ALL SELECT 'entity', entity, share FROM ({shares_sql('kept', 'entity')})
+  UNION ALL SELECT 'length', unnest(['mean', 'std', 'min', 'q25', 'median', 'q75', 'max']),
+                   unnest([avg(l), stddev_samp(l), min(l)::DOUBLE, quantile_cont(l, 0.25), quantile_cont(l, 0.5),
+                           quantile_cont(l, 0.75), max(l)::DOUBLE]) FROM lens
+  UNION ALL SELECT 'word', word, count::DOUBLE FROM (
+    SELECT word, count(*) AS count FROM ({words_of('kept')}) GROUP BY word ORDER BY count DESC, word LIMIT 30))"""

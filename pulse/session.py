@@ -54,3 +54,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared root, unique per call."""
     return f"{checkpoint_root(spark).rstrip('/')}/pulse/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet below the shared folder and return a
+    reader of it. Use where several branches consume one costly intermediate:
+    each branch then scans only its own columns, the intermediate is computed
+    once, and the lineage is cut (a lost executor does not recompute it)."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
