@@ -309,12 +309,16 @@ def headerless(spark, sf):
 
 @query
 def schema_by_content(spark, sf):
+    """Per-column content metrics and the role each column gets. The metrics
+    are one aggregate pass; its result (one row per input column) is what
+    the role choice needs on the driver, and it is returned as is."""
     m = sc.content_metrics(headerless(spark, sf))
-    roles = sc.choose_roles([r.asDict() for r in m.collect()])  # one row per column
-    role_of = F.create_map(*[x for dst, src in roles.items() for x in (F.lit(src), F.lit(dst))])
-    return m.select("position", "column", r6("digit_share").alias("digit_share"),
-                    r6("label_share").alias("label_share"), r6("mean_len").alias("mean_len"),
-                    "n_distinct", "rows", F.try_element_at(role_of, F.col("column")).alias("role"))
+    rows = [r.asDict() for r in m.collect()]
+    roles = {src: dst for dst, src in sc.choose_roles(rows).items()}
+    out = [(r["position"], r["column"], round(r["digit_share"], 6), round(r["label_share"], 6),
+            round(r["mean_len"], 6), r["n_distinct"], r["rows"], roles.get(r["column"])) for r in rows]
+    return spark.createDataFrame(out, "position int, column string, digit_share double, label_share double, "
+                                      "mean_len double, n_distinct long, rows long, role string")
 
 
 # ------------------------------------------------------------- streaming ---

@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a batch input that scans into fewer partitions than the
-    session has cores (one large row group is one scan task), so per-row
-    text work runs on every core. An input already split into at least
-    that many partitions - any large table on a cluster - is left alone."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a batch input by ``key`` when it scans into fewer
+    partitions than the session has cores (one large row group is one scan
+    task), so per-row text work runs on every core; hashing by the join key
+    is deterministic and leaves the input partitioned for that join. An input
+    already split at least that finely - any large table on a cluster - is
+    left alone."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
 
 
 def sentiment_of(quality, toxic):
@@ -41,7 +43,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hash join only while labels is under the broadcast threshold, else a
     shuffled join on doc_id.
     """
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return (docs.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("tweet_id"),
