@@ -341,10 +341,11 @@ def stream_minute_counts(spark, sf):
     a 10-minute watermark, appended to Parquet with a checkpoint; the query
     drains what is there (availableNow) and the sink is read back."""
     events_schema = fx.table(spark, sf, "events").schema
-    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet")
+    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet",
+                         spread=spark.sparkContext.defaultParallelism)
     counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
     out, ck = shared_path(spark, "minute_counts"), shared_path(spark, "minute_counts_ckpt")
-    q = sj.stream_to_parquet(counts, out, ck, {"availableNow": True})
+    q = sj.stream_to_parquet(counts, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS)
     q.awaitTermination()
     return as_wall_clock(spark.read.parquet(out), ["w_start", "w_end"])
 

@@ -88,7 +88,7 @@ def part_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as tweets: tweet_id, entity (user), sentiment (event type),
     tweet_content (props), ts as a TIMESTAMP (session zone UTC)."""
-    ev = events if events is not None else table(spark, sf_dir, "events")
+    ev = events if events is not None else spread(table(spark, sf_dir, "events"), "event_id")
     return ev.select(F.col("event_id").alias("tweet_id"),
                      F.col("user_id").cast("string").alias("entity"),
                      F.col("event_type").alias("sentiment"),

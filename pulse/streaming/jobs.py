@@ -38,14 +38,18 @@ def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
-                fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """A folder watched for new files (parquet/json/csv/text)."""
+                fmt: str = "parquet", max_files: int | None = None, spread: int | None = None) -> DataFrame:
+    """A folder watched for new files (parquet/json/csv/text). ``spread``
+    round-robins each micro-batch over that many partitions, for sources
+    that arrive as few large files (Kafka's ``minPartitions`` does the same
+    for a topic with few partitions)."""
     r = spark.readStream.schema(schema).format(fmt)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(folder)
+    df = r.load(folder)
+    return df.repartition(spread) if spread else df
 
 
 def minute_count_stream(messages: DataFrame, watermark: str = DEFAULT_WATERMARK,
@@ -54,14 +58,33 @@ def minute_count_stream(messages: DataFrame, watermark: str = DEFAULT_WATERMARK,
     return minute_counts(accepted(decode_messages(messages)), "event_time", every, watermark)
 
 
+# State partitions of the minute-count aggregate. Its state is one row per
+# open window and class (about watermark / window x classes), whatever the
+# input volume, and rows are pre-aggregated before the shuffle, so a few
+# partitions hold it; each one costs a state-store load and commit per batch.
+STATE_PARTITIONS = 4
+
+
 def stream_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                      query_name: str | None = None) -> StreamingQuery:
+                      query_name: str | None = None,
+                      state_partitions: int | None = None) -> StreamingQuery:
     """Append a streaming DataFrame to Parquet. ``trigger`` is passed to
     DataStreamWriter.trigger, e.g. {"processingTime": "30 seconds"} (the
-    reference's) or {"availableNow": True} (drain what is there, then stop)."""
+    reference's) or {"availableNow": True} (drain what is there, then stop).
+    ``state_partitions`` sets the shuffle partitions of a new query's stateful
+    operators; Spark records them in the checkpoint, so a restart keeps them."""
     w = (df.writeStream.format("parquet").outputMode("append")
          .option("path", path).option("checkpointLocation", checkpoint))
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    spark = df.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return w.start()  # the query clones the session conf when it starts
+    finally:
+        spark.conf.set(key, before)
