@@ -10,6 +10,8 @@ ranked. A class holding a third of all rows costs the same as any other.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,39 @@ REFERENCE_PROFILE = {"Negative": 0.3018, "Positive": 0.2789, "Neutral": 0.2453,
 BUCKETS = 1 << 16
 
 
-def resample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Uniform draw with replacement (Poisson sampling per row): about
-    ``fraction`` x rows, each row any number of times."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def poisson_cdf(lam: float, tail: float = 1e-17) -> list[float]:
+    """P(K <= k) for k = 0, 1, ... until the tail left is below ``tail``."""
+    p = math.exp(-lam)
+    out = [p]
+    while 1.0 - out[-1] > tail and len(out) < 10_000:
+        p *= lam / len(out)
+        out.append(out[-1] + p)
+    return out
+
+
+def poisson_copies(u: Column, lam: float) -> Column:
+    """Inverse CDF: the k with CDF(k-1) <= u < CDF(k), as a CASE chain over
+    the fixed CDF values (codegen, no per-row loop)."""
+    cdf = poisson_cdf(lam)
+    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
+    for k, c in enumerate(cdf[1:], start=1):
+        expr = expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(cdf)))
+
+
+def resample(df: DataFrame, fraction: float, seed: int, id_col: str | None = None) -> DataFrame:
+    """Uniform draw with replacement: each row is repeated K ~ Poisson(fraction)
+    times, about ``fraction`` x rows in all (Spark's own with-replacement
+    sampling). With ``id_col`` the count comes from the seeded hash of the
+    row's id, so the draw does not depend on partitioning; a ``copy`` column
+    numbers the repeats. Without it, ``DataFrame.sample`` is used."""
+    if id_col is None:
+        return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+    k = poisson_copies(uniform(seed, F.col(id_col), "resample"), fraction)
+    # k = 0 gives an empty array: the row is not drawn, with no filter (a
+    # filter would get the draw copied into it and hash twice).
+    rep = df.select("*", F.posexplode(F.array_repeat(F.lit(True), k)).alias("_pos", "_x"))
+    return rep.withColumn("copy", F.col("_pos") + 1).drop("_pos", "_x")
 
 
 def _target(df: DataFrame, col: str, target: dict[str, float], n) -> DataFrame:

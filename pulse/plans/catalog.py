@@ -391,7 +391,7 @@ def augment_table(spark, sf):
 
 @query
 def resample_uniform(spark, sf):
-    return sa.resample(fx.labelled(spark, sf), 2.0, SEED).select("tweet_id", "entity", "sentiment")
+    return sa.resample(fx.labelled(spark, sf), 2.0, SEED, "tweet_id").select("tweet_id", "copy", "entity", "sentiment")
 
 
 @query

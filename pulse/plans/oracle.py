@@ -437,6 +437,18 @@ SELECT md5(concat_ws('|', '{_SEED}', tweet_id, copy)) AS tweet_id, CAST(tweet_id
        copy, entity, sentiment, array_to_string(w, ' ') AS tweet_content, 1704067200.0::DOUBLE AS timestamp
 FROM b3"""
 
+def poisson_case(u: str, lam: float) -> str:
+    from pulse.operators.resample import poisson_cdf
+    cdf = poisson_cdf(lam)
+    whens = " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf))
+    return f"CASE {whens} ELSE {len(cdf)} END"
+
+
+O["resample_uniform"] = with_(LABELLED) + f"""
+SELECT tweet_id, unnest(generate_series(1, k)) AS copy, entity, sentiment FROM (
+  SELECT *, {poisson_case(u_sql(_q(str(_SEED)), 'tweet_id', _q('resample')), 2.0)} AS k FROM labelled)
+WHERE k > 0"""
+
 O["resample_to_profile"] = with_(LABELLED + """,
 tgt AS (SELECT * FROM (VALUES ('Negative', 0.3018::DOUBLE), ('Positive', 0.2789::DOUBLE),
                               ('Neutral', 0.2453::DOUBLE), ('Irrelevant', 0.1739::DOUBLE)) t(sentiment, share))""") + f"""

@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -105,7 +106,20 @@ def test_resample_to_profile_short_class_and_shortfall(spark):
 
 def test_resample_uniform_is_with_replacement(spark):
     lab = fx.labelled(spark, SF01)
-    s = sa.resample(lab, 2.0, SEED)
-    n = s.count()
-    assert 0.7 * 2 * lab.count() < n < 1.3 * 2 * lab.count()
-    assert s.groupBy("tweet_id").count().where("count > 1").count() > 0
+    for s in (sa.resample(lab, 2.0, SEED), sa.resample(lab, 2.0, SEED, "tweet_id")):
+        n = s.count()
+        assert 0.8 * 2 * lab.count() < n < 1.2 * 2 * lab.count()
+        assert s.groupBy("tweet_id").count().where("count > 1").count() > 0
+
+
+def test_resample_by_id_independent_of_partitioning(spark):
+    lab = fx.labelled(spark, SF01)
+    one = sorted(map(tuple, sa.resample(lab.repartition(1), 0.7, SEED, "tweet_id").collect()))
+    many = sorted(map(tuple, sa.resample(lab.repartition(9), 0.7, SEED, "tweet_id").collect()))
+    assert one == many
+
+
+def test_poisson_cdf_mean():
+    cdf = sa.poisson_cdf(2.0)
+    pmf = [cdf[0]] + [b - a for a, b in zip(cdf, cdf[1:])]
+    assert sum(k * p for k, p in enumerate(pmf)) == pytest.approx(2.0)
