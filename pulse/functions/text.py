@@ -20,8 +20,9 @@ CLEAN_ASCII_DIGITS = r"[^a-z0-9\s]"
 # out so Java regex and RE2 (the SQL oracle) agree with it.
 PY_SPACE = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-# Markup removed before counting words: links, mentions, hashtags.
-MARKUP = rf"http[^{PY_SPACE}]+|@[^{PY_SPACE}]+|#[^{PY_SPACE}]+"
+# Markup removed before counting words: links (http...), mentions (@...) and
+# hashtags (#...), each up to the next white space.
+MARKUP = rf"(?:http|[@#])[^{PY_SPACE}]+"
 # Letters a word may hold.
 WORD_LETTERS = "a-záéíóúñü"
 # A word starts at the text start or after a char that is not a Unicode word

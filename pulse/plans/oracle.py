@@ -30,7 +30,10 @@ tweets AS (
               WHEN l.quality = 0 AND l.toxic = 0 THEN 'Neutral'
               WHEN l.quality = 1 AND l.toxic = 1 THEN 'Irrelevant' END AS sentiment,
          d.text AS tweet_content, d.lang
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN (
+    SELECT doc_id, l.quality, l.toxic FROM (
+      SELECT doc_id, min(struct_pack(quality := quality, toxic := toxic)) AS l FROM labels GROUP BY doc_id)) l
+  ON d.doc_id = l.doc_id)"""
 
 TAGGED = TWEETS + """,
 tagged AS (

@@ -35,16 +35,27 @@ def sentiment_of(quality, toxic):
             .when((q == 1) & (t == 1), "Irrelevant"))
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """One label row per document: the smallest (quality, toxic) pair.
+
+    The driver's labels already hold one row per doc_id, so this selects the
+    same rows; stating it as a grouping lets Catalyst know doc_id is unique
+    on this side, and it then removes the left join from every query that
+    uses no label column (text-only queries never join or shuffle for it)."""
+    best = F.min(F.struct("quality", "toxic")).alias("l")
+    return labels.groupBy("doc_id").agg(best).select("doc_id", "l.quality", "l.toxic")
+
+
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents left join labels: tweet_id, entity, sentiment, tweet_content, lang.
 
-    labels is a keyed side (one row per doc_id); the join is left so unlabelled
-    documents stay with a NULL class. Spark picks the strategy: a broadcast
-    hash join only while labels is under the broadcast threshold, else a
-    shuffled join on doc_id.
+    The join is left so unlabelled documents stay with a NULL class. Spark
+    picks the strategy: a broadcast hash join only while the labels side is
+    under the broadcast threshold (AQE checks runtime sizes), else a shuffled
+    join on doc_id.
     """
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    labels = one_label(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
     return (docs.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("tweet_id"),
                     F.col("source").alias("entity"),

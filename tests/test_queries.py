@@ -62,10 +62,15 @@ def physical(df):
 
 
 def test_scan_reads_only_needed_columns(spark):
-    # shares of entities need the key and the entity only: no text is read.
+    # shares of entities need the key and the entity only: no text is read,
+    # and with labels unique per doc_id the unused left join is removed.
     p2 = physical(QUERIES["entity_shares"](spark, SF001))
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in p2
-    assert "ReadSchema: struct<doc_id:bigint>" in p2  # labels side: key only
+    assert "labels.parquet" not in p2
+    assert "labels.parquet" not in physical(QUERIES["tokenize"](spark, SF001))
+    p3 = physical(QUERIES["sentiment_shares"](spark, SF001))
+    assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in p3
+    assert "text" not in p3
 
 
 def test_filter_pushed_to_scan(spark):
