@@ -2,17 +2,19 @@
 
 Duplicate work groups on a key and counts; long texts are grouped by their
 SHA-256 digest, so the shuffle carries 32 bytes per row instead of the text.
-Keep-first is a min() over a struct (order columns first) per key: a hash
-aggregate with a map-side partial step, so even a key holding a third of all
-rows is reduced before it is shuffled, unlike a row_number window, which would
-sort that key's rows in one task.
+Keep-first is row_number() = 1 per key. Spark plans it with a partial
+WindowGroupLimit before the exchange: every map partition keeps only its
+first row per key, so even a key holding a third of all rows sends one row
+per partition through the shuffle. Columns the caller does not use are
+pruned through the window (a min() over a struct of the whole row could not
+drop them, and would run as a sort aggregate anyway).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,13 +43,15 @@ def duplicate_report(df: DataFrame, keysets: dict[str, list[str]],
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *dups)
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Keep one row per ``key``: the smallest by ``order``, remaining ties by
-    the other columns, so the result never depends on partitioning."""
+def keep_first(df: DataFrame, key: list[str], order: list[str], tiebreak: bool = False) -> DataFrame:
+    """Keep one row per ``key``: the first by ``order``. Give a total order
+    within a key (e.g. source rank and a row key) for a repeatable result;
+    ``tiebreak=True`` appends the other columns to the order instead, at the
+    cost of reading them all."""
     rest = [c for c in df.columns if c not in key and c not in order]
-    best = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_best")
-    picked = df.groupBy(*key).agg(best)
-    return picked.select(*key, *[F.col(f"_best.{c}").alias(c) for c in order + rest]).select(*df.columns)
+    by = [F.col(c) for c in order] + ([F.col(c) for c in rest] if tiebreak else [])
+    rn = F.row_number().over(Window.partitionBy(*key).orderBy(*by))
+    return df.withColumn("_rn", rn).where(F.col("_rn") == 1).drop("_rn")
 
 
 def append_tables(frames: list[DataFrame], rank_col: str = "source_rank") -> DataFrame:

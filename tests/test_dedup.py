@@ -49,3 +49,15 @@ def test_append_by_name_fills_missing(spark):
 def test_drop_incomplete(spark):
     df = spark.createDataFrame([(1, "a", None, "t"), (2, "b", "P", "t")], SCHEMA)
     assert [r["tweet_id"] for r in dd.drop_incomplete(df, ["sentiment"]).collect()] == [2]
+
+
+def test_keep_first_limits_before_shuffle_on_hot_key(spark):
+    # one key holds a third of the rows; each map partition must send at most
+    # one row for it (a partial WindowGroupLimit below the exchange).
+    rows = [(0 if i % 3 == 0 else i, i, f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, o long, t string").repartition(6)
+    kept = dd.keep_first(df, ["k"], ["o"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
+    got = {r["k"]: r["o"] for r in kept.collect()}
+    assert got[0] == 0 and len(got) == 2001
