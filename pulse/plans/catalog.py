@@ -235,7 +235,7 @@ def acceptance(spark, sf):
 # ------------------------------------------------------ sources and sinks ---
 
 from pulse.operators import schema as sc  # noqa: E402
-from pulse.session import materialize, shared_path  # noqa: E402
+from pulse.session import shared_path  # noqa: E402
 from pulse.sources import files as io  # noqa: E402
 from pulse.streaming import jobs as sj  # noqa: E402
 from pulse.streaming import messages as sm  # noqa: E402
@@ -437,7 +437,9 @@ def opinion_by_region(spark, sf):
 
 @query
 def corpus_profile(spark, sf):
-    """Profile of the de-duplicated train + validation corpus."""
-    kept = materialize(dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"]), "kept_corpus")
+    """Profile of the de-duplicated train + validation corpus. Each branch
+    runs keep-first on just the columns it reads (the two text branches
+    share one exchange), so no full copy of the corpus is shuffled or written."""
+    kept = dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"])
     p = ag.corpus_profile(kept)
     return p.select("section", "key", r6("value").alias("value"))
