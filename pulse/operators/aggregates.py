@@ -49,7 +49,7 @@ def length_stats(df: DataFrame, col: str, length: Column | None = None) -> DataF
     ``percentile`` is exact; its buffer holds one counter per distinct length,
     and lengths are small integers, so the buffer stays bounded."""
     ln = length if length is not None else text_length(col)
-    d = df.select(ln.alias("_len")).where(F.col("_len").isNotNull())
+    d = df.select(ln.alias("_len"))  # NULL lengths are skipped by every aggregate below
     q = F.percentile("_len", [0.25, 0.5, 0.75])
     return d.agg(
         F.count("_len").alias("count"),

@@ -47,8 +47,8 @@ def drift_summary(drift: DataFrame, tol: float = SHARE_TOL) -> DataFrame:
 
 
 def _summary(df: DataFrame, col: str, side: str) -> DataFrame:
-    ln = text_length(col)
-    one = df.select(ln.alias("_l")).where(F.col("_l").isNotNull()).agg(
+    ln = text_length(col)  # NULL text has no length; the aggregates skip it
+    one = df.select(ln.alias("_l")).agg(
         F.avg("_l").alias("mean"), F.stddev_samp("_l").alias("std"),
         F.min("_l").cast("double").alias("min"), F.max("_l").cast("double").alias("max"))
     return one.unpivot([], ["mean", "std", "min", "max"], "metric", side)

@@ -192,13 +192,13 @@ SELECT tweet_id, source_rank, entity, sentiment, lang FROM (
   FROM corpus) WHERE rn = 1"""
 
 O["union_by_name"] = with_(TWEETS) + """
-SELECT tweet_id, entity, sentiment, lang, 0 AS source_rank FROM tweets WHERE tweet_id % 2 = 0
+SELECT tweet_id, entity, sentiment, lang, 0 AS source_rank, NULL::BIGINT AS turn FROM tweets
 UNION ALL
-SELECT tweet_id, entity, sentiment, NULL AS lang, 1 AS source_rank FROM tweets WHERE tweet_id % 2 = 1"""
+SELECT conv_id, role, NULL, NULL, 1, turn FROM conversations"""
 
 _PARTS = TWEETS + """,
-part_a AS (SELECT * FROM tweets WHERE tweet_id % 2 = 0),
-part_b AS (SELECT * FROM tweets WHERE tweet_id % 2 = 1)"""
+part_en AS (SELECT * FROM tweets WHERE lang = 'en'),
+part_other AS (SELECT * FROM tweets WHERE lang <> 'en')"""
 
 
 def category_drift_sql(a: str, b: str, col: str) -> str:
@@ -211,12 +211,12 @@ FROM ({shares_sql(a, col)}) sa LEFT JOIN ({shares_sql(b, col)}) sb ON sa.{col} =
 
 O["drift_categories"] = with_(_PARTS) + f"""
 SELECT sentiment, round(share_a, 6) AS share_a, round(share_b, 6) AS share_b, round(diff, 6) AS diff, status
-FROM ({category_drift_sql('part_a', 'part_b', 'sentiment')})"""
+FROM ({category_drift_sql('part_en', 'part_other', 'sentiment')})"""
 
 O["drift_summary"] = with_(_PARTS) + f"""
 SELECT count(*) AS categories, round(max(diff), 6) AS max_diff, round(avg(diff), 6) AS mean_diff,
        CASE WHEN max(diff) <= 0.05 THEN 'OK' ELSE 'FAIL' END AS status
-FROM ({category_drift_sql('part_a', 'part_b', 'entity')})"""
+FROM ({category_drift_sql('part_en', 'part_other', 'entity')})"""
 
 
 def numeric_drift_sql(a: str, b: str) -> str:
@@ -234,7 +234,7 @@ FROM ({side(a, 'value_a')}) JOIN ({side(b, 'value_b')}) USING (metric)"""
 O["drift_lengths"] = with_(_PARTS) + f"""
 SELECT metric, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(diff_pct, 6) AS diff_pct,
        CASE WHEN diff_pct <= 5.0 THEN 'OK' ELSE 'FAIL' END AS status
-FROM ({numeric_drift_sql('part_a', 'part_b')})"""
+FROM ({numeric_drift_sql('part_en', 'part_other')})"""
 
 O["integrity_report"] = with_(TWEETS) + """
 SELECT count(*) AS rows, count(DISTINCT tweet_id) AS ids, count(DISTINCT entity) AS entities,
@@ -243,24 +243,6 @@ SELECT count(*) AS rows, count(DISTINCT tweet_id) AS ids, count(DISTINCT entity)
            + (tweet_content IS NULL)::BIGINT + (lang IS NULL)::BIGINT)::BIGINT AS null_cells
 FROM tweets"""
 
-_LPARTS = LABELLED + """,
-la AS (SELECT * FROM labelled WHERE tweet_id % 2 = 0),
-lb AS (SELECT * FROM labelled WHERE tweet_id % 2 = 1)"""
-
-O["acceptance"] = with_(_LPARTS) + f"""
-SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS passed FROM (
-  SELECT 'sentiment_max_diff' AS criterion, max(diff) AS result, 0.05 AS "limit"
-  FROM ({category_drift_sql('la', 'lb', 'sentiment')})
-  UNION ALL
-  SELECT 'entity_max_diff', max(diff), 0.05 FROM ({category_drift_sql('la', 'lb', 'entity')})
-  UNION ALL
-  SELECT 'length_' || metric || '_pct', diff_pct, CASE WHEN metric = 'std' THEN 10.0 ELSE 5.0 END
-  FROM ({numeric_drift_sql('la', 'lb')}) WHERE metric IN ('mean', 'std')
-  UNION ALL
-  SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT
-           + (tweet_content IS NULL)::BIGINT + (lang IS NULL)::BIGINT)::DOUBLE, 0.0 FROM lb)"""
-
-
 # ------------------------------------------------------ sources and sinks ---
 
 _BATCH = "tweet_id, entity, sentiment, tweet_content, tweet_content_cleaned"
@@ -430,16 +412,6 @@ SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
 O["augment_typo"] = with_(_AUG_BASE, typo_cte("a1", "a0", 0.05, _SEED, "tweet_id", "cp")) + """
 SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
 
-O["augment_table"] = with_(LABELLED + f""",
-b0 AS (SELECT tweet_id, entity, sentiment, c AS copy, {words_sql('tweet_content')} AS w
-       FROM labelled, (SELECT unnest([1, 2, 3]) AS c)),
-b1 AS (SELECT * EXCLUDE (w), {syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'copy')} AS w FROM b0)""",
-                           swap_cte("b2", "b1", 0.1, _SEED, "tweet_id", "copy"),
-                           typo_cte("b3", "b2", 0.05, _SEED, "tweet_id", "copy")) + f"""
-SELECT md5(concat_ws('|', '{_SEED}', tweet_id, copy)) AS tweet_id, CAST(tweet_id AS VARCHAR) AS original_tweet_id,
-       copy, entity, sentiment, array_to_string(w, ' ') AS tweet_content, 1704067200.0::DOUBLE AS timestamp
-FROM b3"""
-
 def poisson_case(u: str, lam: float) -> str:
     from pulse.operators.resample import poisson_cdf
     cdf = poisson_cdf(lam)
@@ -510,3 +482,35 @@ SELECT section, key, round(value, 6) AS value FROM (
                            quantile_cont(l, 0.75), max(l)::DOUBLE]) FROM lens
   UNION ALL SELECT 'word', word, count::DOUBLE FROM (
     SELECT word, count(*) AS count FROM ({words_of('kept')}) GROUP BY word ORDER BY count DESC, word LIMIT 30))"""
+
+
+def augment_ctes(src: str, copies: list[int], out: str) -> str:
+    """CTEs that expand ``src`` into augmented copies named ``out`` (the
+    contract-A columns of pulse.operators.augment.augment)."""
+    return f""",
+{out}_0 AS (SELECT tweet_id, entity, sentiment, c AS copy, {words_sql('tweet_content')} AS w
+            FROM {src}, (SELECT unnest({copies}) AS c)),
+{out}_1 AS (SELECT * EXCLUDE (w), {syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'copy')} AS w FROM {out}_0),""" \
+        + swap_cte(f"{out}_2", f"{out}_1", 0.1, _SEED, "tweet_id", "copy") + "," \
+        + typo_cte(f"{out}_3", f"{out}_2", 0.05, _SEED, "tweet_id", "copy") + f""",
+{out} AS (
+  SELECT md5(concat_ws('|', '{_SEED}', tweet_id, copy)) AS tweet_id, CAST(tweet_id AS VARCHAR) AS original_tweet_id,
+         copy, entity, sentiment, array_to_string(w, ' ') AS tweet_content, 1704067200.0::DOUBLE AS timestamp
+  FROM {out}_3)"""
+
+
+O["augment_table"] = with_(LABELLED + augment_ctes("labelled", [1, 2, 3], "aug")) + "\nSELECT * FROM aug"
+
+O["acceptance"] = with_(LABELLED + augment_ctes("labelled", [1], "cand")) + f"""
+SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS passed FROM (
+  SELECT 'sentiment_max_diff' AS criterion, max(diff) AS result, 0.05 AS "limit"
+  FROM ({category_drift_sql('labelled', 'cand', 'sentiment')})
+  UNION ALL
+  SELECT 'entity_max_diff', max(diff), 0.05 FROM ({category_drift_sql('labelled', 'cand', 'entity')})
+  UNION ALL
+  SELECT 'length_' || metric || '_pct', diff_pct, CASE WHEN metric = 'std' THEN 10.0 ELSE 5.0 END
+  FROM ({numeric_drift_sql('labelled', 'cand')}) WHERE metric IN ('mean', 'std')
+  UNION ALL
+  SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (original_tweet_id IS NULL)::BIGINT + (copy IS NULL)::BIGINT
+           + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT + (tweet_content IS NULL)::BIGINT
+           + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0 FROM cand)"""

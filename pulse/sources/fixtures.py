@@ -86,14 +86,19 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tweets(spark, sf_dir).where(F.col("sentiment").isNotNull())
 
 
-def part_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tweets with an even id: one side of a drift comparison."""
-    return tweets(spark, sf_dir).where(F.col("tweet_id") % 2 == 0)
-
-
-def part_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tweets with an odd id: the other side."""
-    return tweets(spark, sf_dir).where(F.col("tweet_id") % 2 == 1)
+def by_language(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
+    """tweets in English, or in any other language: the two sides of a drift
+    comparison (is the opinion mix of one language different?)."""
+    lang = F.col("lang")
+    return tweets(spark, sf_dir).where(lang == "en" if english else lang != "en")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as messages: a second source with other columns
+    (turn, no class, no language)."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("tweet_id"), "turn", F.col("role").alias("entity"),
+                    F.col("text").alias("tweet_content"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
