@@ -327,6 +327,13 @@ def schema_by_content(spark, sf):
 
 # ------------------------------------------------------------- streaming ---
 
+def wall_clock_events(spark, sf):
+    """stream_events with ``ts`` as TIMESTAMP_NTZ: batch windows are then cut
+    on wall-clock time, the same in any session time zone (days start at
+    midnight of the recorded clock, not of UTC)."""
+    return fx.stream_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query
 def decode_json(spark, sf):
     d = sm.decode_messages(fx.messages(spark, sf))
@@ -335,7 +342,7 @@ def decode_json(spark, sf):
 
 @query
 def minute_counts(spark, sf):
-    return as_wall_clock(_minute_counts(fx.stream_events(spark, sf), "ts"), ["w_start", "w_end"])
+    return _minute_counts(wall_clock_events(spark, sf), "ts")
 
 
 @query
@@ -418,15 +425,14 @@ def mean_sentiment(spark, sf):
 
 @query
 def mention_volume(spark, sf):
-    v = ms.mention_volume(fx.stream_events(spark, sf), "ts", "entity", "1 day")
-    return as_wall_clock(v, ["w_start", "w_end"])
+    return ms.mention_volume(wall_clock_events(spark, sf), "ts", "entity", "1 day")
 
 
 @query
 def hashtag_trend(spark, sf):
-    ev = fx.stream_events(spark, sf)
+    ev = wall_clock_events(spark, sf)
     tags = ev.select(F.concat(F.lit("#"), F.col("sentiment")).alias("text"), "ts")
-    return as_wall_clock(ms.hashtag_trend(tags, "text", "ts", "1 day"), ["w_start"])
+    return ms.hashtag_trend(tags, "text", "ts", "1 day")
 
 
 @query

@@ -81,3 +81,22 @@ def test_filter_pushed_to_scan(spark):
 def test_top_per_class_limits_before_shuffle(spark):
     df = QUERIES["top_words_by_class"](spark, SF001)
     assert "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+TIME_QUERIES = ["minute_counts", "mention_volume", "hashtag_trend", "decode_json", "roundtrip_json",
+                "encode_json", "stream_minute_counts"]
+
+
+def test_time_queries_do_not_depend_on_session_zone(spark, duck):
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "America/Los_Angeles")
+    try:
+        for name in TIME_QUERIES:
+            sdf = QUERIES[name](spark, SF001)
+            s_cols, s_rows = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
+            res = duck.execute(ORACLE[name])
+            d_cols, d_rows = canon([d[0] for d in res.description], res.fetchall())
+            assert s_cols == d_cols and digest(s_rows) == digest(d_rows), name
+    finally:
+        spark.conf.set(key, before)
