@@ -78,22 +78,63 @@ def integrity_report(df: DataFrame, id_col: str = "tweet_id", entity: str = "ent
                   F.sum(nulls).alias("null_cells"))
 
 
+def table_profile(df: DataFrame, cls: str = "sentiment", entity: str = "entity",
+                  text: str = "tweet_content") -> DataFrame:
+    """One pass over a table with GROUPING SETS ((class), (entity), ()):
+    rows per class, rows per entity, and for the whole table the rows, the
+    length summary and the NULL cells. Output: section ('class', 'entity',
+    'all'), key, n, mean, std, min, max, null_cells - one row per class, per
+    entity and one for the table. The expand is over four narrow columns and
+    the partial aggregate collapses it before the shuffle."""
+    nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    d = df.select(F.col(cls).alias("_c"), F.col(entity).alias("_e"),
+                  text_length(text).alias("_l"), nulls.alias("_z"))
+    g = d.groupingSets([["_c"], ["_e"], []], "_c", "_e").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"),
+        F.avg("_l").alias("mean"), F.stddev_samp("_l").alias("std"),
+        F.min("_l").cast("double").alias("min"), F.max("_l").cast("double").alias("max"),
+        F.sum("_z").alias("null_cells"))
+    section = F.when(F.col("_g") == 1, "class").when(F.col("_g") == 2, "entity").otherwise("all")
+    key = F.when(F.col("_g") == 1, F.col("_c")).when(F.col("_g") == 2, F.col("_e"))
+    return g.select(section.alias("section"), key.alias("key"), "n", "mean", "std", "min", "max", "null_cells")
+
+
+def _profile_shares(p: DataFrame, share: str) -> DataFrame:
+    cats = p.where(F.col("section").isin("class", "entity") & F.col("key").isNotNull())
+    totals = cats.groupBy("section").agg(F.sum("n").alias("_t"))  # two rows: a fixed-size side
+    return cats.join(F.broadcast(totals), "section").select("section", "key", (F.col("n") / F.col("_t")).alias(share))
+
+
 def acceptance(a: DataFrame, b: DataFrame, text: str = "tweet_content",
                cls: str = "sentiment", entity: str = "entity") -> DataFrame:
-    """One row per acceptance criterion: measured result, limit, pass flag."""
-    sent = drift_summary(category_drift(a, b, cls)).select(
-        F.lit("sentiment_max_diff").alias("criterion"), F.col("max_diff").alias("result"),
-        F.lit(SHARE_TOL).alias("limit"))
-    ent = drift_summary(category_drift(a, b, entity)).select(
-        F.lit("entity_max_diff").alias("criterion"), F.col("max_diff").alias("result"),
-        F.lit(SHARE_TOL).alias("limit"))
-    nd = numeric_drift(a, b, text).where(F.col("metric").isin("mean", "std"))
-    lens = nd.select(F.concat(F.lit("length_"), F.col("metric"), F.lit("_pct")).alias("criterion"),
-                     F.col("diff_pct").alias("result"),
-                     F.when(F.col("metric") == "std", F.lit(REPORT_STD_TOL))
-                     .otherwise(F.lit(PCT_TOL["mean"])).alias("limit"))
-    nulls = integrity_report(b).select(F.lit("null_cells").alias("criterion"),
-                                       F.col("null_cells").cast("double").alias("result"),
-                                       F.lit(0.0).alias("limit"))
-    rows = union_all([sent, ent, lens, nulls])
+    """One row per acceptance criterion: measured result, limit, pass flag.
+    Each table is read once (``table_profile``); everything after that works
+    on the two small profiles."""
+    pa, pb = table_profile(a, cls, entity, text), table_profile(b, cls, entity, text)
+    sa, sb = _profile_shares(pa, "share_a"), _profile_shares(pb, "share_b")
+    diff = F.abs(F.col("share_a") - F.coalesce(F.col("share_b"), F.lit(0.0)))
+    drift = (sa.join(sb, ["section", "key"], "left").groupBy("section").agg(F.max(diff).alias("result"))
+             .select(F.concat(F.when(F.col("section") == "class", F.lit("sentiment")).otherwise(F.col("section")),
+                              F.lit("_max_diff")).alias("criterion"),
+                     "result", F.lit(SHARE_TOL).alias("limit")))
+    # the two whole-table rows, folded into one row (no join needed)
+    whole = union_all([pa.where(F.col("section") == "all").withColumn("_s", F.lit("a")),
+                       pb.where(F.col("section") == "all").withColumn("_s", F.lit("b"))])
+
+    def side(c, s):
+        return F.max(F.when(F.col("_s") == s, F.col(c)))
+    both = whole.agg(side("mean", "a").alias("mean_a"), side("std", "a").alias("std_a"),
+                     side("mean", "b").alias("mean_b"), side("std", "b").alias("std_b"),
+                     side("null_cells", "b").alias("null_cells"))
+
+    def pct(x, y):
+        return F.when(F.col(x) > 0, F.abs(F.col(x) - F.col(y)) / F.col(x) * 100).otherwise(0.0)
+    lens = both.select(F.explode(F.array(
+        F.struct(F.lit("length_mean_pct").alias("criterion"), pct("mean_a", "mean_b").alias("result"),
+                 F.lit(PCT_TOL["mean"]).alias("limit")),
+        F.struct(F.lit("length_std_pct").alias("criterion"), pct("std_a", "std_b").alias("result"),
+                 F.lit(REPORT_STD_TOL).alias("limit")),
+        F.struct(F.lit("null_cells").alias("criterion"), F.col("null_cells").cast("double").alias("result"),
+                 F.lit(0.0).alias("limit"))))).select("col.*")
+    rows = union_all([drift, lens])
     return rows.withColumn("passed", F.col("result") <= F.col("limit"))

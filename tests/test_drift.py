@@ -49,3 +49,12 @@ def test_integrity_and_acceptance(spark):
     assert (r["rows"], r["ids"], r["entities"], r["classes"], r["null_cells"]) == (2, 2, 2, 2, 1)
     acc = {x["criterion"]: x["passed"] for x in dq.acceptance(a, b).collect()}
     assert acc["sentiment_max_diff"] and acc["entity_max_diff"] and not acc["null_cells"]
+
+
+def test_table_profile_sections(spark):
+    df = frame(spark, [(1, "e", "P", "ab"), (2, "f", "N", "abcd"), (3, "e", None, None)])
+    got = {(r["section"], r["key"]): r for r in dq.table_profile(df).collect()}
+    assert got[("class", "P")]["n"] == 1 and got[("class", None)]["n"] == 1
+    assert got[("entity", "e")]["n"] == 2
+    whole = got[("all", None)]
+    assert (whole["n"], whole["mean"], whole["min"], whole["max"], whole["null_cells"]) == (3, 3.0, 2.0, 4.0, 2)
