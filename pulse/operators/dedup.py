@@ -37,10 +37,26 @@ def duplicate_count(df: DataFrame, cols: list[str], digest_cols: set[str] | None
 
 def duplicate_report(df: DataFrame, keysets: dict[str, list[str]],
                      digest_cols: set[str] | None = None) -> DataFrame:
-    """One row: total rows and a duplicate count per named key set."""
-    dups = [duplicate_count(df, cols, digest_cols).scalar().alias(name)
-            for name, cols in keysets.items()]
-    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *dups)
+    """One row: total rows and, per named key set, the rows that repeat an
+    earlier row on those columns (rows - distinct keys; NULL equals NULL, as
+    in pandas' duplicated()).
+
+    All key sets are counted in ONE pass: GROUPING SETS over the (digested)
+    key columns gives one row per distinct key of each set, and a second,
+    small aggregate counts them per set."""
+    digest_cols = digest_cols or set()
+    cols = list(dict.fromkeys(c for ks in keysets.values() for c in ks))
+    sets = list(dict.fromkeys(tuple(ks) for ks in keysets.values()))
+    keyed = df.select(*_key_exprs(df, cols, digest_cols))
+    per_key = keyed.groupingSets([list(s) for s in sets], *cols).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_n"))
+    per_set = per_key.groupBy("_g").agg(F.count(F.lit(1)).alias("_keys"), F.sum("_n").alias("_rows"))
+
+    def gid(ks):  # grouping_id: bit set for each column left out of the set
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
+    dups = [F.coalesce(F.max(F.when(F.col("_g") == gid(ks), F.col("_rows") - F.col("_keys"))), F.lit(0))
+            .cast("long").alias(name) for name, ks in keysets.items()]
+    return per_set.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("rows"), *dups)
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str], tiebreak: bool = False) -> DataFrame:

@@ -61,3 +61,12 @@ def test_keep_first_limits_before_shuffle_on_hot_key(spark):
     assert "Partial" in plan and "WindowGroupLimit" in plan
     got = {r["k"]: r["o"] for r in kept.collect()}
     assert got[0] == 0 and len(got) == 2001
+
+
+def test_duplicate_report_empty_and_repeated_sets(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    r = dd.duplicate_report(df, {"ids": ["tweet_id"], "texts": ["tweet_content"]}, {"tweet_content"}).first()
+    assert (r["rows"], r["ids"], r["texts"]) == (0, 0, 0)
+    df2 = spark.createDataFrame([(1, "a", "P", "x"), (1, "b", "P", "x")], SCHEMA)
+    r2 = dd.duplicate_report(df2, {"a": ["tweet_id"], "b": ["tweet_id"]}).first()
+    assert (r2["rows"], r2["a"], r2["b"]) == (2, 1, 1)
