@@ -57,7 +57,7 @@ def drop_stopwords(df: DataFrame, word: str = "word", stopwords: list[str] | Non
     return df.where(~F.col(word).isin(sw) & (F.length(word) >= min_len))
 
 
-def _rank(by: str) -> F.Column:
+def _rank(by: str) -> F.Column:  # row_number is an int; ranks are returned as bigint
     return F.row_number().over(Window.partitionBy(by).orderBy(F.col("count").desc(), F.col("word").asc()))
 
 
@@ -71,11 +71,11 @@ def top_words_by(df: DataFrame, by: str, text: str, n: int = 20, pool: int | Non
     counts = word_counts(base, text, [by])
     if pool is None:
         return (counts.withColumn("rank", _rank(by)).where(F.col("rank") <= n)
-                .select(by, "rank", "word", "count"))
+                .select(by, F.col("rank").cast("long").alias("rank"), "word", "count"))
     pooled = counts.withColumn("_r", _rank(by)).where(F.col("_r") <= pool)
     kept = drop_stopwords(pooled, "word", stopwords, min_len)
     return (kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("_r")))
-            .where(F.col("rank") <= n).select(by, "rank", "word", "count"))
+            .where(F.col("rank") <= n).select(by, F.col("rank").cast("long").alias("rank"), "word", "count"))
 
 
 def word_weights(df: DataFrame, text: str, n: int = 50) -> DataFrame:

@@ -124,7 +124,7 @@ def strip_markup(spark, sf):
 @query
 def tokenize(spark, sf):
     t = fx.tweets_tagged(spark, sf).select("tweet_id", tx.tokens("tweet_content").alias("w"))
-    return t.select("tweet_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
+    return t.select("tweet_id", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
 @query
@@ -401,7 +401,8 @@ def augment_table(spark, sf):
 
 @query
 def resample_uniform(spark, sf):
-    return sa.resample(fx.labelled(spark, sf), 2.0, SEED, "tweet_id").select("tweet_id", "copy", "entity", "sentiment")
+    return sa.resample(fx.labelled(spark, sf), 2.0, SEED, "tweet_id").select(
+        "tweet_id", F.col("copy").cast("long").alias("copy"), "entity", "sentiment")
 
 
 @query

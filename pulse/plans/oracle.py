@@ -503,14 +503,14 @@ O["augment_table"] = with_(LABELLED + augment_ctes("labelled", [1, 2, 3], "aug")
 
 O["acceptance"] = with_(LABELLED + augment_ctes("labelled", [1], "cand")) + f"""
 SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS passed FROM (
-  SELECT 'sentiment_max_diff' AS criterion, max(diff) AS result, 0.05 AS "limit"
+  SELECT 'sentiment_max_diff' AS criterion, max(diff) AS result, 0.05::DOUBLE AS "limit"
   FROM ({category_drift_sql('labelled', 'cand', 'sentiment')})
   UNION ALL
   SELECT 'entity_max_diff', max(diff), 0.05 FROM ({category_drift_sql('labelled', 'cand', 'entity')})
   UNION ALL
-  SELECT 'length_' || metric || '_pct', diff_pct, CASE WHEN metric = 'std' THEN 10.0 ELSE 5.0 END
+  SELECT 'length_' || metric || '_pct', diff_pct, CASE WHEN metric = 'std' THEN 10.0 ELSE 5.0 END::DOUBLE
   FROM ({numeric_drift_sql('labelled', 'cand')}) WHERE metric IN ('mean', 'std')
   UNION ALL
   SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (original_tweet_id IS NULL)::BIGINT + (copy IS NULL)::BIGINT
            + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT + (tweet_content IS NULL)::BIGINT
-           + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0 FROM cand)"""
+           + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0::DOUBLE FROM cand)"""

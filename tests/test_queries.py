@@ -46,6 +46,18 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(s_rows) == digest(d_rows), set(s_rows) ^ set(d_rows)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_types_match_oracle(spark, duck, name):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in QUERIES[name](spark, SF001).schema.fields}
+    dt = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert st == dt
+
+
 PLAN_SKIP = {"stream_minute_counts", "roundtrip_parquet", "roundtrip_csv", "roundtrip_json",
              "schema_by_content", "corpus_profile"}  # these run jobs while building
 
