@@ -18,8 +18,23 @@ from pulse.operators import aggregates as ag
 from pulse.operators import augment as au
 from pulse.operators import dedup as dd
 from pulse.operators import drift as dq
+from pulse.operators import measures as ms
+from pulse.operators import resample as sa
+from pulse.operators import schema as sc
 from pulse.operators import words as wd
+from pulse.session import shared_path
+from pulse.sources import files as io
 from pulse.sources import fixtures as fx
+from pulse.streaming import jobs as sj
+from pulse.streaming import messages as sm
+from pulse.streaming.windows import as_wall_clock, minute_counts as _minute_counts
+
+SEED = 42
+# Synonyms over words the driver's prose does contain (the producer's English
+# keys, such as "good" or "love", occur in none of the driver's documents).
+QUERY_SYNONYMS = {"the": ["a", "this", "that"], "and": ["plus", "with"]}
+BASE_TIME = 1704067200.0
+BATCH_COLUMNS = ["tweet_id", "entity", "sentiment", "tweet_content", "tweet_content_cleaned"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,14 +253,6 @@ def acceptance(spark, sf):
 
 # ------------------------------------------------------ sources and sinks ---
 
-from pulse.operators import schema as sc  # noqa: E402
-from pulse.session import shared_path  # noqa: E402
-from pulse.sources import files as io  # noqa: E402
-from pulse.streaming import jobs as sj  # noqa: E402
-from pulse.streaming import messages as sm  # noqa: E402
-from pulse.streaming.windows import as_wall_clock, minute_counts as _minute_counts  # noqa: E402
-
-BATCH_COLUMNS = ["tweet_id", "entity", "sentiment", "tweet_content", "tweet_content_cleaned"]
 
 
 def simulator_rows(spark, sf):
@@ -281,8 +288,7 @@ def roundtrip_json(spark, sf):
 @query
 def encode_json(spark, sf):
     rows = simulator_rows(spark, sf)
-    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    return rows.select(F.col("Tweet ID").alias("tweet_id"), value.alias("value"))
+    return sm.to_message_value(rows, keep={"Tweet ID": "tweet_id"})
 
 
 @query
@@ -363,13 +369,7 @@ def stream_minute_counts(spark, sf):
 
 # ---------------------------------------------------- augment, resample ---
 
-from pulse.operators import resample as sa  # noqa: E402
 
-SEED = 42
-# Synonyms over words the driver's prose does contain (the reference's
-# English keys occur in none of its documents).
-QUERY_SYNONYMS = {"the": ["a", "this", "that"], "and": ["plus", "with"]}
-BASE_TIME = 1704067200.0
 
 
 def _augment_one(spark, sf, step: str, p: float):
@@ -415,7 +415,6 @@ def resample_to_profile(spark, sf):
 
 # -------------------------------------------------------------- measures ---
 
-from pulse.operators import measures as ms  # noqa: E402
 
 
 @query

@@ -43,11 +43,14 @@ def epoch_seconds_to_ts(c) -> F.Column:
     return F.timestamp_micros(F.round(c * F.lit(1e6)).cast("long"))
 
 
-def to_message_value(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def to_message_value(df: DataFrame, cols: list[str] | None = None,
+                     keep: dict[str, str] | None = None) -> DataFrame:
     """Rows -> one JSON object per row in a ``value`` column (the shape a
-    Kafka sink takes). Field names are the column names."""
+    Kafka sink takes); field names are the column names. ``keep`` carries
+    columns along beside the value (source -> output name), e.g. a key."""
     cols = cols or df.columns
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("value"))
+    kept = [F.col(f"`{c}`").alias(a) for c, a in (keep or {}).items()]
+    return df.select(*kept, F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("value"))
 
 
 def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
