@@ -44,23 +44,28 @@ LENGTH_METRICS = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
 
 def length_stats(df: DataFrame, col: str, length: Column | None = None) -> DataFrame:
     """count, mean, sample std, min, exact quartiles (linear interpolation) and
-    max of the text length; NULL text has no length. One pass, one row.
-
-    ``percentile`` is exact; its buffer holds one counter per distinct length,
-    and lengths are small integers, so the buffer stays bounded."""
+    max of the text length; NULL text has no length. One row.
+
+    One scan: GROUPING SETS ((length), ()) gives, together, the whole-table
+    moments (constant-size merge state) and the number of rows per distinct
+    length (a distributed, map-side-combined group-by). A last aggregate over
+    that small result reads the moments off the () row and takes the
+    quartiles as a frequency-weighted exact ``percentile`` of the per-length
+    rows, so no task ever merges every input partition's map of lengths."""
     ln = length if length is not None else text_length(col)
-    d = df.select(ln.alias("_len"))  # NULL lengths are skipped by every aggregate below
-    q = F.percentile("_len", [0.25, 0.5, 0.75])
-    return d.agg(
-        F.count("_len").alias("count"),
-        F.avg("_len").alias("mean"),
-        F.stddev_samp("_len").alias("std"),
-        F.min("_len").cast("double").alias("min"),
-        q.getItem(0).alias("q25"),
-        q.getItem(1).alias("median"),
-        q.getItem(2).alias("q75"),
-        F.max("_len").cast("double").alias("max"),
-    )
+    d = df.select(ln.alias("_len"))
+    g = d.groupingSets([["_len"], []], "_len").agg(
+        F.grouping_id().alias("_g"), F.count("_len").alias("_n"), F.avg("_len").alias("mean"),
+        F.stddev_samp("_len").alias("std"), F.min("_len").alias("_min"), F.max("_len").alias("_max"))
+    per_len = (F.col("_g") == 0) & F.col("_len").isNotNull()
+    q = F.percentile(F.when(per_len, F.col("_len")), [0.25, 0.5, 0.75], F.when(per_len, F.col("_n")))
+
+    def whole(c: str) -> Column:
+        return F.max(F.when(F.col("_g") == 1, F.col(c)))
+    return g.agg(F.coalesce(whole("_n"), F.lit(0)).alias("count"), whole("mean").alias("mean"), whole("std").alias("std"),
+                 whole("_min").cast("double").alias("min"), q.getItem(0).alias("q25"),
+                 q.getItem(1).alias("median"), q.getItem(2).alias("q75"),
+                 whole("_max").cast("double").alias("max"))
 
 
 def stack_columns(df: DataFrame, cols: list[str], key: str = "metric", value: str = "value") -> DataFrame:

@@ -94,3 +94,9 @@ def test_class_words_rank_ties_by_word(spark):
 def test_word_weights_top_is_one(spark):
     w = wd.word_weights(fx.tweets(spark, SF001), "tweet_content", 10).collect()
     assert max(r["weight"] for r in w) == 1.0 and len(w) == 10
+
+
+def test_length_stats_empty_input(spark):
+    df = spark.createDataFrame([], "tweet_content string")
+    s = ag.length_stats(df, "tweet_content").first()
+    assert s["count"] == 0 and s["mean"] is None and s["median"] is None
