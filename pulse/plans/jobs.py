@@ -59,7 +59,8 @@ def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, che
     ``reject_path`` is given."""
     src = sj.kafka_source(spark, servers, topic, starting)
     queries = [sj.stream_to_parquet(sj.minute_count_stream(src, watermark), out_path,
-                                    checkpoint + "/counts", trigger, "minute_counts")]
+                                    checkpoint + "/counts", trigger, "minute_counts",
+                                    state_partitions=sj.STATE_PARTITIONS)]
     if reject_path:
         bad = rejected(decode_messages(src))
         queries.append(sj.stream_to_parquet(bad, reject_path, checkpoint + "/rejects", trigger, "rejects"))

@@ -23,3 +23,23 @@ def test_validate_tables(spark):
     out = jobs.validate(ref, ref)
     assert {r["status"] for r in out["sentiment_drift"].collect()} == {"OK"}
     assert all(r["passed"] for r in out["acceptance"].collect())
+
+
+def test_stream_job_counts_and_rejects(spark, tmp_dir, monkeypatch):
+    """stream_job's wiring with the topic replaced by a folder of the same
+    JSON values (no broker here): counts go to one sink, rejects to another."""
+    from test_streaming import msg_a, msg_b, write_lines
+    src = os.path.join(tmp_dir, "src")
+    write_lines(src, "m.txt", [msg_a(1, "Positive", 10), msg_b(2, "Negative", "2024-01-01T00:00:20"),
+                               "not json", msg_a(3, "Positive", 40 * 60)])
+    monkeypatch.setattr(jobs.sj, "kafka_source",
+                        lambda spark_, servers, topic, starting="latest", options=None:
+                        spark_.readStream.format("text").load(src))
+    out, bad, ck = (os.path.join(tmp_dir, x) for x in ("out", "bad", "ck"))
+    qs = jobs.stream_job(spark, "unused:9092", "raw_tweets", out, ck, reject_path=bad,
+                         trigger={"availableNow": True})
+    for q in qs:
+        q.awaitTermination()
+    counts = sorted((r["sentiment"], r["count"]) for r in spark.read.parquet(out).collect())
+    assert counts == [("Negative", 1), ("Positive", 1)]
+    assert spark.read.parquet(bad).count() == 1
