@@ -37,8 +37,10 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when nothing is set (local tests) is a folder
-    made under the system temp dir and registered as the checkpoint dir.
+    Read from the session. Only a local-mode session with nothing set (tests,
+    a laptop) gets a folder under the system temp dir; on a cluster a
+    machine-local folder would be invisible to the executors, so it is an
+    error to leave the setting out.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -46,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         root = tempfile.mkdtemp(prefix="pulse-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir()

@@ -70,3 +70,9 @@ def test_duplicate_report_empty_and_repeated_sets(spark):
     df2 = spark.createDataFrame([(1, "a", "P", "x"), (1, "b", "P", "x")], SCHEMA)
     r2 = dd.duplicate_report(df2, {"a": ["tweet_id"], "b": ["tweet_id"]}).first()
     assert (r2["rows"], r2["a"], r2["b"]) == (2, 1, 1)
+
+
+def test_keep_first_tiebreak_uses_other_columns(spark):
+    df = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (2, 0, "z")], "k long, o long, t string")
+    got = {r["k"]: r["t"] for r in dd.keep_first(df.repartition(3), ["k"], ["o"], tiebreak=True).collect()}
+    assert got == {1: "a", 2: "z"}
