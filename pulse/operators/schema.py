@@ -141,3 +141,22 @@ def infer_by_content(df: DataFrame) -> DataFrame:
     metrics = [r.asDict() for r in content_metrics(df).collect()]
     roles = choose_roles(metrics)
     return df.withColumnsRenamed({src: dst for dst, src in roles.items()})
+
+
+def resolve_roles(df: DataFrame) -> DataFrame:
+    """Names first, content second: rename by the name rules, then, if roles
+    are still missing, measure only the columns no rule named (one aggregate
+    pass) and give them the missing roles; finally check all four are there.
+    Columns already named by a rule are never renamed by content."""
+    named = infer_by_name(df)
+    missing = [r for r in REFERENCE_NAMES if r not in named.columns]
+    if missing:
+        rest = [c for c in named.columns if c not in REFERENCE_NAMES]
+        if rest:
+            metrics = [r.asDict() for r in content_metrics(named.select(*[F.col(f"`{c}`") for c in rest])).collect()]
+            roles = {k: v for k, v in choose_roles(metrics).items() if k in missing}
+            src_of = {}
+            for dst, src in roles.items():
+                src_of.setdefault(src, dst)  # one column takes one role
+            named = named.withColumnsRenamed(src_of)
+    return require_columns(named, REFERENCE_NAMES)

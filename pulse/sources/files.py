@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.operators.schema import REFERENCE_NAMES, TO_CANONICAL, canonical
+from pulse.operators.schema import REFERENCE_NAMES, TO_CANONICAL, canonical, resolve_roles
 
 # The reference's CSV layout, and the simulator's JSON records.
 RAW_SCHEMA = T.StructType([
@@ -41,6 +41,14 @@ def read_tweets_csv(spark: SparkSession, paths, header: bool = True,
     return canonical(df) if to_canonical else df
 
 
+def read_tweets_auto(spark: SparkSession, paths, header: bool = True) -> DataFrame:
+    """CSV files of unknown layout: every column read as a string, roles found
+    by name rules and then by content (``schema.resolve_roles``), canonical
+    names out; other columns are dropped."""
+    df = spark.read.options(**CSV_OPTIONS).option("header", header).csv(paths)
+    return canonical(resolve_roles(df))
+
+
 def read_tweets_json(spark: SparkSession, path, schema: T.StructType | None = None,
                      multi_line: bool = True, to_canonical: bool = True) -> DataFrame:
     """JSON: one array of records (``multi_line``) or JSON lines. The ISO

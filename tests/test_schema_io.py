@@ -102,3 +102,22 @@ def test_bounded_sample_is_ordered(spark):
     t = fx.tweets(spark, SF001)
     got = [r["tweet_id"] for r in io.bounded_sample(t, 5, ["tweet_id"]).collect()]
     assert got == [0, 1, 2, 3, 4]
+
+
+def test_auto_reader_by_name_and_by_content(spark, tmp_dir):
+    named = write(os.path.join(tmp_dir, "named.csv"),
+                  "id,brand,label,text\n1,Apple,Positive,hello there\n2,Pear,Negative,bad day\n")
+    got = io.read_tweets_auto(spark, named)
+    assert got.columns == ["tweet_id", "entity", "sentiment", "tweet_content"]
+    assert sorted(r["entity"] for r in got.collect()) == ["Apple", "Pear"]
+    t = fx.tweets(spark, SF001).where("sentiment IS NOT NULL").select("tweet_id", "entity", "sentiment", "tweet_content")
+    path = os.path.join(tmp_dir, "headerless")
+    t.write.options(**io.CSV_OPTIONS).csv(path)
+    got = io.read_tweets_auto(spark, path, header=False)
+    assert sorted(map(tuple, got.collect())) == sorted((str(a), b, c, d) for a, b, c, d in t.collect())
+
+
+def test_resolve_roles_fails_when_a_role_is_missing(spark):
+    df = spark.createDataFrame([("1", "x")], ["id", "text"])
+    with pytest.raises(ValueError, match="missing columns"):
+        sc.resolve_roles(df)
