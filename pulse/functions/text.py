@@ -21,14 +21,17 @@ CLEAN_ASCII_DIGITS = r"[^a-z0-9\s]"
 PY_SPACE = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 # Markup removed before counting words: links (http...), mentions (@...) and
-# hashtags (#...), each up to the next white space.
+# hashtags (#...), each up to the next white space. The reference's Python
+# pattern is  http\S+|@\S+|#\S+  with Unicode \S; this is the same match
+# with \S written out as "not PY_SPACE" (Java's and RE2's \S are ASCII-only).
 MARKUP = rf"(?:http|[@#])[^{PY_SPACE}]+"
 # Letters a word may hold.
 WORD_LETTERS = "a-záéíóúñü"
 # A word starts at the text start or after a char that is not a Unicode word
-# char (letter, digit, underscore), the meaning of \b before a letter.
+# char (letter, digit, underscore), the meaning of \b before a letter: the
+# reference's Python pattern  \b[a-záéíóúñü]+  (capture group 1 is the word).
 TOKEN = rf"(?:^|[^\p{{L}}\p{{N}}_])([{WORD_LETTERS}]+)"
-# A hashtag: '#' and a run of Unicode word chars.
+# A hashtag: '#' and a run of Unicode word chars (Python's  #\w+ ).
 HASHTAG = r"#[\p{L}\p{N}_]+"
 # Known class labels, compared case-folded.
 KNOWN_LABELS = ["positive", "negative", "neutral", "irrelevant", "pos", "neg", "neu"]
