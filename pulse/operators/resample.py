@@ -77,12 +77,16 @@ def resample_to_profile(df: DataFrame, col: str, target: dict[str, float], n, se
     hist = d.groupBy(col, "_b").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(col).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_cum", F.sum("_n").over(run)).join(F.broadcast(want), col)
-    first = (cum.where(F.col("_cum") >= F.col("_want"))
-             .groupBy(col).agg(F.min(F.struct("_b", "_cum", "_n")).alias("c")))
-    cut = (want.join(first, col, "left")
+    # the bucket where the running count first reaches the target: one row
+    # per class (none when the class is short of rows or the target is 0)
+    edge_bucket = cum.where((F.col("_cum") - F.col("_n") < F.col("_want")) & (F.col("_cum") >= F.col("_want")))
+    edge_bucket = edge_bucket.select(col, F.col("_b").alias("_eb"),
+                                     (F.col("_want") - (F.col("_cum") - F.col("_n"))).alias("_en"))
+    cut = (want.join(edge_bucket, col, "left")
            .select(col,
-                   F.coalesce(F.col("c._b"), F.lit(buckets)).alias("_cut"),
-                   F.coalesce(F.col("_want") - (F.col("c._cum") - F.col("c._n")), F.lit(0)).alias("_need")))
+                   F.coalesce(F.col("_eb"), F.when(F.col("_want") == 0, F.lit(-1)).otherwise(F.lit(buckets)))
+                   .alias("_cut"),
+                   F.coalesce(F.col("_en"), F.lit(0)).alias("_need")))
     marked = d.join(F.broadcast(cut), col)
     below = marked.where(F.col("_b") < F.col("_cut"))
     edge = marked.where(F.col("_b") == F.col("_cut"))

@@ -123,3 +123,10 @@ def test_poisson_cdf_mean():
     cdf = sa.poisson_cdf(2.0)
     pmf = [cdf[0]] + [b - a for a, b in zip(cdf, cdf[1:])]
     assert sum(k * p for k, p in enumerate(pmf)) == pytest.approx(2.0)
+
+
+def test_resample_to_profile_zero_target(spark):
+    lab = fx.labelled(spark, SF01).select("tweet_id", "sentiment")
+    got = sa.resample_to_profile(lab, "sentiment", {"Positive": 0.5, "Negative": 0.0}, 100, SEED, "tweet_id", 8)
+    counts = {r["sentiment"]: r["count"] for r in got.groupBy("sentiment").count().collect()}
+    assert counts == {"Positive": 50}
