@@ -27,14 +27,6 @@ def _key_exprs(df: DataFrame, cols: list[str], digest_cols: set[str]):
     return [digest(c).alias(c) if c in digest_cols else F.col(c) for c in cols]
 
 
-def duplicate_count(df: DataFrame, cols: list[str], digest_cols: set[str] | None = None) -> DataFrame:
-    """Rows that repeat an earlier row on ``cols`` (rows - distinct keys),
-    NULL equal to NULL as in pandas' duplicated(). One row: ``dups``."""
-    keys = _key_exprs(df, cols, digest_cols or set())
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("dups"))
-
-
 def duplicate_report(df: DataFrame, keysets: dict[str, list[str]],
                      digest_cols: set[str] | None = None) -> DataFrame:
     """One row: total rows and, per named key set, the rows that repeat an

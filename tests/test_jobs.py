@@ -43,3 +43,11 @@ def test_stream_job_counts_and_rejects(spark, tmp_dir, monkeypatch):
     counts = sorted((r["sentiment"], r["count"]) for r in spark.read.parquet(out).collect())
     assert counts == [("Negative", 1), ("Positive", 1)]
     assert spark.read.parquet(bad).count() == 1
+
+
+def test_materialize_writes_below_checkpoint_dir(spark):
+    from pulse.session import checkpoint_root, materialize
+    df = fx.labelled(spark, SF001).select("tweet_id", "sentiment")
+    back = materialize(df, "labelled")
+    assert back.inputFiles() and all(checkpoint_root(spark).split(":")[-1] in f for f in back.inputFiles())
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
