@@ -323,10 +323,11 @@ def schema_by_content(spark, sf):
     are one aggregate pass; its result (one row per input column) is what
     the role choice needs on the driver, and it is returned as is."""
     m = sc.content_metrics(headerless(spark, sf))
-    rows = [r.asDict() for r in m.collect()]
-    roles = {src: dst for dst, src in sc.choose_roles(rows).items()}
-    out = [(r["position"], r["column"], round(r["digit_share"], 6), round(r["label_share"], 6),
-            round(r["mean_len"], 6), r["n_distinct"], r["rows"], roles.get(r["column"])) for r in rows]
+    shown = ["digit_share", "label_share", "mean_len"]
+    rows = [r.asDict() for r in m.select("*", *[r6(c).alias(f"{c}_r6") for c in shown]).collect()]
+    roles = {src: dst for dst, src in sc.choose_roles(rows).items()}  # decided on exact values
+    out = [(r["position"], r["column"], *[r[f"{c}_r6"] for c in shown], r["n_distinct"], r["rows"],
+            roles.get(r["column"])) for r in rows]
     return spark.createDataFrame(out, "position int, column string, digit_share double, label_share double, "
                                       "mean_len double, n_distinct long, rows long, role string")
 
