@@ -84,6 +84,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Save ``df`` as a table at ``path`` (shared storage), bucketed and
+    sorted by ``key``, and return it. Two tables bucketed the same way on a
+    join key join without a shuffle: the layout for documents and labels
+    when labels are too large to broadcast."""
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def bounded_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first n rows by ``order`` (a preview or bounded export): each
     partition keeps its own n smallest, then one task merges them."""

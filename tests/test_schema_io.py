@@ -121,3 +121,21 @@ def test_resolve_roles_fails_when_a_role_is_missing(spark):
     df = spark.createDataFrame([("1", "x")], ["id", "text"])
     with pytest.raises(ValueError, match="missing columns"):
         sc.resolve_roles(df)
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_dir):
+    from pulse.session import shared_path
+    docs = fx.table(spark, SF001, "documents").select("doc_id", "text")
+    labels = fx.table(spark, SF001, "labels")
+    d = io.write_bucketed(docs, "docs_b", "doc_id", 4, shared_path(spark, "docs_b"))
+    lab = io.write_bucketed(labels, "labels_b", "doc_id", 4, shared_path(spark, "labels_b"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # force a shuffled join: bucketing must remove its shuffles
+    try:
+        j = d.join(lab, "doc_id", "left")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == docs.count()
+    finally:
+        spark.conf.set(key, before)
