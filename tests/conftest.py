@@ -15,7 +15,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from pulse.session import get_spark
     s = get_spark("local[*]", shuffle_partitions=8, app="pulse-tests",
-                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="pulse-test-ckpt-")})
+                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="pulse-test-ckpt-"),
+                         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pulse-test-wh-")})
     yield s
     s.stop()
 
