@@ -40,11 +40,11 @@ def clean_tweets(df: DataFrame) -> DataFrame:
     return dd.drop_incomplete(df, REQUIRED).withColumn("tweet_content_cleaned", clean_text("tweet_content"))
 
 
-def batch_job(spark: SparkSession, source: DataFrame | str, out_path: str, header: bool = True,
+def batch_job(spark: SparkSession, source: DataFrame | str | list[str], out_path: str, header: bool = True,
               partition_by: list[str] | None = None) -> BatchResult:
     """Run the batch job. ``source`` is a DataFrame with canonical names or
     CSV path(s). The whole cleaned table is written (no row cap)."""
-    df = io.read_tweets_csv(spark, source, header=header) if isinstance(source, str) else source
+    df = source if isinstance(source, DataFrame) else io.read_tweets_csv(spark, source, header=header)
     io.write_parquet(clean_tweets(df).select(*REQUIRED, "tweet_content_cleaned"), out_path,
                      partition_by=partition_by)
     written = io.read_parquet(spark, out_path)

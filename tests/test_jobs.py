@@ -51,3 +51,22 @@ def test_materialize_writes_below_checkpoint_dir(spark):
     back = materialize(df, "labelled")
     assert back.inputFiles() and all(checkpoint_root(spark).split(":")[-1] in f for f in back.inputFiles())
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_cli_batch_and_validate(tmp_dir):
+    import subprocess
+    import sys
+    from conftest import ROOT
+    p = write(os.path.join(tmp_dir, "t.csv"), CSV_TEXT)
+    out = os.path.join(tmp_dir, "out")
+    env = dict(os.environ, PYTHONPATH=ROOT)
+    r = subprocess.run([sys.executable, "-m", "pulse", "--master", "local[2]", "batch", "--csv", p, "--out", out],
+                       env=env, capture_output=True, text=True, timeout=600, cwd=tmp_dir)
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert "Apple" in r.stdout and os.path.isdir(out)
+    rep = os.path.join(tmp_dir, "report")
+    r = subprocess.run([sys.executable, "-m", "pulse", "--master", "local[2]", "validate", "--reference", out,
+                        "--candidate", out, "--out", rep], env=env, capture_output=True, text=True,
+                       timeout=600, cwd=tmp_dir)
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert "sentiment_max_diff" in r.stdout and os.path.isdir(rep)
