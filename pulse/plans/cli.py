@@ -35,14 +35,17 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--csv", required=True, nargs="+")
     b.add_argument("--out", required=True)
     b.add_argument("--no-header", action="store_true")
-    s = sub.add_parser("stream", help="Kafka -> minute counts Parquet")
-    s.add_argument("--servers", required=True)
+    s = sub.add_parser("stream", help="Kafka topic or folder of JSON lines -> minute counts Parquet")
+    src = s.add_mutually_exclusive_group(required=True)
+    src.add_argument("--servers", help="Kafka bootstrap servers")
+    src.add_argument("--folder", help="folder watched for files of JSON lines, one message per line")
     s.add_argument("--topic", default="raw_tweets")
     s.add_argument("--out", required=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--rejects")
     s.add_argument("--watermark", default="10 minutes")
     s.add_argument("--trigger", default="30 seconds")
+    s.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     v = sub.add_parser("validate", help="acceptance of a candidate table against a reference")
     v.add_argument("--reference", required=True)
     v.add_argument("--candidate", required=True)
@@ -55,8 +58,12 @@ def main(argv: list[str] | None = None) -> None:
         r.by_sentiment.show(truncate=False)
         r.top_entities.show(truncate=False)
     elif a.job == "stream":
-        qs = jobs.stream_job(spark, a.servers, a.topic, a.out, a.checkpoint, a.rejects, a.watermark,
-                             {"processingTime": a.trigger})
+        trigger = {"availableNow": True} if a.available_now else {"processingTime": a.trigger}
+        if a.servers:
+            qs = jobs.stream_job(spark, a.servers, a.topic, a.out, a.checkpoint, a.rejects, a.watermark, trigger)
+        else:
+            src = spark.readStream.format("text").load(a.folder)
+            qs = jobs.stream_counts(src, a.out, a.checkpoint, a.rejects, a.watermark, trigger)
         for q in qs:
             q.awaitTermination()
     else:

@@ -51,13 +51,11 @@ def batch_job(spark: SparkSession, source: DataFrame | str | list[str], out_path
     return BatchResult(written, ag.count_by(written, "sentiment"), ag.top_by_count(written, "entity", 10))
 
 
-def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, checkpoint: str,
-               reject_path: str | None = None, watermark: str = sj.DEFAULT_WATERMARK,
-               trigger: dict | None = None, starting: str = "latest") -> list[StreamingQuery]:
-    """Start the streaming job on a Kafka topic (needs the Kafka connector
-    on the classpath). Returns the started queries: counts, and rejects when
-    ``reject_path`` is given."""
-    src = sj.kafka_source(spark, servers, topic, starting)
+def stream_counts(src: DataFrame, out_path: str, checkpoint: str, reject_path: str | None = None,
+                  watermark: str = sj.DEFAULT_WATERMARK, trigger: dict | None = None) -> list[StreamingQuery]:
+    """Start the streaming job on any stream with a ``value`` column (a topic,
+    or a folder of JSON lines). Returns the started queries: counts, and
+    rejects when ``reject_path`` is given."""
     queries = [sj.stream_to_parquet(sj.minute_count_stream(src, watermark), out_path,
                                     checkpoint + "/counts", trigger, "minute_counts",
                                     state_partitions=sj.STATE_PARTITIONS)]
@@ -67,6 +65,15 @@ def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, che
     return queries
 
 
+def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, checkpoint: str,
+               reject_path: str | None = None, watermark: str = sj.DEFAULT_WATERMARK,
+               trigger: dict | None = None, starting: str = "latest") -> list[StreamingQuery]:
+    """The streaming job on a Kafka topic (needs the Kafka connector on the
+    classpath)."""
+    src = sj.kafka_source(spark, servers, topic, starting)
+    return stream_counts(src, out_path, checkpoint, reject_path, watermark, trigger)
+
+
 def validate(reference: DataFrame, candidate: DataFrame) -> dict[str, DataFrame]:
     """Profile the reference corpus and compare a candidate table with it."""
     return {

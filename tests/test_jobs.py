@@ -70,3 +70,21 @@ def test_cli_batch_and_validate(tmp_dir):
                        timeout=600, cwd=tmp_dir)
     assert r.returncode == 0, r.stderr[-2000:]
     assert "sentiment_max_diff" in r.stdout and os.path.isdir(rep)
+
+
+def test_cli_stream_from_folder(tmp_dir):
+    import subprocess
+    import sys
+    from conftest import ROOT
+    from test_streaming import msg_a, write_lines
+    src = os.path.join(tmp_dir, "src")
+    write_lines(src, "m.txt", [msg_a(1, "Positive", 10), "garbage", msg_a(2, "Neutral", 30 * 60)])
+    args = ["stream", "--folder", src, "--out", os.path.join(tmp_dir, "out"), "--checkpoint",
+            os.path.join(tmp_dir, "ck"), "--rejects", os.path.join(tmp_dir, "bad"), "--available-now"]
+    r = subprocess.run([sys.executable, "-m", "pulse", "--master", "local[2]", *args],
+                       env=dict(os.environ, PYTHONPATH=ROOT), capture_output=True, text=True, timeout=600)
+    assert r.returncode == 0, r.stderr[-2000:]
+    import pyarrow.parquet as pq
+    counts = pq.read_table(os.path.join(tmp_dir, "out")).to_pylist()
+    assert [(c["sentiment"], c["count"]) for c in counts] == [("Positive", 1)]
+    assert pq.read_table(os.path.join(tmp_dir, "bad")).num_rows == 1
