@@ -32,9 +32,11 @@ def mean_sentiment(df: DataFrame, by: str = "entity", cls: str = "sentiment") ->
     return d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(score(cls)).alias("mean_score"))
 
 
-def mention_volume(df: DataFrame, time_col: str, by: str = "entity", every: str = "1 day") -> DataFrame:
-    """Mentions per ``by`` and period."""
-    return window_counts(df, time_col, [by], every, name="mentions")
+def mention_volume(df: DataFrame, time_col: str, by: str = "entity", every: str = "1 day",
+                   watermark: str | None = None) -> DataFrame:
+    """Mentions per ``by`` and period. With ``watermark`` it runs on a stream
+    too (append mode: a period is emitted once the watermark passes it)."""
+    return window_counts(df, time_col, [by], every, watermark, name="mentions")
 
 
 def hashtag_counts(df: DataFrame, text: str, time_col: str, every: str = "1 day") -> DataFrame:

@@ -111,3 +111,15 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_dir):
     got = spark.read.parquet(out)
     assert got.count() > 0
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_mention_volume_on_a_stream(spark, tmp_dir):
+    from pulse.operators import measures as ms
+    src = os.path.join(tmp_dir, "src")
+    write_lines(src, "m.txt", [msg_a(1, "Positive", 5), msg_a(2, "Negative", 50), msg_a(3, "Neutral", 3 * 3600)])
+    dec = sm.accepted(sm.decode_messages(text_stream(spark, src)))
+    vol = ms.mention_volume(dec, "event_time", "entity", "1 hour", watermark="10 minutes")
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    sj.stream_to_parquet(vol, out, ck, {"availableNow": True}).awaitTermination()
+    got = [(str(r["w_start"]), r["entity"], r["mentions"]) for r in spark.read.parquet(out).collect()]
+    assert got == [("2024-01-01 00:00:00", "e", 2)]  # the 03:00 hour is still open
