@@ -32,6 +32,18 @@ def mean_sentiment(df: DataFrame, by: str = "entity", cls: str = "sentiment") ->
     return d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(score(cls)).alias("mean_score"))
 
 
+def sentiment_over_time(df: DataFrame, time_col: str, every: str = "1 hour", by: list[str] | None = None,
+                        cls: str = "sentiment", watermark: str | None = None) -> DataFrame:
+    """Mean score and rows with a class per period (and ``by``): the
+    real-time average sentiment. With ``watermark`` it runs on a stream
+    (append mode: a period is emitted once the watermark passes it)."""
+    d = df.where(F.col(cls).isNotNull())
+    src = d.withWatermark(time_col, watermark) if watermark else d
+    g = src.groupBy(F.window(time_col, every).alias("w"), *(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score(cls)).alias("mean_score"))
+    return g.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), *(by or []), "n", "mean_score")
+
+
 def mention_volume(df: DataFrame, time_col: str, by: str = "entity", every: str = "1 day",
                    watermark: str | None = None) -> DataFrame:
     """Mentions per ``by`` and period. With ``watermark`` it runs on a stream

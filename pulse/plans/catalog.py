@@ -424,6 +424,14 @@ def mean_sentiment(spark, sf):
     return m.select("entity", "n", r6("mean_score").alias("mean_score"))
 
 
+@query
+def sentiment_hourly(spark, sf):
+    """Average sentiment per hour over the events mapped to classes."""
+    ev = wall_clock_events(spark, sf).select("ts", fx.event_class("sentiment").alias("sentiment"))
+    t = ms.sentiment_over_time(ev, "ts", "1 hour")
+    return t.select("w_start", "w_end", "n", r6("mean_score").alias("mean_score"))
+
+
 @query
 def mention_volume(spark, sf):
     return ms.mention_volume(wall_clock_events(spark, sf), "ts", "entity", "1 day")

@@ -514,3 +514,8 @@ SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS pass
   SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (original_tweet_id IS NULL)::BIGINT + (copy IS NULL)::BIGINT
            + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT + (tweet_content IS NULL)::BIGINT
            + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0::DOUBLE FROM cand)"""
+
+O["sentiment_hourly"] = f"""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS w_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS w_end,
+       count(*) AS n, round(avg({_SCORE.format(c='cls')}), 6) AS mean_score
+FROM (SELECT ts, {_EV_CLASS} AS cls FROM events) WHERE cls IS NOT NULL GROUP BY ALL"""

@@ -95,7 +95,7 @@ def test_top_per_class_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-TIME_QUERIES = ["minute_counts", "mention_volume", "hashtag_trend", "decode_json", "roundtrip_json",
+TIME_QUERIES = ["minute_counts", "mention_volume", "sentiment_hourly", "hashtag_trend", "decode_json", "roundtrip_json",
                 "encode_json", "stream_minute_counts"]
 
 

@@ -123,3 +123,16 @@ def test_mention_volume_on_a_stream(spark, tmp_dir):
     sj.stream_to_parquet(vol, out, ck, {"availableNow": True}).awaitTermination()
     got = [(str(r["w_start"]), r["entity"], r["mentions"]) for r in spark.read.parquet(out).collect()]
     assert got == [("2024-01-01 00:00:00", "e", 2)]  # the 03:00 hour is still open
+
+
+def test_sentiment_over_time_on_a_stream(spark, tmp_dir):
+    from pulse.operators import measures as ms
+    src = os.path.join(tmp_dir, "src")
+    write_lines(src, "m.txt", [msg_a(1, "Positive", 60), msg_a(2, "Negative", 120), msg_a(3, "Positive", 600),
+                               msg_a(4, "Neutral", 5 * 3600)])
+    dec = sm.accepted(sm.decode_messages(text_stream(spark, src)))
+    t = ms.sentiment_over_time(dec, "event_time", "1 hour", watermark="10 minutes")
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    sj.stream_to_parquet(t, out, ck, {"availableNow": True}).awaitTermination()
+    got = [(str(r["w_start"]), r["n"], round(r["mean_score"], 6)) for r in spark.read.parquet(out).collect()]
+    assert got == [("2024-01-01 00:00:00", 3, round(1 / 3, 6))]
