@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, packing, rules
+from . import chat, decontaminate, jaccard, langid, packing, rules, suffix
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_control_case(read(spark, sf_dir, "conversations")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
@@ -31,8 +35,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op7_language_id, op8_best_fit_packing,
-                            op9_benchmark_decontamination)}
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op5_suffix_dedup, op7_language_id,
+                            op8_best_fit_packing, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.oracle()}
