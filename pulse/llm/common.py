@@ -16,6 +16,8 @@ from pulse.session import checkpoint_root
 # long ones must still fit beside the Python worker's own arrays.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
+# What may be sent to every task whole.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent_whole(df: DataFrame, array: str | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A checkpointed table, marked for broadcast only where its rows, and the
+    entries of its ``array``, take few bytes; else it is joined by a shuffle."""
+    n, entries = df.agg(F.count("*"), F.sum(F.size(array)) if array else F.lit(0)).first()
+    return F.broadcast(df) if 64 * n + 64 * (entries or 0) <= most else df
+
+
 def key64(*cols):
     """A 64-bit key of the columns; nulls count as a value of their own."""
     parts = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, langid, packing, rules, suffix
+from . import chat, decontaminate, html, importance, jaccard, langid, packing, rules, suffix, tokens
 from .common import read
 
 
@@ -19,10 +19,22 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_control_case(read(spark, sf_dir, "conversations")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
@@ -40,7 +52,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op5_suffix_dedup, op7_language_id,
+    f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_html_extraction,
+                            op4_importance_resampling, op5_suffix_dedup, op6_token_counts, op7_language_id,
                             op8_best_fit_packing, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.oracle()}
