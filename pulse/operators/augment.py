@@ -118,11 +118,15 @@ def augment_words(df: DataFrame, text: str, id_col: str, seed: int, copy="copy",
 def augment(df: DataFrame, copies: int, seed: int, base_time: float, id_col: str = "tweet_id",
             text: str = "tweet_content", mapping: dict | None = None) -> DataFrame:
     """k augmented copies of every row, as messages of contract A: a new id
-    (hash of seed, original id and copy, in place of a random UUID), the
-    original id, entity, sentiment, augmented text and a fixed event time."""
-    expanded = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
-    aug = augment_words(expanded, text, id_col, seed, "copy", mapping)
-    new_id = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("copy").cast("string")))
+    (hash of seed, row and copy, in place of a random UUID), the original id,
+    entity, sentiment, augmented text and a fixed event time. Ids and draws
+    come from the row's content (id, entity, class, text), so rows that share
+    an id stay apart; only wholly equal rows get equal copies."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+                                   for c in (id_col, "entity", "sentiment", text)]))
+    expanded = df.select("*", row.alias("_row"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    aug = augment_words(expanded, text, "_row", seed, "copy", mapping)
+    new_id = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_row"), F.col("copy").cast("string")))
     return aug.select(new_id.alias("tweet_id"),
                       F.col(id_col).cast("string").alias("original_tweet_id"),
                       F.col("copy"), F.col("entity"), F.col("sentiment"),

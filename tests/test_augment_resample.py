@@ -73,12 +73,17 @@ def test_augment_table_ids_and_copies(spark):
 
 
 def profile_brute(pdf, target, n, seed):
+    total = sum(target.values())
+    quota = {c: v / total * n for c, v in target.items()}
+    want = {c: math.floor(q) for c, q in quota.items()}
+    for c in sorted(quota, key=lambda c: (want[c] - quota[c], c))[:n - sum(want.values())]:
+        want[c] += 1
     out = []
-    for cls, share in target.items():
+    for cls, k in want.items():
         g = pdf[pdf.sentiment == cls].copy()
         g["u"] = [u(seed, i, "profile") for i in g.tweet_id]
-        g = g.sort_values(["u", "tweet_id"]).head(math.floor(share * n))
-        out += list(g.tweet_id)
+        ids = list(g.sort_values(["u", "tweet_id"]).tweet_id)
+        out += ids * (k // len(ids)) + ids[:k % len(ids)]
     return sorted(out)
 
 
@@ -86,22 +91,42 @@ def test_resample_to_profile_equals_brute_force(spark):
     lab = fx.labelled(spark, SF01).select("tweet_id", "sentiment")
     pdf = pd.DataFrame(lab.collect(), columns=lab.columns)
     target = {"Positive": 0.5, "Neutral": 0.2, "Irrelevant": 0.2, "Negative": 0.1}
-    for buckets in (4, 1 << 16):
-        got = sa.resample_to_profile(lab.repartition(5), "sentiment", target, 150, SEED, "tweet_id", buckets)
-        assert sorted(r["tweet_id"] for r in got.collect()) == profile_brute(pdf, target, 150, SEED)
+    for buckets, n in ((4, 150), (1 << 16, 150), (1 << 16, 1001)):
+        got = sa.resample_to_profile(lab.repartition(5), "sentiment", target, n, SEED, "tweet_id", buckets)
+        assert sorted(r["tweet_id"] for r in got.collect()) == profile_brute(pdf, target, n, SEED)
 
 
-def test_resample_to_profile_short_class_and_shortfall(spark):
+def test_resample_to_profile_reaches_the_mix_with_short_classes(spark):
     lab = fx.labelled(spark, SF01).select("tweet_id", "sentiment")
     target = sa.REFERENCE_PROFILE
     got = sa.resample_to_profile(lab, "sentiment", target, 399, SEED, "tweet_id")
     counts = {r["sentiment"]: r["count"] for r in got.groupBy("sentiment").count().collect()}
+    assert sum(counts.values()) == 399
+    assert all(abs(counts[c] / 399 - share) <= 1 / 399 + 1e-4 for c, share in target.items())
     short = {r["sentiment"]: (r["wanted"], r["available"], r["short"])
              for r in sa.profile_shortfall(lab, "sentiment", target, 399).collect()}
-    for cls, (wanted, available, miss) in short.items():
-        assert counts.get(cls, 0) == min(wanted, available)
-        assert miss == max(wanted - available, 0)
-    assert short["Negative"][2] > 0
+    assert {c: w for c, (w, _, _) in short.items()} == counts
+    assert all(miss == max(w - have, 0) for w, have, miss in short.values()) and short["Negative"][2] > 0
+
+
+def test_resample_to_profile_raises_on_a_class_without_rows(spark):
+    lab = fx.labelled(spark, SF01).select("tweet_id", "sentiment")
+    with pytest.raises(Exception, match="no rows of class Joyful"):
+        sa.resample_to_profile(lab, "sentiment", {"Positive": 0.5, "Joyful": 0.5}, 10, SEED, "tweet_id").collect()
+
+
+@pytest.mark.parametrize("factor", [0.1, 50.0, 800.0])
+def test_resample_mean_at_any_factor(spark, factor):
+    lab = fx.labelled(spark, SF01).select("tweet_id")
+    n = lab.count()
+    got = sa.resample(lab, factor, SEED, "tweet_id").count()
+    assert abs(got - n * factor) < 5 * math.sqrt(n * min(factor, 10)) + 1
+
+
+@pytest.mark.parametrize("factor", [-1.0, float("nan"), float("inf")])
+def test_resample_rejects_bad_factors(spark, factor):
+    with pytest.raises(ValueError):
+        sa.resample(fx.labelled(spark, SF01), factor, SEED, "tweet_id")
 
 
 def test_resample_uniform_is_with_replacement(spark):
@@ -129,4 +154,11 @@ def test_resample_to_profile_zero_target(spark):
     lab = fx.labelled(spark, SF01).select("tweet_id", "sentiment")
     got = sa.resample_to_profile(lab, "sentiment", {"Positive": 0.5, "Negative": 0.0}, 100, SEED, "tweet_id", 8)
     counts = {r["sentiment"]: r["count"] for r in got.groupBy("sentiment").count().collect()}
-    assert counts == {"Positive": 50}
+    assert counts == {"Positive": 100}
+
+
+def test_augment_keeps_rows_of_one_id_apart(spark):
+    df = spark.createDataFrame([(1, "e", "Positive", "one text here"), (1, "e", "Positive", "another text")],
+                               "tweet_id long, entity string, sentiment string, tweet_content string")
+    got = au.augment(df, 3, SEED, 0.0).collect()
+    assert len({r["tweet_id"] for r in got}) == 6
