@@ -46,7 +46,7 @@ def test_json_array_layout(spark, tmp_dir):
             {"Tweet ID": 10002, "Entity": "A&B", "Sentiment": "Positive", "Tweet content": "yo",
              "timestamp": "not a time"}]
     p = write(os.path.join(tmp_dir, "t.json"), json.dumps(recs, indent=2))
-    got = sorted(io.read_tweets_json(spark, p).collect(), key=lambda r: r["tweet_id"])
+    got = sorted(io.read_tweets_json(spark, p, multi_line=True).collect(), key=lambda r: r["tweet_id"])
     assert [r["entity"] for r in got] == ["X (Y)", "A&B"]
     assert got[0]["tweet_content"] == "hi "
     assert str(got[0]["event_time"]) == "2025-11-09 20:33:41.123456"
