@@ -136,3 +136,13 @@ def test_sentiment_over_time_on_a_stream(spark, tmp_dir):
     sj.stream_to_parquet(t, out, ck, {"availableNow": True}).awaitTermination()
     got = [(str(r["w_start"]), r["n"], round(r["mean_score"], 6)) for r in spark.read.parquet(out).collect()]
     assert got == [("2024-01-01 00:00:00", 3, round(1 / 3, 6))]
+
+
+def test_rejects_carry_their_value_and_place(spark):
+    from pulse.streaming import messages as sm
+    df = spark.createDataFrame([(b"not json", "t", 3, 7), (b'{"sentiment":"P","timestamp":1.0}', "t", 3, 8)],
+                               "value binary, topic string, partition int, offset long")
+    got = sm.rejected(sm.decode_messages(df)).collect()
+    assert [(r["raw"], r["topic"], r["partition"], r["offset"]) for r in got] == [("not json", "t", 3, 7)]
+    kept = sm.accepted(sm.decode_messages(df))
+    assert kept.count() == 1 and "raw" not in kept.columns and "offset" not in kept.columns
