@@ -1,7 +1,7 @@
 """Duplicate counts, keep-first de-duplication and appending tables.
 
 Duplicate work groups on a key and counts; long texts are grouped by their
-SHA-256 digest, so the shuffle carries 32 bytes per row instead of the text.
+SHA-256 digest, so the shuffle carries 64 characters per row instead of the text.
 Keep-first is row_number() = 1 per key. Spark plans it with a partial
 WindowGroupLimit before the exchange: every map partition keeps only its
 first row per key, so even a key holding a third of all rows sends one row
@@ -51,13 +51,15 @@ def duplicate_report(df: DataFrame, keysets: dict[str, list[str]],
     return per_set.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("rows"), *dups)
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str], tiebreak: bool = False) -> DataFrame:
-    """Keep one row per ``key``: the first by ``order``. Give a total order
-    within a key (e.g. source rank and a row key) for a repeatable result;
-    ``tiebreak=True`` appends the other columns to the order instead, at the
-    cost of reading them all."""
-    rest = [c for c in df.columns if c not in key and c not in order]
-    by = [F.col(c) for c in order] + ([F.col(c) for c in rest] if tiebreak else [])
+def keep_first(df: DataFrame, key: list[str], order: list[str], total: bool = False) -> DataFrame:
+    """Keep one row per ``key``: the first by ``order``, ties broken by the
+    other columns (strings by their MD5), so that rows which repeat a key
+    inside one source give the same result on any partitioning. ``total=True``
+    says that ``order`` has no ties within a key, which spares reading the
+    other columns."""
+    rest = [] if total else [f for f in df.schema.fields if f.name not in key and f.name not in order]
+    by = [F.col(c) for c in order]
+    by += [F.md5(F.col(f"`{f.name}`")) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rest]
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(*by))
     return df.withColumn("_rn", rn).where(F.col("_rn") == 1).drop("_rn")
 
@@ -70,5 +72,8 @@ def append_tables(frames: list[DataFrame], rank_col: str = "source_rank") -> Dat
 
 
 def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Drop rows with a NULL in any of ``cols`` (all columns by default)."""
-    return df.dropna(how="any", subset=cols)
+    """Drop rows with a NULL in any of ``cols`` (all columns by default). One
+    IS NOT NULL per column, which Catalyst splits, pushes below joins and into
+    the scan; dropna's row count of non-NULLs would stay above them."""
+    tests = [F.col(f"`{c}`").isNotNull() for c in (cols or df.columns)]
+    return df.where(reduce(lambda a, b: a & b, tests))

@@ -74,5 +74,12 @@ def test_duplicate_report_empty_and_repeated_sets(spark):
 
 def test_keep_first_tiebreak_uses_other_columns(spark):
     df = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (2, 0, "z")], "k long, o long, t string")
-    got = {r["k"]: r["t"] for r in dd.keep_first(df.repartition(3), ["k"], ["o"], tiebreak=True).collect()}
+    got = {r["k"]: r["t"] for r in dd.keep_first(df.repartition(3), ["k"], ["o"]).collect()}
     assert got == {1: "a", 2: "z"}
+
+
+def test_keep_first_is_the_same_on_any_partitioning(spark):
+    df = spark.createDataFrame([(i % 5, 0, f"text {i * 7919 % 101}", None if i % 3 else "x") for i in range(200)],
+                               "k long, o int, t string, c string")
+    got = [sorted(map(tuple, dd.keep_first(df.repartition(n), ["k"], ["o"]).collect())) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
