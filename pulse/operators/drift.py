@@ -7,11 +7,11 @@ the input tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.text import text_length
-from pulse.operators.aggregates import shares, union_all
+from pulse.operators.aggregates import shares
 
 # Acceptance limits. Shares are compared as absolute
 # differences, summaries as percentages of the base side.
@@ -78,63 +78,67 @@ def integrity_report(df: DataFrame, id_col: str = "tweet_id", entity: str = "ent
                   F.sum(nulls).alias("null_cells"))
 
 
-def table_profile(df: DataFrame, cls: str = "sentiment", entity: str = "entity",
-                  text: str = "tweet_content") -> DataFrame:
-    """One pass over a table with GROUPING SETS ((class), (entity), ()):
-    rows per class, rows per entity, and for the whole table the rows, the
-    length summary and the NULL cells. Output: section ('class', 'entity',
-    'all'), key, n, mean, std, min, max, null_cells - one row per class, per
-    entity and one for the table. The expand is over four narrow columns and
-    the partial aggregate collapses it before the shuffle."""
-    nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
-    d = df.select(F.col(cls).alias("_c"), F.col(entity).alias("_e"),
-                  text_length(text).alias("_l"), nulls.alias("_z"))
-    g = d.groupingSets([["_c"], ["_e"], []], "_c", "_e").agg(
-        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"),
-        F.avg("_l").alias("mean"), F.stddev_samp("_l").alias("std"),
-        F.min("_l").cast("double").alias("min"), F.max("_l").cast("double").alias("max"),
-        F.sum("_z").alias("null_cells"))
-    section = F.when(F.col("_g") == 1, "class").when(F.col("_g") == 2, "entity").otherwise("all")
-    key = F.when(F.col("_g") == 1, F.col("_c")).when(F.col("_g") == 2, F.col("_e"))
-    return g.select(section.alias("section"), key.alias("key"), "n", "mean", "std", "min", "max", "null_cells")
-
-
-def _profile_shares(p: DataFrame, share: str) -> DataFrame:
-    cats = p.where(F.col("section").isin("class", "entity") & F.col("key").isNotNull())
-    totals = cats.groupBy("section").agg(F.sum("n").alias("_t"))  # two rows: a fixed-size side
-    return cats.join(F.broadcast(totals), "section").select("section", "key", (F.col("n") / F.col("_t")).alias(share))
+def table_profiles(a: DataFrame, b: DataFrame, cls: str = "sentiment", entity: str = "entity",
+                   text: str = "tweet_content") -> DataFrame:
+    """Both tables in one pass with GROUPING SETS ((side, class), (side,
+    entity), (side, text digest)): rows per class and per entity, and, per
+    distinct text, its rows, length and NULL cells, from which the whole-table
+    summary and the repeated texts follow. Output: side, section ('class',
+    'entity', 'all'), key, n, mean, std, null_cells, texts."""
+    def narrow(df, side):
+        nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+        return df.select(F.lit(side).alias("side"), F.col(cls).alias("_c"), F.col(entity).alias("_e"),
+                         F.md5(F.col(text)).alias("_t"), text_length(text).cast("long").alias("_l"), nulls.alias("_z"))
+    d = narrow(a, "a").unionByName(narrow(b, "b"))
+    g = d.groupingSets([["side", "_c"], ["side", "_e"], ["side", "_t"]], "side", "_c", "_e", "_t").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.max("_l").alias("_l"), F.sum("_z").alias("_z"))
+    # grouping_id: a bit for each column left out, of (side, class, entity, text)
+    section = F.when(F.col("_g") == 3, "class").when(F.col("_g") == 5, "entity").otherwise("all")
+    key = F.when(F.col("_g") == 3, F.col("_c")).when(F.col("_g") == 5, F.col("_e"))
+    # Lengths weighted by rows; the spread from exact sums of integers.
+    has = F.when(F.col("_l").isNotNull(), F.col("n"))
+    s0, s1, s2 = F.sum(has), F.sum(has * F.col("_l")), F.sum((has * F.col("_l") * F.col("_l")).cast("decimal(38,0)"))
+    out = g.select("side", section.alias("section"), key.alias("key"), "n", "_l", "_z")
+    out = out.groupBy("side", "section", "key").agg(
+        F.sum("n").alias("n"), s0.alias("_s0"), s1.alias("_s1"), s2.alias("_s2"),
+        F.sum("_z").alias("null_cells"), F.count(F.lit(1)).alias("texts"))
+    n, m = F.col("_s0").cast("decimal(38,0)"), F.col("_s1").cast("decimal(38,0)")
+    spread = (n * F.col("_s2") - m * m).cast("double") / (F.col("_s0") * (F.col("_s0") - 1)).cast("double")
+    return out.select("side", "section", "key", "n", (F.col("_s1") / F.col("_s0")).alias("mean"),
+                      F.when(F.col("_s0") > 1, F.sqrt(spread)).alias("std"), "null_cells", "texts")
 
 
 def acceptance(a: DataFrame, b: DataFrame, text: str = "tweet_content",
                cls: str = "sentiment", entity: str = "entity") -> DataFrame:
     """One row per acceptance criterion: measured result, limit, pass flag.
-    Each table is read once (``table_profile``); everything after that works
-    on the two small profiles."""
-    pa, pb = table_profile(a, cls, entity, text), table_profile(b, cls, entity, text)
-    sa, sb = _profile_shares(pa, "share_a"), _profile_shares(pb, "share_b")
-    diff = F.abs(F.col("share_a") - F.coalesce(F.col("share_b"), F.lit(0.0)))
-    drift = (sa.join(sb, ["section", "key"], "left").groupBy("section").agg(F.max(diff).alias("result"))
-             .select(F.concat(F.when(F.col("section") == "class", F.lit("sentiment")).otherwise(F.col("section")),
-                              F.lit("_max_diff")).alias("criterion"),
-                     "result", F.lit(SHARE_TOL).alias("limit")))
-    # the two whole-table rows, folded into one row (no join needed)
-    whole = union_all([pa.where(F.col("section") == "all").withColumn("_s", F.lit("a")),
-                       pb.where(F.col("section") == "all").withColumn("_s", F.lit("b"))])
+    Each table is read once (``table_profiles``); its small result is folded
+    by further aggregates, without a join."""
+    p = table_profiles(a, b, cls, entity, text)
 
     def side(c, s):
-        return F.max(F.when(F.col("_s") == s, F.col(c)))
-    both = whole.agg(side("mean", "a").alias("mean_a"), side("std", "a").alias("std_a"),
-                     side("mean", "b").alias("mean_b"), side("std", "b").alias("std_b"),
-                     side("null_cells", "b").alias("null_cells"))
-
-    def pct(x, y):
-        return F.when(F.col(x) > 0, F.abs(F.col(x) - F.col(y)) / F.col(x) * 100).otherwise(0.0)
-    lens = both.select(F.explode(F.array(
-        F.struct(F.lit("length_mean_pct").alias("criterion"), pct("mean_a", "mean_b").alias("result"),
-                 F.lit(PCT_TOL["mean"]).alias("limit")),
-        F.struct(F.lit("length_std_pct").alias("criterion"), pct("std_a", "std_b").alias("result"),
-                 F.lit(REPORT_STD_TOL).alias("limit")),
-        F.struct(F.lit("null_cells").alias("criterion"), F.col("null_cells").cast("double").alias("result"),
-                 F.lit(0.0).alias("limit"))))).select("col.*")
-    rows = union_all([drift, lens])
-    return rows.withColumn("passed", F.col("result") <= F.col("limit"))
+        return F.max(F.when(F.col("side") == s, F.col(c)))
+    # One row per class, entity and (key NULL) whole table, both sides beside each other.
+    per = p.groupBy("section", "key").agg(
+        *[side(c, s).alias(f"{c}_{s}") for c in ("n", "mean", "std", "null_cells", "texts") for s in "ab"])
+    listed = F.col("section").isin("class", "entity") & F.col("key").isNotNull()
+    total = lambda s: F.sum(F.when(listed, F.col(f"n_{s}"))).over(Window.partitionBy("section"))
+    share = lambda s: F.coalesce(F.col(f"n_{s}"), F.lit(0)) / total(s)
+    per = per.withColumn("diff", F.when(listed & F.col("n_a").isNotNull(),
+                                        F.abs(share("a") - F.coalesce(share("b"), F.lit(0.0)))))
+
+    def of(section, c):
+        return F.max(F.when(F.col("section") == section, F.col(c)))
+
+    def pct(c):
+        x, y = of("all", f"{c}_a"), of("all", f"{c}_b")
+        return F.when(x > 0, F.abs(x - y) / x * 100).otherwise(0.0)
+    rows = of("all", "n_b")
+    measured = [("sentiment_max_diff", of("class", "diff"), SHARE_TOL), ("entity_max_diff", of("entity", "diff"), SHARE_TOL),
+                ("length_mean_pct", pct("mean"), PCT_TOL["mean"]), ("length_std_pct", pct("std"), REPORT_STD_TOL),
+                ("null_cells", of("all", "null_cells_b").cast("double"), 0.0),
+                ("repeated_texts_pct", 100.0 * (rows - of("all", "texts_b")) / rows, 0.0)]
+    one = per.agg(*[c.alias(name) for name, c, _ in measured])
+    out = one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("criterion"), F.col(name).alias("result"), F.lit(limit).alias("limit"))
+        for name, _, limit in measured])).alias("c")).select("c.*")
+    return out.withColumn("passed", F.col("result") <= F.col("limit"))

@@ -51,10 +51,25 @@ def test_integrity_and_acceptance(spark):
     assert acc["sentiment_max_diff"] and acc["entity_max_diff"] and not acc["null_cells"]
 
 
-def test_table_profile_sections(spark):
-    df = frame(spark, [(1, "e", "P", "ab"), (2, "f", "N", "abcd"), (3, "e", None, None)])
-    got = {(r["section"], r["key"]): r for r in dq.table_profile(df).collect()}
-    assert got[("class", "P")]["n"] == 1 and got[("class", None)]["n"] == 1
-    assert got[("entity", "e")]["n"] == 2
-    whole = got[("all", None)]
-    assert (whole["n"], whole["mean"], whole["min"], whole["max"], whole["null_cells"]) == (3, 3.0, 2.0, 4.0, 2)
+def test_table_profiles_sections(spark):
+    df = frame(spark, [(1, "e", "P", "ab"), (2, "f", "N", "abcd"), (3, "e", None, None), (4, "e", "P", "ab")])
+    got = {(r["side"], r["section"], r["key"]): r for r in dq.table_profiles(df, df.limit(0)).collect()}
+    assert {k[0] for k in got} == {"a"}
+    assert got[("a", "class", "P")]["n"] == 2 and got[("a", "class", None)]["n"] == 1
+    assert got[("a", "entity", "e")]["n"] == 3
+    whole = got[("a", "all", None)]
+    assert (whole["n"], whole["null_cells"], whole["texts"]) == (4, 2, 3)
+    assert abs(whole["mean"] - 8 / 3) < 1e-12 and abs(whole["std"] - 2 / 3 ** 0.5) < 1e-12
+
+
+def test_acceptance_reads_each_table_once_and_checks_uniqueness(spark, tmp_dir):
+    a = frame(spark, [(1, "e", "P", "ab"), (2, "f", "N", "abc")])
+    b = frame(spark, [(3, "e", "P", "ab"), (4, "f", "N", "ab")])
+    a.write.parquet(tmp_dir + "/a")
+    b.write.parquet(tmp_dir + "/b")
+    out = dq.acceptance(spark.read.parquet(tmp_dir + "/a"), spark.read.parquet(tmp_dir + "/b"))
+    got = {r["criterion"]: (r["result"], r["passed"]) for r in out.collect()}
+    assert got["repeated_texts_pct"] == (50.0, False) and len(got) == 6
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 2

@@ -22,7 +22,8 @@ def test_validate_tables(spark):
     ref = fx.labelled(spark, SF001)
     out = jobs.validate(ref, ref)
     assert {r["status"] for r in out["sentiment_drift"].collect()} == {"OK"}
-    assert all(r["passed"] for r in out["acceptance"].collect())
+    # Everything but the uniqueness of texts: the corpus repeats some.
+    assert {r["criterion"] for r in out["acceptance"].collect() if not r["passed"]} == {"repeated_texts_pct"}
 
 
 def test_stream_job_counts_and_rejects(spark, tmp_dir, monkeypatch):
