@@ -51,11 +51,13 @@ def mention_volume(df: DataFrame, time_col: str, by: str = "entity", every: str
     return window_counts(df, time_col, [by], every, watermark, name="mentions")
 
 
-def hashtag_counts(df: DataFrame, text: str, time_col: str, every: str = "1 day") -> DataFrame:
-    """Lower-cased hashtags per period: w_start, hashtag, n."""
+def hashtag_counts(df: DataFrame, text: str, time_col: str, every: str = "1 day",
+                   watermark: str | None = None) -> DataFrame:
+    """Lower-cased hashtags per period: w_start, hashtag, n. With
+    ``watermark`` it runs on a stream (append mode)."""
     tags = df.select(F.col(time_col), F.explode(hashtags(text)).alias("t")) \
         .select(time_col, F.lower("t").alias("hashtag"))
-    return window_counts(tags, time_col, ["hashtag"], every, name="n").drop("w_end")
+    return window_counts(tags, time_col, ["hashtag"], every, watermark, name="n").drop("w_end")
 
 
 def hashtag_trend(df: DataFrame, text: str, time_col: str, every: str = "1 day") -> DataFrame:
@@ -80,14 +82,32 @@ def class_shares_by(df: DataFrame, by: str, cls: str, classes: list[str]) -> Dat
 def opinion_by_region(events: DataFrame, users: DataFrame, user_col: str, cls: str,
                       classes: list[str], dim_key: str = "c_custkey", region: str = "r_name") -> DataFrame:
     """Class shares and mean score per region. ``users`` maps a user to a
-    region (one row per user). Events are reduced to (user, class, n) before
-    the join; the regional sums are then exact."""
+    region (one row per user); events of users it does not list count under
+    ``unknown``. Events are reduced to (user, class, n) before the join; the
+    regional sums are then exact."""
     per_user = (events.where(F.col(cls).isNotNull())
                 .groupBy(user_col, cls).agg(F.count(F.lit(1)).alias("_n")))
-    j = per_user.join(users, per_user[user_col] == users[dim_key])
+    j = per_user.join(users, per_user[user_col] == users[dim_key], "left")
+    j = j.withColumn(region, F.coalesce(F.col(region), F.lit("unknown")))
     n = F.sum("_n")
     aggs = [n.alias("n")]
     aggs += [(F.sum(F.when(F.col(cls) == c, F.col("_n")).otherwise(0)) / n).alias(f"share_{c.lower()}")
              for c in classes]
     aggs += [(F.sum(score(cls) * F.col("_n")) / n).alias("mean_score")]
     return j.groupBy(region).agg(*aggs)
+
+
+def region_opinion_over_time(events: DataFrame, users: DataFrame, user_col: str, cls: str, classes: list[str],
+                             time_col: str, every: str = "1 day", watermark: str | None = None,
+                             dim_key: str = "c_custkey", region: str = "r_name") -> DataFrame:
+    """Class shares and mean score per region and period. ``users`` is a
+    static table, joined to each micro-batch; events of users it does not
+    list count under ``unknown``. With ``watermark`` it runs on a stream."""
+    d = events.where(F.col(cls).isNotNull())
+    d = d.withWatermark(time_col, watermark) if watermark else d
+    j = d.join(users, d[user_col] == users[dim_key], "left")
+    j = j.withColumn(region, F.coalesce(F.col(region), F.lit("unknown")))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.avg((F.col(cls) == c).cast("double")).alias(f"share_{c.lower()}") for c in classes]
+    g = j.groupBy(F.window(time_col, every).alias("w"), region).agg(*aggs, F.avg(score(cls)).alias("mean_score"))
+    return g.select(F.col("w.start").alias("w_start"), region, "n", *[f"share_{c.lower()}" for c in classes], "mean_score")

@@ -9,7 +9,7 @@ is brought to the driver to pick the renames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.text import KNOWN_LABELS
@@ -86,7 +86,7 @@ def content_metrics(df: DataFrame) -> DataFrame:
     """One row per column: position, column, digit_share, label_share,
     mean_len, n_distinct, over all rows (NULL read as ''). Distinct values
     are counted on their SHA-256, so the distinct-count expansion carries
-    32 bytes per cell, not whole texts."""
+    64 characters per cell, not whole texts."""
     aggs, names = [], df.columns
     for i, c in enumerate(names):
         v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -135,6 +135,26 @@ def choose_roles(metrics: list[dict]) -> dict[str, str]:
     return roles
 
 
+def with_roles(metrics: DataFrame) -> DataFrame:
+    """``choose_roles`` as columns: the metrics (one row per input column, a
+    schema's size) with the role of each."""
+    every = Window.partitionBy(F.lit(0))
+    first = lambda ok, *order: F.row_number().over(every.orderBy(F.when(ok, 0).otherwise(1), *order))
+    is_id = F.col("digit_share") > ID_DIGIT_SHARE
+    is_label = F.col("label_share") >= LABEL_SHARE_MIN
+    m = (metrics.withColumn("_id", (first(is_id, "position") == 1) & is_id)
+         .withColumn("_label", (first(is_label, F.desc("label_share"), "position") == 1) & is_label)
+         .withColumn("_text", first(F.lit(True), F.desc("mean_len"), "position") == 1))
+    free = (~F.col("_id") & ~F.col("_label") & ~F.col("_text") & (F.col("n_distinct") > 1)
+            & (F.col("n_distinct") < F.greatest(F.lit(ENTITY_MIN_DISTINCT_CAP), F.floor(F.col("rows") / 2)))
+            & (F.col("mean_len") < ENTITY_MAX_LEN))
+    entity = (first(free, F.abs(F.col("n_distinct") - ENTITY_TARGET_DISTINCT), "position") == 1) & free
+    # A column that earns several roles has the last one, as in the reference.
+    role = (F.when(entity, "Entity").when(F.col("_text"), "Tweet content").when(F.col("_label"), "Sentiment")
+            .when(F.col("_id"), "Tweet ID"))
+    return m.withColumn("role", role).drop("_id", "_label", "_text")
+
+
 def infer_by_content(df: DataFrame) -> DataFrame:
     """Rename columns by their content when names say nothing (headerless
     input). Brings one row per column to the driver, then renames."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.text import hashtags, tokens
+from pulse.streaming.windows import window_counts
 
 # The stopword list the reference filters class words with.
 STOPWORDS = [
@@ -34,6 +35,14 @@ def word_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFr
             .groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
+def windowed_words(df: DataFrame, text: str, time_col: str, every: str = "1 day",
+                   watermark: str | None = None) -> DataFrame:
+    """Words per period: w_start, word, count. With ``watermark`` it runs on a
+    stream (append mode); the top of each period is then taken from the sink,
+    as a stream cannot rank within a window."""
+    return window_counts(exploded_words(df, text, [time_col]), time_col, ["word"], every, watermark).drop("w_end")
+
+
 def top_words(df: DataFrame, text: str, n: int = 20) -> DataFrame:
     """The n most frequent words; ties by word ascending."""
     return (word_counts(df, text)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import text as tx
@@ -22,7 +22,7 @@ from pulse.operators import measures as ms
 from pulse.operators import resample as sa
 from pulse.operators import schema as sc
 from pulse.operators import words as wd
-from pulse.session import shared_path
+from pulse.session import materialize, shared_path
 from pulse.sources import files as io
 from pulse.sources import fixtures as fx
 from pulse.streaming import jobs as sj
@@ -203,10 +203,19 @@ def dup_count_key(spark, sf):
 
 @query
 def dedup_keep_first(spark, sf):
-    kept = dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"])
+    kept = dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"], total=True)  # ids are unique in a source
     return kept.select("tweet_id", "source_rank", "entity", "sentiment", "lang")
 
 
+@query
+def dedup_repeated_ids(spark, sf):
+    """Keep-first where ids repeat inside a source as well as across them."""
+    fold = lambda t: t.withColumn("tweet_id", F.col("tweet_id") % 97)
+    both = dd.append_tables([fold(fx.tweets(spark, sf)), fold(fx.labelled(spark, sf))])
+    return dd.keep_first(both, ["tweet_id"], ["source_rank"]).select(
+        "tweet_id", "source_rank", "entity", "sentiment", "lang", F.md5("tweet_content").alias("text_md5"))
+
+
 @query
 def union_by_name(spark, sf):
     a = fx.tweets(spark, sf).select("tweet_id", "entity", "sentiment", "lang")
@@ -277,11 +286,45 @@ def roundtrip_csv(spark, sf):
     return io.read_tweets_csv(spark, path, header=True)
 
 
+@query
+def csv_reordered_header(spark, sf):
+    """A CSV whose header names the columns in another order, with one more."""
+    path = shared_path(spark, "reordered_csv")
+    t = fx.raw_tweets(spark, sf)
+    io.write_csv(t.select("Sentiment", F.lit("x").alias("More"), "Tweet content", "Entity", "Tweet ID"), path)
+    return io.read_tweets_csv(spark, path)
+
+
+@query
+def csv_headerless(spark, sf):
+    path = shared_path(spark, "headerless_csv")
+    io.write_csv(fx.raw_tweets(spark, sf), path, header=False)
+    return io.read_tweets_csv(spark, path, header=False)
+
+
+@query
+def csv_bad_rows(spark, sf):
+    """Rows whose id is no number, kept apart as they stand."""
+    path = shared_path(spark, "bad_csv")
+    t = fx.raw_tweets(spark, sf)
+    i = F.col("Tweet ID")
+    io.write_csv(t.withColumn("Tweet ID", F.when(i % 10 == 0, F.concat(F.lit("id "), i)).otherwise(i.cast("string"))), path)
+    return io.bad_csv_rows(spark, path).select(F.col("Tweet ID").alias("tweet_id"), F.col("Entity").alias("entity"))
+
+
+@query
+def json_array(spark, sf):
+    """Files that hold one array of records each."""
+    path = shared_path(spark, "json_arrays")
+    io.write_json_arrays(simulator_rows(spark, sf), path, 20_000, "Tweet ID")
+    return as_wall_clock(io.read_tweets_json(spark, path, multi_line=True), ["event_time"])
+
+
 @query
 def roundtrip_json(spark, sf):
     path = shared_path(spark, "synth_json")
     io.write_json(simulator_rows(spark, sf), path)
-    back = io.read_tweets_json(spark, path, multi_line=False)
+    back = io.read_tweets_json(spark, path)
     return as_wall_clock(back, ["event_time"])
 
 
@@ -319,17 +362,10 @@ def headerless(spark, sf):
 
 @query
 def schema_by_content(spark, sf):
-    """Per-column content metrics and the role each column gets. The metrics
-    are one aggregate pass; its result (one row per input column) is what
-    the role choice needs on the driver, and it is returned as is."""
-    m = sc.content_metrics(headerless(spark, sf))
+    """Per-column content metrics and the role each column gets, one plan."""
+    m = sc.with_roles(sc.content_metrics(headerless(spark, sf)))
     shown = ["digit_share", "label_share", "mean_len"]
-    rows = [r.asDict() for r in m.select("*", *[r6(c).alias(f"{c}_r6") for c in shown]).collect()]
-    roles = {src: dst for dst, src in sc.choose_roles(rows).items()}  # decided on exact values
-    out = [(r["position"], r["column"], *[r[f"{c}_r6"] for c in shown], r["n_distinct"], r["rows"],
-            roles.get(r["column"])) for r in rows]
-    return spark.createDataFrame(out, "position int, column string, digit_share double, label_share double, "
-                                      "mean_len double, n_distinct long, rows long, role string")
+    return m.select("position", "column", *[r6(c).alias(c) for c in shown], "n_distinct", "rows", "role")
 
 
 # ------------------------------------------------------------- streaming ---
@@ -343,10 +379,16 @@ def wall_clock_events(spark, sf):
 
 @query
 def decode_json(spark, sf):
-    d = sm.decode_messages(fx.messages(spark, sf))
+    d = sm.decode_messages(fx.messages(spark, sf)).select(*sm.DECODED_COLUMNS)
     return as_wall_clock(d, ["event_time"])
 
 
+@query
+def rejected_messages(spark, sf):
+    """What could not be decoded, with its raw value."""
+    return sm.rejected(sm.decode_messages(fx.messages(spark, sf))).select("raw", "sentiment", "contract")
+
+
 @query
 def minute_counts(spark, sf):
     return _minute_counts(wall_clock_events(spark, sf), "ts")
@@ -359,8 +401,7 @@ def stream_minute_counts(spark, sf):
     a 10-minute watermark, appended to Parquet with a checkpoint; the query
     drains what is there (availableNow) and the sink is read back."""
     events_schema = fx.table(spark, sf, "events").schema
-    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet",
-                         spread=spark.sparkContext.defaultParallelism)
+    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet")
     counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
     out, ck = shared_path(spark, "minute_counts"), shared_path(spark, "minute_counts_ckpt")
     q = sj.stream_to_parquet(counts, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS)
@@ -368,6 +409,53 @@ def stream_minute_counts(spark, sf):
     return as_wall_clock(spark.read.parquet(out), ["w_start", "w_end"])
 
 
+DAY = 86400
+
+
+def texts_stream(spark, sf):
+    """A file stream of documents as tagged texts with a time: tweet_content,
+    ts (the day that the id gives)."""
+    src = sj.file_stream(spark, sf, fx.table(spark, sf, "documents").schema, glob="documents.parquet")
+    at = F.timestamp_seconds(F.lit(BASE_TIME).cast("long") + F.col("doc_id") % 10 * DAY)
+    tagged = F.concat(F.col("text"), F.lit(" #"), F.upper("source"), F.lit(" #"), F.col("lang"))
+    return src.select(tagged.alias("tweet_content"), at.alias("ts"))
+
+
+def drained(spark, df, name):
+    """Run a streaming frame over what is there and read its sink back."""
+    out, ck = shared_path(spark, name), shared_path(spark, f"{name}_ckpt")
+    sj.stream_to_parquet(df, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_top_words(spark, sf):
+    """Words per day on a stream, closed days only; the ten most frequent of
+    each day are then taken from the sink."""
+    counts = drained(spark, wd.windowed_words(texts_stream(spark, sf), "tweet_content", "ts", "1 day", "1 day"), "words")
+    best = F.row_number().over(Window.partitionBy("w_start").orderBy(F.desc("count"), "word"))
+    return as_wall_clock(counts.withColumn("rank", best).where(F.col("rank") <= 10), ["w_start"]).select(
+        "w_start", "rank", "word", "count")
+
+
+@query
+def stream_hashtag_counts(spark, sf):
+    tags = ms.hashtag_counts(texts_stream(spark, sf), "tweet_content", "ts", "1 day", "1 day")
+    return as_wall_clock(drained(spark, tags, "hashtags"), ["w_start"])
+
+
+@query
+def stream_region_opinion(spark, sf):
+    """Opinion by region and day on a stream of events."""
+    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    ev = src.select("user_id", F.col("ts").cast("timestamp").alias("ts"), fx.event_class("event_type").alias("sentiment"))
+    o = ms.region_opinion_over_time(ev, fx.region_dimension(spark, sf), "user_id", "sentiment",
+                                    ["Positive", "Negative", "Neutral"], "ts", "1 day", "1 hour")
+    shares = ["share_positive", "share_negative", "share_neutral", "mean_score"]
+    return as_wall_clock(drained(spark, o, "regions"), ["w_start"]).select(
+        "w_start", "r_name", "n", *[r6(c).alias(c) for c in shares])
+
+
 # ---------------------------------------------------- augment, resample ---
 
 
@@ -411,7 +499,7 @@ def resample_to_profile(spark, sf):
     lab = fx.labelled(spark, sf)
     n = lab.agg(F.count(F.lit(1))).scalar()
     return sa.resample_to_profile(lab, "sentiment", sa.REFERENCE_PROFILE, n, SEED, "tweet_id") \
-        .select("tweet_id", "sentiment")
+        .select("tweet_id", F.col("copy").cast("long").alias("copy"), "sentiment")
 
 
 # -------------------------------------------------------------- measures ---
@@ -439,9 +527,10 @@ def mention_volume(spark, sf):
 
 @query
 def hashtag_trend(spark, sf):
-    ev = wall_clock_events(spark, sf)
-    tags = ev.select(F.concat(F.lit("#"), F.col("sentiment")).alias("text"), "ts")
-    return ms.hashtag_trend(tags, "text", "ts", "1 day")
+    """Tags of the tagged texts, over time: each text at the minute its id gives."""
+    t = fx.tweets_tagged(spark, sf)
+    at = F.timestamp_seconds(F.lit(BASE_TIME).cast("long") + F.col("tweet_id") % 10 * 86400).cast("timestamp_ntz")
+    return ms.hashtag_trend(t.select("tweet_content", at.alias("ts")), "tweet_content", "ts", "1 day")
 
 
 @query
@@ -455,9 +544,9 @@ def opinion_by_region(spark, sf):
 
 @query
 def corpus_profile(spark, sf):
-    """Profile of the de-duplicated train + validation corpus. Each branch
-    runs keep-first on just the columns it reads (the two text branches
-    share one exchange), so no full copy of the corpus is shuffled or written."""
-    kept = dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"])
+    """Profile of the de-duplicated train + validation corpus: keep-first once,
+    its rows written once and read by the branches."""
+    kept = dd.keep_first(corpus(spark, sf), ["tweet_id"], ["source_rank"], total=True)
+    kept = materialize(kept.select("entity", "sentiment", "tweet_content"), "corpus")
     p = ag.corpus_profile(kept)
     return p.select("section", "key", r6("value").alias("value"))

@@ -1,7 +1,8 @@
-"""Command line for the three jobs (``python -m pulse ...`` or spark-submit).
+"""Command line for the four jobs (``python -m pulse ...`` or spark-submit).
 
   batch     CSV -> cleaned Parquet, then class counts and top entities
   stream    Kafka topic -> per-minute class counts (and rejects) as Parquet
+  publish   Parquet table of labelled rows -> augmented messages on a topic or in a folder
   validate  reference vs candidate Parquet tables -> acceptance report
 
 The master and cluster settings come from spark-submit; ``--master`` is
@@ -46,6 +47,18 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--watermark", default="10 minutes")
     s.add_argument("--trigger", default="30 seconds")
     s.add_argument("--available-now", action="store_true", help="process what is there, then stop")
+    s.add_argument("--option", action="append", default=[], metavar="NAME=VALUE",
+                   help="option of the Kafka source, e.g. maxOffsetsPerTrigger=100000")
+    g = sub.add_parser("publish", help="augmented copies of a Parquet table -> topic or folder")
+    g.add_argument("--source", required=True)
+    to = g.add_mutually_exclusive_group(required=True)
+    to.add_argument("--servers", help="Kafka bootstrap servers")
+    to.add_argument("--folder", help="folder for files of JSON lines")
+    g.add_argument("--topic", default="raw_tweets")
+    g.add_argument("--copies", type=int, default=1)
+    g.add_argument("--seed", type=int, default=0)
+    g.add_argument("--base-time", type=float, required=True, help="event time, epoch seconds")
+    g.add_argument("--option", action="append", default=[], metavar="NAME=VALUE")
     v = sub.add_parser("validate", help="acceptance of a candidate table against a reference")
     v.add_argument("--reference", required=True)
     v.add_argument("--candidate", required=True)
@@ -60,12 +73,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "stream":
         trigger = {"availableNow": True} if a.available_now else {"processingTime": a.trigger}
         if a.servers:
-            qs = jobs.stream_job(spark, a.servers, a.topic, a.out, a.checkpoint, a.rejects, a.watermark, trigger)
+            qs = jobs.stream_job(spark, a.servers, a.topic, a.out, a.checkpoint, a.rejects, a.watermark, trigger,
+                                 options=dict(o.split("=", 1) for o in a.option))
         else:
             src = spark.readStream.format("text").load(a.folder)
             qs = jobs.stream_counts(src, a.out, a.checkpoint, a.rejects, a.watermark, trigger)
         for q in qs:
             q.awaitTermination()
+    elif a.job == "publish":
+        jobs.publish_job(spark.read.parquet(a.source), a.copies, a.seed, a.base_time, a.servers, a.topic, a.folder,
+                         dict(o.split("=", 1) for o in a.option))
     else:
         report = jobs.validate(spark.read.parquet(a.reference), spark.read.parquet(a.candidate))
         report["acceptance"].write.mode("overwrite").parquet(a.out)

@@ -1,4 +1,4 @@
-"""The reference's three jobs as library calls.
+"""The reference's four jobs as library calls.
 
 batch_job:   CSV -> canonical names -> drop incomplete rows -> clean text ->
              Parquet; the class counts and top entities are then read from
@@ -6,6 +6,8 @@ batch_job:   CSV -> canonical names -> drop incomplete rows -> clean text ->
              only its own columns).
 stream_job:  topic -> decode (rejects kept apart) -> per-minute class counts
              with a watermark -> Parquet, checkpointed.
+publish_job: labelled rows -> augmented copies -> JSON message values -> topic,
+             or a folder of JSON lines.
 validate:    profile of a corpus and the acceptance table of a candidate
              table against it.
 """
@@ -15,15 +17,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulse.functions.text import clean_text
 from pulse.operators import aggregates as ag
+from pulse.operators import augment as au
 from pulse.operators import dedup as dd
 from pulse.operators import drift as dq
 from pulse.sources import files as io
 from pulse.streaming import jobs as sj
-from pulse.streaming.messages import decode_messages, rejected
+from pulse.streaming.messages import decode_messages, rejected, to_message_value
 
 REQUIRED = ["tweet_id", "entity", "sentiment", "tweet_content"]
 
@@ -67,13 +71,37 @@ def stream_counts(src: DataFrame, out_path: str, checkpoint: str, reject_path: s
 
 def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, checkpoint: str,
                reject_path: str | None = None, watermark: str = sj.DEFAULT_WATERMARK,
-               trigger: dict | None = None, starting: str = "latest") -> list[StreamingQuery]:
+               trigger: dict | None = None, starting: str = "latest",
+               options: dict | None = None) -> list[StreamingQuery]:
     """The streaming job on a Kafka topic (needs the Kafka connector on the
-    classpath)."""
-    src = sj.kafka_source(spark, servers, topic, starting)
+    classpath). ``options`` go to the source, e.g. ``minPartitions`` and
+    ``maxOffsetsPerTrigger``."""
+    src = sj.kafka_source(spark, servers, topic, starting, options)
     return stream_counts(src, out_path, checkpoint, reject_path, watermark, trigger)
 
 
+def messages_to_publish(source: DataFrame, copies: int, seed: int, base_time: float,
+                        mapping: dict | None = None) -> DataFrame:
+    """Augmented copies of the labelled rows as message values (contract A),
+    keyed by the original id."""
+    made = au.augment(source.where(F.col("sentiment").isNotNull()), copies, seed, base_time, mapping=mapping)
+    fields = ["tweet_id", "original_tweet_id", "entity", "sentiment", "tweet_content", "timestamp"]
+    return to_message_value(made, fields, keep={"original_tweet_id": "key"})
+
+
+def publish_job(source: DataFrame, copies: int, seed: int, base_time: float, servers: str | None = None,
+                topic: str = "raw_tweets", folder: str | None = None, options: dict | None = None) -> None:
+    """Publish augmented copies to a topic, or write them as files of JSON
+    lines that ``stream_counts`` can read."""
+    out = messages_to_publish(source, copies, seed, base_time)
+    if servers:
+        sj.write_kafka(out, servers, topic, options)
+    elif folder:
+        out.select("value").write.mode("append").text(folder)
+    else:
+        raise ValueError("give servers or a folder")
+
+
 def validate(reference: DataFrame, candidate: DataFrame) -> dict[str, DataFrame]:
     """Profile the reference corpus and compare a candidate table with it."""
     return {

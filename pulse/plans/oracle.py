@@ -2,14 +2,25 @@
 
 Views are the same as ``pulse.sources.fixtures`` builds in Spark, written
 again in SQL. The regex patterns are the same fixed strings as in
-``pulse.functions.text`` (RE2 reads them the same way as Java for these
+``pulse.functions.text``, stated again (RE2 reads them the same way as Java for these
 classes). Doubles are rounded to 6 places as on the Spark side.
 """
 
 from __future__ import annotations
 
-from pulse.functions.text import HASHTAG, MARKUP, PY_SPACE, TOKEN
-from pulse.operators.words import STOPWORDS
+import math
+
+# Fixed values, stated again so that a fault in the engine's cannot hide.
+PY_SPACE = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}"
+            r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+MARKUP = rf"http[^{PY_SPACE}]+|@[^{PY_SPACE}]+|#[^{PY_SPACE}]+"
+TOKEN = r"(?:^|[^\p{L}\p{N}_])([a-záéíóúñü]+)"
+HASHTAG = r"#[\p{L}\p{N}_]+"
+STOPWORDS = [
+    "the", "to", "and", "a", "i", "it", "of", "in", "is", "for", "on", "this", "that",
+    "my", "you", "t", "s", "com", "me", "at", "we", "they", "he", "she", "an", "as", "be",
+    "are", "was", "have", "has", "had", "will", "just", "do", "from", "by", "or", "if", "but", "so", "not", "now",
+]
 
 ORACLE: dict[str, str] = {}
 
@@ -191,6 +202,13 @@ SELECT tweet_id, source_rank, entity, sentiment, lang FROM (
                                   tweet_content, lang) AS rn
   FROM corpus) WHERE rn = 1"""
 
+O["dedup_repeated_ids"] = with_(CORPUS) + """
+SELECT tweet_id, source_rank, entity, sentiment, lang, text_md5 FROM (
+  SELECT tweet_id % 97 AS tweet_id, source_rank, entity, sentiment, lang, md5(tweet_content) AS text_md5,
+         row_number() OVER (PARTITION BY tweet_id % 97 ORDER BY source_rank, md5(entity) NULLS FIRST,
+           md5(sentiment) NULLS FIRST, md5(tweet_content) NULLS FIRST, md5(lang) NULLS FIRST) AS rn
+  FROM corpus) WHERE rn = 1"""
+
 O["union_by_name"] = with_(TWEETS) + """
 SELECT tweet_id, entity, sentiment, lang, 0 AS source_rank, NULL::BIGINT AS turn FROM tweets
 UNION ALL
@@ -252,11 +270,18 @@ O["roundtrip_parquet"] = with_(CLEANED) + f"\nSELECT {_BATCH} FROM cleaned"
 
 O["roundtrip_csv"] = with_(TWEETS) + "\nSELECT tweet_id, entity, sentiment, tweet_content FROM tweets"
 
+O["csv_reordered_header"] = O["csv_headerless"] = O["roundtrip_csv"]
+
+O["csv_bad_rows"] = """
+SELECT 'id ' || doc_id AS tweet_id, source AS entity FROM documents WHERE doc_id % 10 = 0"""
+
 O["roundtrip_json"] = """
 SELECT event_id AS tweet_id, CAST(user_id AS VARCHAR) AS entity, event_type AS sentiment,
        props AS tweet_content, ts AS event_time
 FROM events"""
 
+O["json_array"] = O["roundtrip_json"]
+
 O["encode_json"] = f"""
 SELECT event_id AS tweet_id,
        to_json(struct_pack("Tweet ID" := event_id, "Entity" := CAST(user_id AS VARCHAR),
@@ -321,6 +346,10 @@ SELECT CASE WHEN bad THEN NULL ELSE CAST(event_id AS VARCHAR) END AS tweet_id,
        bad OR event_type IS NULL OR ts IS NULL AS rejected
 FROM (SELECT *, event_id % 100 = 0 AS bad FROM events)"""
 
+O["rejected_messages"] = """
+SELECT 'not json ' || event_id AS raw, NULL::VARCHAR AS sentiment, NULL::VARCHAR AS contract
+FROM events WHERE event_id % 100 = 0"""
+
 O["minute_counts"] = """
 SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' AS w_end,
        event_type AS sentiment, count(*) AS count
@@ -332,6 +361,21 @@ c AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, sentiment, count(*
 SELECT w_start, w_start + INTERVAL '1 minute' AS w_end, sentiment, count FROM c
 WHERE w_start + INTERVAL '1 minute' <= (SELECT max(ts) FROM ok) - INTERVAL '10 minutes'"""
 
+_TIMED = TAGGED + """,
+timed AS (
+  SELECT TIMESTAMP '2024-01-01' + to_days((doc_id % 10)::INTEGER) AS ts,
+         text || ' #' || upper(source) || ' #' || lang AS tweet_content FROM documents WHERE text IS NOT NULL),
+closed AS (SELECT * FROM timed WHERE ts + INTERVAL '1 day' <= (SELECT max(ts) FROM timed) - INTERVAL '1 day')"""
+
+O["stream_top_words"] = with_(_TIMED) + f"""
+SELECT ts AS w_start, rank, word, count FROM (
+  SELECT ts, word, count(*) AS count, row_number() OVER (PARTITION BY ts ORDER BY count(*) DESC, word) AS rank
+  FROM ({words_of('closed', keep='ts')}) GROUP BY ts, word) WHERE rank <= 10"""
+
+O["stream_hashtag_counts"] = with_(_TIMED) + f"""
+SELECT ts AS w_start, lower(tag) AS hashtag, count(*) AS n FROM (
+  SELECT ts, unnest(regexp_extract_all(tweet_content, {_q(HASHTAG)}, 0)) AS tag FROM closed) GROUP BY ALL"""
+
 # ---------------------------------------------------- augment, resample ---
 
 
@@ -413,10 +457,12 @@ O["augment_typo"] = with_(_AUG_BASE, typo_cte("a1", "a0", 0.05, _SEED, "tweet_id
 SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
 
 def poisson_case(u: str, lam: float) -> str:
-    from pulse.operators.resample import poisson_cdf
-    cdf = poisson_cdf(lam)
-    whens = " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cdf))
-    return f"CASE {whens} ELSE {len(cdf)} END"
+    """Inverse CDF, from the probabilities exp(-lam) * lam^k / k!."""
+    total, whens = 0.0, []
+    for k in range(60):
+        total += math.exp(-lam) * lam ** k / math.factorial(k)
+        whens.append(f"WHEN {u} < {total!r}::DOUBLE THEN {k}")
+    return f"CASE {' '.join(whens)} ELSE 60 END"
 
 
 O["resample_uniform"] = with_(LABELLED) + f"""
@@ -425,13 +471,19 @@ SELECT tweet_id, unnest(generate_series(1, k)) AS copy, entity, sentiment FROM (
 WHERE k > 0"""
 
 O["resample_to_profile"] = with_(LABELLED + """,
-tgt AS (SELECT * FROM (VALUES ('Negative', 0.3018::DOUBLE), ('Positive', 0.2789::DOUBLE),
-                              ('Neutral', 0.2453::DOUBLE), ('Irrelevant', 0.1739::DOUBLE)) t(sentiment, share))""") + f"""
-SELECT tweet_id, sentiment FROM (
-  SELECT tweet_id, sentiment,
-         row_number() OVER (PARTITION BY sentiment ORDER BY {u_sql(_q(str(_SEED)), 'tweet_id', _q('profile'))}, tweet_id) AS r
-  FROM labelled) JOIN tgt USING (sentiment)
-WHERE r <= floor(share * (SELECT count(*) FROM labelled))"""
+tgt AS (SELECT sentiment, share / sum(share) OVER () * (SELECT count(*) FROM labelled) AS quota
+        FROM (VALUES ('Negative', 0.3018::DOUBLE), ('Positive', 0.2789::DOUBLE),
+                     ('Neutral', 0.2453::DOUBLE), ('Irrelevant', 0.1739::DOUBLE)) t(sentiment, share)),
+want AS (SELECT sentiment, floor(quota)::BIGINT
+           + CASE WHEN row_number() OVER (ORDER BY floor(quota) - quota, sentiment)
+                       <= (SELECT count(*) FROM labelled) - sum(floor(quota)::BIGINT) OVER () THEN 1 ELSE 0 END AS want
+         FROM tgt)""") + f"""
+SELECT tweet_id, unnest(generate_series(1, k)) AS copy, sentiment FROM (
+  SELECT tweet_id, sentiment, want // have + CASE WHEN r <= want % have THEN 1 ELSE 0 END AS k FROM (
+    SELECT tweet_id, sentiment, count(*) OVER (PARTITION BY sentiment) AS have,
+           row_number() OVER (PARTITION BY sentiment ORDER BY {u_sql(_q(str(_SEED)), 'tweet_id', _q('profile'))}, tweet_id) AS r
+    FROM labelled) JOIN want USING (sentiment))
+WHERE k > 0"""
 
 # -------------------------------------------------------------- measures ---
 
@@ -446,28 +498,48 @@ SELECT time_bucket(INTERVAL '1 day', ts) AS w_start, time_bucket(INTERVAL '1 day
        CAST(user_id AS VARCHAR) AS entity, count(*) AS mentions
 FROM events GROUP BY ALL"""
 
-O["hashtag_trend"] = """
+O["hashtag_trend"] = with_(TAGGED, """
+trend AS (
+  SELECT w_start, lower(tag) AS hashtag, count(*) AS n FROM (
+    SELECT TIMESTAMP '2024-01-01' + to_days((tweet_id % 10)::INTEGER) AS w_start,
+           unnest(regexp_extract_all(tweet_content, """ + _q(HASHTAG) + """, 0)) AS tag
+    FROM tagged WHERE tweet_content IS NOT NULL) GROUP BY ALL)""") + """
 SELECT w_start, hashtag, n, lag(n) OVER (PARTITION BY hashtag ORDER BY w_start) AS prev_n,
        n - lag(n) OVER (PARTITION BY hashtag ORDER BY w_start) AS change
-FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS w_start, lower('#' || event_type) AS hashtag, count(*) AS n
-      FROM events GROUP BY ALL)"""
+FROM trend"""
 
 _EV_CLASS = """CASE WHEN event_type = 'error' THEN 'Negative'
      WHEN event_type IN ('purchase', 'signup') THEN 'Positive'
      WHEN event_type IN ('click', 'view') THEN 'Neutral' END"""
 
 O["opinion_by_region"] = f"""
-SELECT r_name, count(*) AS n,
+SELECT coalesce(r_name, 'unknown') AS r_name, count(*) AS n,
        round(avg((cls = 'Positive')::DOUBLE), 6) AS share_positive,
        round(avg((cls = 'Negative')::DOUBLE), 6) AS share_negative,
        round(avg((cls = 'Neutral')::DOUBLE), 6) AS share_neutral,
        round(avg({_SCORE.format(c='cls')}), 6) AS mean_score
 FROM (SELECT e.user_id, {_EV_CLASS} AS cls FROM events e) ev
-JOIN customer c ON ev.user_id = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN customer c ON ev.user_id = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE cls IS NOT NULL
-GROUP BY r_name"""
+GROUP BY ALL"""
+
+O["stream_region_opinion"] = f"""
+WITH ev AS (SELECT user_id, ts, {_EV_CLASS} AS cls FROM events)
+SELECT time_bucket(INTERVAL '1 day', ts) AS w_start, coalesce(r_name, 'unknown') AS r_name, count(*) AS n,
+       round(avg((cls = 'Positive')::DOUBLE), 6) AS share_positive,
+       round(avg((cls = 'Negative')::DOUBLE), 6) AS share_negative,
+       round(avg((cls = 'Neutral')::DOUBLE), 6) AS share_neutral,
+       round(avg({_SCORE.format(c='cls')}), 6) AS mean_score
+FROM ev
+LEFT JOIN customer c ON ev.user_id = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE cls IS NOT NULL
+  AND time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day'
+      <= (SELECT max(ts) FROM ev WHERE cls IS NOT NULL) - INTERVAL '1 hour'
+GROUP BY ALL"""
 
 O["corpus_profile"] = with_(CORPUS + """,
 kept AS (SELECT * EXCLUDE (rn) FROM (
@@ -488,13 +560,15 @@ def augment_ctes(src: str, copies: list[int], out: str) -> str:
     """CTEs that expand ``src`` into augmented copies named ``out`` (the
     contract-A columns of pulse.operators.augment.augment)."""
     return f""",
-{out}_0 AS (SELECT tweet_id, entity, sentiment, c AS copy, {words_sql('tweet_content')} AS w
+{out}_0 AS (SELECT tweet_id, entity, sentiment, c AS copy, {words_sql('tweet_content')} AS w,
+                   md5(concat_ws('|', tweet_id, coalesce(entity, chr(0)), coalesce(sentiment, chr(0)),
+                                 coalesce(tweet_content, chr(0)))) AS rk
             FROM {src}, (SELECT unnest({copies}) AS c)),
-{out}_1 AS (SELECT * EXCLUDE (w), {syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'copy')} AS w FROM {out}_0),""" \
-        + swap_cte(f"{out}_2", f"{out}_1", 0.1, _SEED, "tweet_id", "copy") + "," \
-        + typo_cte(f"{out}_3", f"{out}_2", 0.05, _SEED, "tweet_id", "copy") + f""",
+{out}_1 AS (SELECT * EXCLUDE (w), {syn_step('w', _QSYN, 0.3, _SEED, 'rk', 'copy')} AS w FROM {out}_0),""" \
+        + swap_cte(f"{out}_2", f"{out}_1", 0.1, _SEED, "rk", "copy") + "," \
+        + typo_cte(f"{out}_3", f"{out}_2", 0.05, _SEED, "rk", "copy") + f""",
 {out} AS (
-  SELECT md5(concat_ws('|', '{_SEED}', tweet_id, copy)) AS tweet_id, CAST(tweet_id AS VARCHAR) AS original_tweet_id,
+  SELECT md5(concat_ws('|', '{_SEED}', rk, copy)) AS tweet_id, CAST(tweet_id AS VARCHAR) AS original_tweet_id,
          copy, entity, sentiment, array_to_string(w, ' ') AS tweet_content, 1704067200.0::DOUBLE AS timestamp
   FROM {out}_3)"""
 
@@ -513,7 +587,10 @@ SELECT criterion, round(result, 6) AS result, "limit", result <= "limit" AS pass
   UNION ALL
   SELECT 'null_cells', sum((tweet_id IS NULL)::BIGINT + (original_tweet_id IS NULL)::BIGINT + (copy IS NULL)::BIGINT
            + (entity IS NULL)::BIGINT + (sentiment IS NULL)::BIGINT + (tweet_content IS NULL)::BIGINT
-           + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0::DOUBLE FROM cand)"""
+           + (timestamp IS NULL)::BIGINT)::DOUBLE, 0.0::DOUBLE FROM cand
+  UNION ALL
+  SELECT 'repeated_texts_pct', 100.0 * (count(*) - count(DISTINCT coalesce(md5(tweet_content), ''))) / count(*), 0.0::DOUBLE
+  FROM cand)"""
 
 O["sentiment_hourly"] = f"""
 SELECT time_bucket(INTERVAL '1 hour', ts) AS w_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS w_end,

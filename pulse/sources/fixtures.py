@@ -14,17 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a batch input by ``key`` when it scans into fewer
-    partitions than the session has cores (one large row group is one scan
-    task), so per-row text work runs on every core; hashing by the join key
-    is deterministic and leaves the input partitioned for that join. An input
-    already split at least that finely - any large table on a cluster - is
-    left alone."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
-
-
 def sentiment_of(quality, toxic):
     """(quality, toxic) -> class: (1,0) Positive, (0,1) Negative,
     (0,0) Neutral, (1,1) Irrelevant; anything else (no label) NULL."""
@@ -41,9 +30,15 @@ def one_label(labels: DataFrame) -> DataFrame:
     The driver's labels already hold one row per doc_id, so this selects the
     same rows; stating it as a grouping lets Catalyst know doc_id is unique
     on this side, and it then removes the left join from every query that
-    uses no label column (text-only queries never join or shuffle for it)."""
-    best = F.min(F.struct("quality", "toxic")).alias("l")
-    return labels.groupBy("doc_id").agg(best).select("doc_id", "l.quality", "l.toxic")
+    uses no label column (text-only queries never join or shuffle for it).
+    The pair is packed into one number, NULL as the smallest value of each
+    half, which a hash aggregate can take the least of (a struct cannot)."""
+    half = lambda c: F.coalesce(F.col(c).cast("long") + F.lit(1 << 30), F.lit(0))
+    pair = half("quality") * F.lit(1 << 32) + half("toxic")
+    best = labels.groupBy("doc_id").agg(F.min(pair).alias("l"))
+    back = lambda x: (F.nullif(x, F.lit(0)) - F.lit(1 << 30)).cast("int")
+    return best.select("doc_id", back(F.shiftright("l", 32)).alias("quality"),
+                       back(F.col("l").bitwiseAND(F.lit((1 << 32) - 1))).alias("toxic"))
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +49,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     under the broadcast threshold (AQE checks runtime sizes), else a shuffled
     join on doc_id.
     """
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     labels = one_label(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
     return (docs.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("tweet_id"),
@@ -104,7 +99,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as tweets: tweet_id, entity (user), sentiment (event type),
     tweet_content (props), ts as a TIMESTAMP (session zone UTC)."""
-    ev = events if events is not None else spread(table(spark, sf_dir, "events"), "event_id")
+    ev = events if events is not None else table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("tweet_id"),
                      F.col("user_id").cast("string").alias("entity"),
                      F.col("event_type").alias("sentiment"),

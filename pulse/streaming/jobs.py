@@ -31,25 +31,21 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str =
     return r.load()
 
 
-def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
+def write_kafka(df: DataFrame, servers: str, topic: str, options: dict | None = None) -> None:
     """Batch-publish a DataFrame with a ``value`` column (and optional key)."""
     (df.write.format("kafka").option("kafka.bootstrap.servers", servers)
-     .option("topic", topic).save())
+     .option("topic", topic).options(**(options or {})).save())
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
-                fmt: str = "parquet", max_files: int | None = None, spread: int | None = None) -> DataFrame:
-    """A folder watched for new files (parquet/json/csv/text). ``spread``
-    round-robins each micro-batch over that many partitions, for sources
-    that arrive as few large files (Kafka's ``minPartitions`` does the same
-    for a topic with few partitions)."""
+                fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """A folder watched for new files (parquet/json/csv/text)."""
     r = spark.readStream.schema(schema).format(fmt)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    df = r.load(folder)
-    return df.repartition(spread) if spread else df
+    return r.load(folder)
 
 
 def minute_count_stream(messages: DataFrame, watermark: str = DEFAULT_WATERMARK,
