@@ -8,23 +8,25 @@ all, exactly, and pivots part those:
 
 1. Equal sets are one class. A class sends the smallest ``t + b`` of its
    hashed shingles, where t is the most that it may lack of a partner and b a
-   twentieth of its size: two linked classes share at least b(smaller) of them
-   (all that the one with the lower last hash sends, but t). Keys sent by one
-   class alone fall away; so do classes with too few keys left, and the keys
-   of very many classes wherever a class has enough others.
-2. Connected classes form a bundle. Bundles of up to ``LIMIT`` classes are one
-   region. A larger one gets pivots: every class belongs to the region of its
-   nearest pivot and is copied to each region whose pivot is nearer than that
-   distance plus twice the radius, which by the triangle inequality holds all
-   its partners. Regions are cut into units of own and copied classes, so that
-   no task gets an unbounded group.
-3. Within a unit the same is done recursively until regions are small or the
+   tenth of its size: two linked classes share at least b(smaller) of them (all
+   that the one with the lower last hash sends, but t). Keys that one class
+   alone sends count for nothing; classes with too few others fall away.
+2. The sets of the classes that are left are read again from their texts. Now
+   all their shingles count, and a class must share a whole ``percent`` of them;
+   of m shared ones it needs ``need``, so it keeps only the m - need + 1 that
+   the fewest classes have: in that common order, the last one that two linked
+   classes share is kept by both. Classes connected by kept keys form a bundle.
+3. Bundles of up to ``LIMIT`` classes are one region. A larger one gets pivots:
+   every class belongs to the region of its nearest pivot and is copied to each
+   region whose pivot is nearer than that distance plus twice the radius, which
+   by the triangle inequality holds all its partners. Regions are cut into units
+   of own and copied classes, so that no task gets an unbounded group.
+4. Within a unit the same is done recursively until regions are small or the
    windows no longer part them; there sets are compared exactly. A unit gives
    a spanning forest of its links and each own class's number of links, never
    all pairs.
 
-Texts are read again only for classes in bundles. Set digests, and shingles,
-are 64-bit hashes.
+Set digests, and shingles, are 64-bit hashes.
 
 Defined results: a null or empty text, or one without words, has the empty set
 and links with nothing; a text of fewer words than a shingle has its whole
@@ -47,13 +49,10 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 
-SHARE = 20  # b is one SHARE-th of a set's size
-HOT = 64  # a key of more classes is left out where enough others remain
+SHARE = 10  # b is one SHARE-th of a set's size
 LIMIT = 2000  # classes in a unit
 PIVOTS = 8
 LEAF = 64
-# Rows that may be sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -122,49 +121,58 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows of (key, cid, n) whose key more than one class has, with the
-    least class of the key and whether it is hot."""
+    """The rows of (key, cid, ...) whose key more than one class has, with the
+    least class of the key and the key's rows. A class sends a key once, so a
+    key has at most a row for each document, whatever the documents' length."""
     w = W.partitionBy("key")
     return (keys.withColumn("least", F.min("cid").over(w)).withColumn("most", F.max("cid").over(w))
-            .withColumn("hot", F.count("*").over(w) > HOT).filter("least <> most").drop("most"))
-
-
-def bundles(docs: DataFrame, percent: int) -> DataFrame:
-    """(cid, bundle) of the classes that may be linked."""
-    rows = shared_keys(docs.filter("n > 0").select(F.explode("keys").alias("key"), "cid", "n"))
-    rows = common.cut(rows.select("key", "cid", "n", "hot").distinct())
-    # What any partner must share: b of the smallest possible partner.
+            .withColumn("rows", F.count("*").over(w)).filter("least <> most").drop("most"))
+
+
+def candidates(sketch: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough of the keys they send, with their number
+    of documents, the key of one of them, and whether rows repeat it."""
+    rows = shared_keys(sketch.filter("n > 0").select(F.explode("keys").alias("key"), "cid"))
+    # Equal documents send the same keys: each counts once.
+    alive = rows.groupBy("cid").agg(F.count("*").alias("m"))
+    per = (sketch.filter("n > 0").groupBy("cid", "n", "k1", "k2").agg(F.count("*").alias("rows"))
+           .groupBy("cid", "n").agg(F.sum("rows").alias("copies"), F.min(F.struct("k1", "k2", "rows")).alias("k")))
+    # b of the smallest set that can be a partner.
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) / SHARE))
-    per = rows.groupBy("cid").agg(F.count("*").alias("m"), F.sum(F.col("hot").cast("int")).alias("m_hot"),
-                                  F.first("n").alias("n")).filter(F.col("m") >= need)
-    per = per.select("cid", (F.col("m_hot") < need).alias("spare"))
-    rows = rows.join(per, "cid").filter("NOT (hot AND spare)").select("key", "cid", "n")
-    star = shared_keys(rows).filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
-    return components(star).select(F.col("node").alias("cid"), F.col("root").alias("bundle"))
-
+    return common.cut(per.join(alive, "cid").filter(F.col("m") >= need * F.col("copies"))
+                      .select("cid", "copies", "k.k1", "k.k2", (F.col("k.rows") > 1).alias("repeats")))
 
-def sent_whole(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A checkpointed table, marked for broadcast only if it is small."""
-    return F.broadcast(df) if df.count() <= rows else df
 
-
-def with_sets(docs: DataFrame, sketch: DataFrame, bundle: DataFrame, size: int) -> DataFrame:
-    """(bundle, cid, copies, shingles) of each class in a bundle, its set as bytes."""
-    per = sketch.groupBy("cid").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2")).alias("k"))
-    one = common.cut(per.join(bundle, "cid").select("cid", "copies", "bundle", "k.k1", "k.k2"))
+def with_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cid, copies, shingles) of the classes, read from the texts."""
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
-    text = docs.select(F.col("doc_id"), F.col("text")).select(k1.alias("k1"), k2.alias("k2"),
-                                                             F.col("text").cast("string").alias("text"))
-    rows = text.join(sent_whole(one), ["k1", "k2"]).select("bundle", "cid", "copies", "text")
-    schema = pa.schema([("bundle", pa.int64()), ("cid", pa.int64()), ("copies", pa.int64()), ("shingles", pa.binary())])
+    text = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+    rows = text.join(common.sent_whole(classes), ["k1", "k2"]).select("cid", "copies", "text", "repeats")
+    # Equal rows of the table come as often as they stand there.
+    rows = rows.filter("NOT repeats").union(rows.filter("repeats").dropDuplicates(["cid"]))
+    schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for b in batches:
-            yield common.batch_of(schema, [b.column(0), b.column(1), b.column(2),
-                                           [shingle(t).tobytes() for t in common.byte_texts(b.column(3))]])
+            yield common.batch_of(schema, [b.column(0), b.column(1),
+                                           [shingle(t).view(np.int64) for t in common.byte_texts(b.column(2))]])
+
+    return rows.drop("repeats").mapInArrow(run, "cid long, copies long, shingles array<long>")
+
 
-    return rows.mapInArrow(run, "bundle long, cid long, copies long, shingles binary")
+def bundles(members: DataFrame, percent: int) -> DataFrame:
+    """(cid, bundle) of the classes that may be linked."""
+    rows = shared_keys(members.select(F.explode("shingles").alias("key"), "cid")).select("key", "cid", "rows")
+    # Counted first, so that only the rows of classes with enough are moved.
+    need = F.ceil(F.size("shingles") * percent / 100)
+    enough = (members.select("cid", need.alias("need")).join(rows.groupBy("cid").agg(F.count("*").alias("m")), "cid")
+              .filter("m >= need").select("cid", (F.col("m") - F.col("need") + 1).cast("int").alias("most")))
+    rows = rows.join(common.sent_whole(common.cut(enough)), "cid")
+    rank = F.row_number().over(W.partitionBy("cid").orderBy("rows", "key"))
+    rows = rows.withColumn("rank", rank).filter("rank <= most").select("key", "cid")
+    star = shared_keys(rows).filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    return components(star).select(F.col("node").alias("cid"), F.col("root").alias("bundle"))
 
 
 class Region:
@@ -225,7 +233,7 @@ def join_units(rows: DataFrame, percent: int) -> DataFrame:
             if len(part) < 2:
                 continue
             cid, copies = part["cid"].to_numpy(), part["copies"].to_numpy()
-            region = Region([np.frombuffer(s, np.uint64) for s in part["shingles"]], percent)
+            region = Region([np.asarray(s) for s in part["shingles"]], percent)
             root = list(range(len(part)))
 
             def find(x, root=root):
@@ -259,17 +267,17 @@ def in_regions(members: DataFrame, percent: int, limit: int = LIMIT) -> DataFram
     pivots = (members.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
               .groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("rank", "shingles"))).alias("pivots"))
               .select("bundle", F.col("pivots.shingles").alias("pivots")))
-    schema = pa.schema([("bundle", pa.int64()), ("cid", pa.int64()), ("copies", pa.int64()), ("shingles", pa.binary()),
+    schema = pa.schema([("bundle", pa.int64()), ("cid", pa.int64()), ("copies", pa.int64()), ("shingles", pa.list_(pa.int64())),
                         ("cells", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = []
             for s, ps in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                mine = np.frombuffer(s, np.uint64)
+                mine = np.array(s)
                 d = []
                 for p in ps:
-                    other = np.frombuffer(p, np.uint64)
+                    other = np.array(p)
                     both = len(np.intersect1d(mine, other, assume_unique=True))
                     d.append(1 - both / (len(mine) + len(other) - both))
                 near = min(range(len(d)), key=d.__getitem__)
@@ -278,12 +286,13 @@ def in_regions(members: DataFrame, percent: int, limit: int = LIMIT) -> DataFram
             yield common.batch_of(schema, [*(b.column(i) for i in range(4)), cells])
 
     placed = common.cut(members.select("bundle", "cid", "copies", "shingles").join(pivots, "bundle")
-                        .mapInArrow(run, "bundle long, cid long, copies long, shingles binary, cells array<int>"))
+                        .mapInArrow(run, "bundle long, cid long, copies long, shingles array<long>, cells array<int>"))
     spread = placed.select("bundle", "cid", "copies", "shingles", F.posexplode("cells").alias("place", "cell")
                            ).withColumn("own", F.col("place") == 0)
+    # The sets stay where they are: only the regions' sizes are counted and joined.
     sizes = spread.groupBy("bundle", "cell").agg(
         F.ceil(F.sum(F.col("own").cast("int")) / limit).alias("n_a"), F.ceil(F.count("*") / limit).alias("n_r"))
-    spread = (spread.join(sizes, ["bundle", "cell"]).filter("n_a > 0")
+    spread = (spread.join(common.sent_whole(common.cut(sizes)), ["bundle", "cell"]).filter("n_a > 0")
               .withColumn("a", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("n_a")))
               .withColumn("r", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("n_r"))))
     unit = lambda a, r: F.xxhash64("bundle", "cell", a, r)
@@ -300,10 +309,10 @@ def in_regions(members: DataFrame, percent: int, limit: int = LIMIT) -> DataFram
 def link(docs: DataFrame, size: int, percent: int, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """The documents' sketches, and (cid, root, links) of the linked classes."""
     sketch = common.cut(sketches(docs, size, percent))
-    bundle = bundles(sketch, percent)
+    members = common.cut(with_sets(docs, candidates(sketch, percent), size))
+    bundle = bundles(members, percent)
     n = bundle.groupBy("bundle").agg(F.count("*").alias("n_bundle"))
-    members = common.cut(with_sets(docs, sketch, bundle.join(n, "bundle").filter("n_bundle > 1").select("cid", "bundle"), size)
-                         .join(n, "bundle"))
+    members = members.join(common.sent_whole(common.cut(bundle.join(n, "bundle"))), "cid")
     yes = F.lit(True)
     units = members.filter(F.col("n_bundle") <= limit).select(
         F.col("bundle").alias("unit"), "cid", "copies", yes.alias("own"), yes.alias("every"), "shingles")
@@ -345,8 +354,8 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
     twice = common.cut(full.groupBy("k.k1", "k.k2").count().filter("count > 1").select("k1", "k2"))
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct("*").alias("row"))
-    rows = rows.join(sent_whole(goes), ["k1", "k2"], "left_anti")
-    few = sent_whole(twice)
+    rows = rows.join(common.sent_whole(goes), ["k1", "k2"], "left_anti")
+    few = common.sent_whole(twice)
     single = rows.join(few, ["k1", "k2"], "left_anti").select("row.*")
     repeated = rows.join(few, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
     return single.unionByName(repeated)
