@@ -156,9 +156,12 @@ class Page:
     def _mark(self) -> None:
         n = len(self.tag)
         self.dropped, in_main = [False] * n, [False] * n
-        # What holds the longest article is no sidebar, whatever its class says.
-        holds, j = set(), max((i for i in range(1, n) if self.tag[i] == "article"),
-                              key=lambda i: self.end[i] - self.start[i], default=0)
+        # What holds the longest article is no sidebar, whatever its class
+        # says, unless that is a small part of a main element.
+        size = lambda i: self.end[i] - self.start[i]
+        holds, j = set(), max((i for i in range(1, n) if self.tag[i] == "article"), key=size, default=0)
+        main = max((i for i in range(1, n) if self.tag[i] == "main"), key=size, default=0)
+        j = main if main and (not j or 2 * size(j) < size(main)) else j
         while j > 0:
             j = self.parent[j]
             holds.add(j)
