@@ -186,6 +186,33 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
             .withColumn("contaminated", F.col("n_hit") > 0))
 
 
+ORACLE = r"""
+WITH folded AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+strings AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (
+    SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (
+      SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0))),
+hits AS (
+  SELECT d.rid, d.i, d.k, s.item FROM (
+    SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (
+      SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i
+      FROM folded, (SELECT DISTINCT k FROM strings) WHERE len(w) >= k)) d
+  JOIN strings s ON s.k = d.k AND s.s = d.s),
+hit_words AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS j FROM hits) GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(a.n, 0)::BIGINT AS n_hit, coalesce(b.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(b.ids, '')) AS items_sha256, coalesce(a.n, 0) > 0 AS contaminated
+FROM folded LEFT JOIN hit_words a USING (rid) LEFT JOIN hit_items b USING (rid)"""
+
+
 def brute(text: str | None, items: list[tuple[str | None, str | None]], window: int = WINDOW):
     """The same digest for one text, word by word (for tests)."""
     w = words_of((text or "").encode())

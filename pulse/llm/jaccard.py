@@ -359,3 +359,25 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80, limit: int =
     single = rows.join(few, ["k1", "k2"], "left_anti").select("row.*")
     repeated = rows.join(few, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
     return single.unionByName(repeated)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + k - 1], ' ') AS s FROM (
+    SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (
+      SELECT *, least(3, len(w)) AS k FROM words WHERE len(w) > 0))),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+both_have AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+links AS (
+  SELECT x, y FROM both_have JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y
+  WHERE 100 * m >= 90 * (p.n + q.n - m)),
+reach AS (SELECT rid AS x, rid AS y FROM words UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM words w LEFT JOIN sizes s USING (rid)
+JOIN (SELECT x, min(o.doc_id) AS component_id FROM reach JOIN words o ON o.rid = reach.y GROUP BY x) c ON c.x = w.rid
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = w.rid"""

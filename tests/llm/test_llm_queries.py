@@ -4,13 +4,14 @@ import os
 import sys
 
 import duckdb
+import pytest
 from conftest import ROOT, SF001
 from fixtures_llm import no_docs, odd_docs
 from test_jaccard import brute
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pulse.llm import decontaminate, langid, packing, suffix
+from pulse.llm import decontaminate, langid, packing, queries, suffix
 from pulse.llm.common import read
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
@@ -22,13 +23,15 @@ def test_all_are_registered():
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
 
 
-def test_oracle(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF001}/conversations.parquet')")
-    df = entry.queries()["op2_chat_formatting"](spark, SF001)
-    res = con.execute(entry.oracle_sql()["op2_chat_formatting"])
-    assert digest(canon(df.columns, [tuple(r) for r in df.collect()])[1]) == \
-        digest(canon([d[0] for d in res.description], res.fetchall())[1])
+    for t in ("conversations", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    df = entry.queries()[name](spark, SF001)
+    res = con.execute(entry.oracle_sql()[name])
+    got, want = canon(df.columns, [tuple(r) for r in df.collect()]), canon([d[0] for d in res.description], res.fetchall())
+    assert got[0] == want[0] and digest(got[1]) == digest(want[1])
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
