@@ -434,7 +434,7 @@ def stream_top_words(spark, sf):
     each day are then taken from the sink."""
     counts = drained(spark, wd.windowed_words(texts_stream(spark, sf), "tweet_content", "ts", "1 day", "1 day"), "words")
     best = F.row_number().over(Window.partitionBy("w_start").orderBy(F.desc("count"), "word"))
-    return as_wall_clock(counts.withColumn("rank", best).where(F.col("rank") <= 10), ["w_start"]).select(
+    return as_wall_clock(counts.withColumn("rank", best.cast("long")).where(F.col("rank") <= 10), ["w_start"]).select(
         "w_start", "rank", "word", "count")
 
 
@@ -527,9 +527,9 @@ def mention_volume(spark, sf):
 
 @query
 def hashtag_trend(spark, sf):
-    """Tags of the tagged texts, over time: each text at the minute its id gives."""
+    """Tags of the tagged texts, over time: each text on the day its id gives."""
     t = fx.tweets_tagged(spark, sf)
-    at = F.timestamp_seconds(F.lit(BASE_TIME).cast("long") + F.col("tweet_id") % 10 * 86400).cast("timestamp_ntz")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(tweet_id % 10 as int))")
     return ms.hashtag_trend(t.select("tweet_content", at.alias("ts")), "tweet_content", "ts", "1 day")
 
 
