@@ -46,14 +46,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import sent_whole
 
 K = 400
 M = 200
 LIMIT = 1000
 STEP = 25
 # Bytes of text whose windows are named in one go.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _U = np.uint64
 _BYTE = common.mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -234,9 +233,9 @@ def fetch(docs: DataFrame, strings: DataFrame, k: int) -> DataFrame:
     within ``STEP`` columns, named by the bytes that all of those share."""
     import xxhash
 
-    per = common.cut(strings.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("start", "shape", "anchor", "whole", "crowded")).alias("runs")))
-    rows = docs.join(sent_whole(per), ["k1", "k2"]).select("text", "runs")
+    per = strings.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("start", "shape", "anchor", "whole", "crowded")).alias("runs"))
+    rows = docs.join(per, ["k1", "k2"]).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +306,12 @@ def repeats(docs: DataFrame, k: int = K, m: int = M, limit: int = LIMIT) -> Data
     has any; spans may touch or overlap."""
     docs = keyed(docs)
     by_anchor = W.partitionBy("anchor")
-    runs = common.cut(cut_runs(docs, k, m).withColumn("n", F.count("*").over(by_anchor)).filter("n > 1").drop("n"))
+    runs = cut_runs(docs, k, m)
+    # Counted with partial sums, so that an anchor in very many places is no
+    # group, and written, so that the join's skewed partitions can be split; the
+    # runs are cut again for it, which costs less than moving them twice.
+    again = common.cut(runs.groupBy("anchor").count().filter("count > 1").select("anchor"))
+    runs = common.cut(runs.join(again, "anchor"))
     strings = runs.groupBy("anchor", "whole", "shape").agg(
         F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("at"))
     strings = common.cut(strings.withColumn("others", F.count("*").over(by_anchor)))
@@ -338,7 +342,7 @@ def with_spans(docs: DataFrame, **kw) -> DataFrame:
     """Each document as the struct ``row`` with its text and spans."""
     k1, k2 = common.row_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
-    return (rows.join(sent_whole(common.cut(repeats(docs, **kw))), ["k1", "k2"], "left")
+    return (rows.join(repeats(docs, **kw), ["k1", "k2"], "left")
             .select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"), "spans"))
 
 
