@@ -23,6 +23,7 @@ line feeds. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -209,19 +210,32 @@ class Page:
             out.append((i, xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63)))
         return out
 
+    def parts(self) -> tuple[list[tuple[int, int, str]], list[tuple[int, ...]]]:
+        """What may be main text: (block, chain, raw text) pieces, and the
+        chains: hashes of the subtrees that a piece stands in."""
+        own = dict(self.subtrees())
+        chain: list[tuple[int, ...]] = [()]
+        for i in range(1, len(self.tag)):
+            up = chain[self.parent[i]]
+            chain.append((*up, own[i]) if i in own else up)
+        number: dict[tuple[int, ...], int] = {}
+        pieces = [(block, number.setdefault(chain[i], len(number)), raw) for i, block, raw in self.texts
+                  if self.in_main[i] and not self.dropped[i]]
+        return pieces, list(number)
+
     def text(self, template: set[int]) -> str:
-        gone = list(self.dropped)
-        if template:
-            for i, h in self.subtrees():
-                gone[i] = gone[i] or h in template
-            for i in range(1, len(gone)):
-                gone[i] = gone[i] or gone[self.parent[i]]
-        blocks: dict[int, list[str]] = {}
-        for i, block, raw in self.texts:
-            if self.in_main[i] and not gone[i]:
-                blocks.setdefault(block, []).append(raw)
-        lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
-        return "\n".join(x for x in lines if x)
+        return join_parts(*self.parts(), template)
+
+
+def join_parts(pieces: list[tuple[int, int, str]], chains: list[tuple[int, ...]], template: set[int]) -> str:
+    """The text of the pieces that stand in no template subtree."""
+    stays = [template.isdisjoint(c) for c in chains]
+    blocks: dict[int, list[str]] = {}
+    for block, chain, raw in pieces:
+        if stays[chain]:
+            blocks.setdefault(block, []).append(raw)
+    lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
+    return "\n".join(x for x in lines if x)
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -257,15 +271,29 @@ def template_subtrees(pages: DataFrame, min_pages: int) -> DataFrame:
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    import zstandard
+
     common.small_batches(pages.sparkSession)
     pages = _keyed(pages)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    read = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("parts", pa.binary())])
+    done = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # What is moved to meet the template is the main text alone, packed.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            got = [pack(pickle.dumps(Page(html).parts())) for html in b.column(4).to_pylist()]
+            yield common.batch_of(read, [*(b.column(i) for i in range(4)), got])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            got = [Page(html).text(set(t or ())) for html, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield common.batch_of(schema, [b.column(0), b.column(1), got, [len(x) for x in got]])
+            got = [join_parts(*pickle.loads(unpack(p)), set(t or ()))
+                   for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield common.batch_of(done, [b.column(0), b.column(1), got, [len(x) for x in got]])
 
-    found = common.cut(template_subtrees(pages, min_pages))
-    return (pages.join(common.sent_whole(found, "template"), ["k1", "k2"], "left").select("page_id", "url", "html", "template")
-            .mapInArrow(run, "page_id long, url string, text string, n_chars long"))
+    parts = pages.select("page_id", "url", "k1", "k2", "html").mapInArrow(
+        cut, "page_id long, url string, k1 long, k2 long, parts binary")
+    return (parts.join(template_subtrees(pages, min_pages), ["k1", "k2"], "left")
+            .select("page_id", "url", "parts", "template")
+            .mapInArrow(finish, "page_id long, url string, text string, n_chars long"))
