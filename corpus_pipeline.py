@@ -17,6 +17,10 @@ from pulse.llm import decontaminate, jaccard, langid, packing, suffix  # noqa: E
 from pulse.llm.common import read  # noqa: E402
 from pulse.session import materialize  # noqa: E402
 
+# Bytes of a repeated passage: fewer than 51 words have in running text. The
+# 400 bytes of op5 would leave passages of 51 to 65 words where they are.
+PASSAGE = 200
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
@@ -30,8 +34,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat anywhere are cut out of the texts."""
-    return suffix.without_repeats(docs)
+    """Passages of over 50 words that repeat anywhere, and all other strings of
+    ``PASSAGE`` bytes that do, are cut out of the texts."""
+    return suffix.without_repeats(docs, k=PASSAGE, m=PASSAGE // 2)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

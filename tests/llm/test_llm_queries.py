@@ -1,6 +1,7 @@
 """Registered queries, their oracle, and the pipeline."""
 
 import os
+import random
 import sys
 
 import duckdb
@@ -72,3 +73,30 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_dir):
             out = stage(spark, docs, tmp_dir)
             assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
             assert out.count() <= docs.count()
+
+
+def test_passages_of_over_fifty_words_are_cut(spark):
+    rng = random.Random(9)
+    rows, passages = [], []
+    for n in range(51, 61):
+        passage = " ".join(f"{n}x{rng.randint(0, 99):02d}" for _ in range(n))
+        assert len(passage.encode()) < suffix.K  # op5 leaves it
+        passages.append(passage)
+        rows += [(10 * n + c, " ".join(f"o{n}w{i}c{c}" for i in range(30)) + f" {passage} " + " ".join(f"{c}e{n}w{i}" for i in range(30)))
+                 for c in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = dict(map(tuple, dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, SF001).collect()))
+    assert sorted(out) == sorted(d for d, _ in rows)
+    for d, text in rows:
+        passage = passages[d // 10 - 51]
+        assert out[d] == text.replace(f" {passage} ", "")
+
+
+@pytest.mark.parametrize("limit", [suffix.LIMIT, 5])
+def test_shorter_strings_equal_brute_force(spark, limit):
+    docs = odd_docs(spark)
+    k = corpus_pipeline.PASSAGE
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    want = [(i, len(t), sum(e - s for s, e in x), len(x)) for (i, t), x in zip(rows, suffix.brute([t for _, t in rows], k))]
+    got = [tuple(r)[:4] for r in suffix.report(docs, k=k, m=k // 2, limit=limit).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
