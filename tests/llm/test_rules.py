@@ -66,3 +66,16 @@ def test_odd_tables(spark):
     lab = labels(spark, [(0, 1, 0, "x"), (0, 0, 1, "x"), (None, 1, 0, "x"), (99999, 1, 0, "x"), (1, None, None, "x")])
     assert rules.report(docs, lab).count() == docs.count()
     assert rules.report(no_docs(spark), lab).count() == 0
+
+
+def test_every_word_is_tested_for_the_lexicon(spark):
+    # Ordinary words, more than any fixed number of the most frequent ones
+    # would hold, stand in all texts; the markers in fewer.
+    ordinary = " ".join(f"w{i}" for i in range(2_500))
+    rows = [(i, ordinary + (f" mark{i % 3}!" if i < 30 else ""), "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i >= 30, i < 30, False) for i in range(600)],
+                                  "doc_id long, good boolean, toxic boolean, holdout boolean")
+    assert rules.toxic_words(docs, known) == {b"mark0", b"mark1", b"mark2"}
+    assert rules.toxic_words(no_docs(spark), known) == frozenset()
+    assert rules.toxic_words(docs, known.filter("NOT toxic")) == frozenset()
