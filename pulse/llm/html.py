@@ -1,14 +1,18 @@
 """Main text of web pages by removal of site templates.
 
-A page is read into elements once. Every block element's subtree is hashed from
-its markup, and Spark counts, for each host, on how many different articles'
-pages a subtree stands. Subtrees that recur on ``MIN_PAGES`` pages or more are
-the site's template and are deleted, as are elements that say what they are (by
-tag, role or class: menus, footers, adverts, forms, comments and the like). The
-main element is the article, else ``main``, else the body; its paragraphs and
-headings are never taken for template, only containers inside it are, so that
-sentences which many articles share stay. Copies of one article count as one
-page, so a repeated article is not its own template.
+A page is read into elements once. Every block element's subtree, on the whole
+page, is hashed from its markup, and Spark counts, for each host, on how many
+different articles' pages a subtree stands. Subtrees on ``MIN_PAGES`` pages or
+more, and on a share of ``SHARE`` of the host's different pages or more, are the
+site's template and are deleted: a paragraph that a few pages of a large host
+have in common is none. Besides, elements that say what they are (by tag, role
+or class: menus, footers, adverts, forms, comments and the like) are deleted.
+The main element is the article, else ``main``, else the body. An article or
+``main`` counts where it holds half or more of the text that the template
+leaves of its page; else the page's text is all that is left of the body. In an
+article or ``main``, paragraphs and headings are never taken for template, only
+containers are, so that sentences which many articles share stay. Copies of one
+article count as one page, so a repeated article is not its own template.
 
 Counting is by (host, subtree) with partial aggregation, so a host with a third
 of all pages is no group of its own. Subtrees that a page shares with its site
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_PAGES = 3
+SHARE = 0.2
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -193,9 +198,18 @@ class Page:
         self.in_main = in_main
 
     def article(self) -> int:
-        """Hash of the main element."""
-        i = min(self.main)
-        return xxhash.xxh3_64_intdigest(self.html[self.start[i]:self.end[i]].encode("utf-8", "surrogatepass")) - (1 << 63)
+        """Hash of the main element, or of all that may be text on a page whose
+        main element holds less than half of it."""
+        size = [0, 0]
+        for i, _, raw in self.texts:
+            if not self.dropped[i]:
+                size[self.in_main[i]] += _size(raw)
+        if size[True] < size[False]:
+            of = "\0".join(raw for i, _, raw in self.texts if not self.dropped[i])
+        else:
+            i = min(self.main)
+            of = self.html[self.start[i]:self.end[i]]
+        return xxhash.xxh3_64_intdigest(of.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def subtrees(self) -> list[tuple[int, int]]:
         """(element, hash) of the subtrees that may be template."""
@@ -210,29 +224,40 @@ class Page:
             out.append((i, xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63)))
         return out
 
-    def parts(self) -> tuple[list[tuple[int, int, str]], list[tuple[int, ...]]]:
-        """What may be main text: (block, chain, raw text) pieces, and the
-        chains: hashes of the subtrees that a piece stands in."""
+    def parts(self) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, ...]]]:
+        """What may be text: (block, chain, raw text, in the main element)
+        pieces, and the chains: hashes of the subtrees that a piece stands in."""
         own = dict(self.subtrees())
         chain: list[tuple[int, ...]] = [()]
         for i in range(1, len(self.tag)):
             up = chain[self.parent[i]]
             chain.append((*up, own[i]) if i in own else up)
         number: dict[tuple[int, ...], int] = {}
-        pieces = [(block, number.setdefault(chain[i], len(number)), raw) for i, block, raw in self.texts
-                  if self.in_main[i] and not self.dropped[i]]
+        pieces = [(block, number.setdefault(chain[i], len(number)), raw, self.in_main[i]) for i, block, raw in self.texts
+                  if not self.dropped[i]]
         return pieces, list(number)
 
     def text(self, template: set[int]) -> str:
         return join_parts(*self.parts(), template)
 
 
-def join_parts(pieces: list[tuple[int, int, str]], chains: list[tuple[int, ...]], template: set[int]) -> str:
-    """The text of the pieces that stand in no template subtree."""
+def _size(raw: str) -> int:
+    """Characters of a raw text, without white space."""
+    return sum(map(len, raw.split()))
+
+
+def join_parts(pieces: list[tuple[int, int, str, bool]], chains: list[tuple[int, ...]], template: set[int]) -> str:
+    """The text of the pieces that stand in no template subtree: those in the
+    main element, if they are half of them or more."""
     stays = [template.isdisjoint(c) for c in chains]
+    left = [p for p in pieces if stays[p[1]]]
+    size = [0, 0]
+    for p in left:
+        size[p[3]] += _size(p[2])
+    whole = size[True] < size[False]
     blocks: dict[int, list[str]] = {}
-    for block, chain, raw in pieces:
-        if stays[chain]:
+    for block, _, raw, main in left:
+        if whole or main:
             blocks.setdefault(block, []).append(raw)
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -246,7 +271,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
                         common.key64(F.lit(2), html, F.col("page_id"), url).alias("k2"))
 
 
-def template_subtrees(pages: DataFrame, min_pages: int) -> DataFrame:
+def template_subtrees(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
     """(k1, k2, template): the hashes of a page that its host's pages share."""
     schema = pa.schema([("host", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("article", pa.int64()),
                         ("tree", pa.int64())])
@@ -257,19 +282,24 @@ def template_subtrees(pages: DataFrame, min_pages: int) -> DataFrame:
             for host, k1, k2, html in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 page = Page(html)
                 article = page.article()
-                out += [(host, k1, k2, article, h) for h in {h for _, h in page.subtrees()}]
+                # The row without a subtree counts the page.
+                out += [(host, k1, k2, article, h) for h in {None, *(h for _, h in page.subtrees())}]
             if out:
                 yield common.batch_of(schema, list(map(list, zip(*out, strict=True))))
 
     rows = common.cut(pages.select("host", "k1", "k2", "html").mapInArrow(
         run, "host string, k1 long, k2 long, article long, tree long").withColumn("host", F.xxhash64("host")))
-    shared = (rows.select("host", "tree", "article").distinct().groupBy("host", "tree").count()
-              .filter(F.col("count") >= min_pages).select("host", "tree"))
+    often = (rows.select("host", "tree", "article").distinct().groupBy("host", "tree").count()
+             .filter(F.col("count") >= min_pages))
+    often = common.cut(often)
+    n = often.filter("tree IS NULL").select("host", F.col("count").alias("n"))
+    shared = (often.filter("tree IS NOT NULL").join(common.sent_whole(n), "host")
+              .filter(F.col("count") >= share * F.col("n")).select("host", "tree"))
     return (rows.select("host", "tree", "k1", "k2").join(shared, ["host", "tree"])
             .groupBy("k1", "k2").agg(F.collect_set("tree").alias("template")))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     import zstandard
 
@@ -294,6 +324,6 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     parts = pages.select("page_id", "url", "k1", "k2", "html").mapInArrow(
         cut, "page_id long, url string, k1 long, k2 long, parts binary")
-    return (parts.join(template_subtrees(pages, min_pages), ["k1", "k2"], "left")
+    return (parts.join(template_subtrees(pages, min_pages, share), ["k1", "k2"], "left")
             .select("page_id", "url", "parts", "template")
             .mapInArrow(finish, "page_id long, url string, text string, n_chars long"))

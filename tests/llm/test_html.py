@@ -54,3 +54,29 @@ def test_pages_hold_documents(spark):
     assert len(got) == read(spark, SF01, "pages").count()
     # The heading repeats the start of the document.
     assert all(r["text"].split("\n", 1)[1] in docs for r in got)
+
+
+def test_share_of_the_host_decides_without_article(spark):
+    # A host of 40 pages: its template is on all, real text on three or four.
+    shell = ("<body><div class=x1><p>Our site, all of it</p></div><p>Own text of page {0}.</p>{1}"
+             "<div class=x2><p>Made by us</p></div></body>")
+    some = "<p>A real paragraph.</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table>"
+    rows = [(i, f"http://big.example/{i}", shell.format(i, some if i < 4 else "")) for i in range(40)]
+    small = [(100 + i, f"http://small.example/{i}", shell.format(i, "")) for i in range(4)]
+    text = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows + small)).collect()}
+    for i in range(40):
+        assert text[i] == f"Own text of page {i}." + ("\nA real paragraph.\none\ntwo\ncell" if i < 4 else "")
+    assert all(text[100 + i] == f"Own text of page {i}." for i in range(4))
+
+
+def test_article_of_few_words_does_not_hide_the_page(spark):
+    shell = ("<body><div class=x1><p>{1}</p></div><article><p>A teaser.</p></article>"
+             "<div><p>The text of page {0}, which is longer.</p><p>More of {0}.</p></div></body>")
+    rows = [(i, f"http://a.example/{i}", shell.format(i, "Our site in many words, on every page of it " * 3)) for i in range(10)]
+    rows += [(50 + i, f"http://b.example/{i}", f"<body><div>Our site in many words, on every page of it</div>"
+              f"<article><p>Text of {i}.</p></article></body>") for i in range(10)]
+    text = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()}
+    for i in range(10):
+        assert text[i] == f"A teaser.\nThe text of page {i}, which is longer.\nMore of {i}."
+        # The template goes first: an article may be shorter than that.
+        assert text[50 + i] == f"Text of {i}."
