@@ -2,7 +2,9 @@
 
 Documents become pieces of at most ``capacity`` words; pieces go into bins of
 that size so that no bin holds two pieces of one source or of one group of
-copies (texts equal but for case, digits and punctuation).
+copies: texts equal but for case, digits and punctuation, texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more, and whatever such
+pairs connect.
 
 Pieces are dealt by a hash into shards of about ``shard_rows``, so that a hot
 source is spread evenly and a shard fits a task at any size of the input. In a
@@ -28,10 +30,13 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
+from .graph import components
 
 CAPACITY = 4096
 SHARD_ROWS = 4096
+# What makes near copies: words in a shingle, and least similarity.
+SIZE, PERCENT = 5, 80
 PIECES = ("doc_id long, piece int, n_pieces int, start_word long, n_words int, bin_id long, place int, source string,"
           " cluster long")
 
@@ -66,13 +71,15 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, source, cluster, piece, n_pieces, start_word, n_words, k): a
-    row per piece. Words are runs without ASCII white space."""
+    """(doc_id, source, cluster, piece, n_pieces, start_word, n_words, k, k1,
+    k2): a row per piece; the cluster is that of equal normalised texts. Words
+    are runs without ASCII white space."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\d\p{Punct}]+", " "))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"),
-                       n.alias("n"), common.key64(F.col("doc_id"), text).alias("k"))
+                       n.alias("n"), common.key64(F.col("doc_id"), text).alias("k"),
+                       *(c.alias(k) for c, k in zip(common.row_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)))
     count = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("int")
     rows = rows.withColumn("n_pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     start = F.col("piece").cast("long") * capacity
@@ -80,12 +87,30 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "n_words", F.least(F.lit(capacity).cast("long"), F.col("n") - start).cast("int")).drop("n")
 
 
+def near_copies(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """(node, root): the clusters of ``todo`` that near copies connect with
+    others, and the cluster that stands for all of them."""
+    sketch, classes = jaccard.link(docs, SIZE, PERCENT)
+    full = (sketch.filter("n > 0").join(classes.select("cid", "root"), "cid", "left")
+            .select(F.coalesce("root", "cid").alias("group"), "k1", "k2"))
+    many = common.cut(full.groupBy("group").count().filter("count > 1").select("group"))
+    full = common.cut(full.join(common.sent_whole(many), "group").distinct())
+    rows = todo.filter("piece = 0").select("k1", "k2", "cluster").distinct()
+    pairs = common.cut(rows.join(common.sent_whole(full), ["k1", "k2"]).select("group", "cluster").distinct())
+    least = common.cut(pairs.groupBy("group").agg(F.min("cluster").alias("least"), F.count("*").alias("n"))
+                       .filter("n > 1").select("group", "least"))
+    return components(pairs.join(common.sent_whole(least), "group"), "cluster", "least")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Every piece with its bin_id and place in the bin."""
     import pandas as pd
 
     todo = common.cut(pieces(docs, capacity))
     shards = max(1, -(-todo.count() // shard_rows))
+    near = common.sent_whole(near_copies(docs, todo))
+    todo = (todo.drop("k1", "k2").join(near, F.col("cluster") == F.col("node"), "left")
+            .withColumn("cluster", F.coalesce("root", "cluster")).drop("node", "root"))
     todo = todo.withColumn("shard", F.pmod(F.xxhash64("k", "piece"), F.lit(shards)))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -58,3 +58,29 @@ def test_packing_is_repeatable(spark):
     a = sorted(map(tuple, packing.pack(odd_docs(spark), 64, 40).collect()), key=str)
     b = sorted(map(tuple, packing.pack(odd_docs(spark).repartition(3), 64, 40).collect()), key=str)
     assert a == b
+
+
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(3)
+    rows, family = [], {}
+    for f in range(8):
+        base = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + i % 26)}" for i in range(80)]
+        for c in range(4):  # a chain: each has one word more changed than the one before
+            base[10 + 20 * c] = f"other{'abcd'[c]}"
+            # The last is an exact copy of the third but for case and digits.
+            words = base if c < 3 else [w.upper() + " 7" for w in third]
+            third = list(base) if c == 2 else None
+            rows.append((10 * f + c, " ".join(words), f"s{f}x{c}"))
+            family[10 * f + c] = f
+    rows += [(900, "", "e1"), (901, None, "e2"), (902, "alone here", "e3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    bins, clusters = defaultdict(list), defaultdict(set)
+    for r in got:
+        if r["doc_id"] in family:
+            bins[r["bin_id"]].append(family[r["doc_id"]])
+            clusters[family[r["doc_id"]]].add(r["cluster"])
+    assert all(len(x) == len(set(x)) for x in bins.values())
+    assert all(len(x) == 1 for x in clusters.values()) and len(set.union(*clusters.values())) == 8
+    assert len({r["bin_id"] for r in got}) == 4  # and no more bins than that takes
