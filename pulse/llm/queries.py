@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, importance, jaccard, langid, packing, rules, suffix, tokens
+from . import chat, decontaminate, html, importance, jaccard, langid, lexical, packing, rules, suffix, tokens
 from .common import read
 
 
@@ -51,13 +51,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_html_extraction,
                             op4_importance_resampling, op5_suffix_dedup, op6_token_counts, op7_language_id,
-                            op8_best_fit_packing, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+                            op8_best_fit_packing, op9_benchmark_decontamination, op10_ngram_jaccard_join,
+                            op11_ranked_lexical_search)}
 
 # The others learn a model, search or pack, or are too slow in SQL on whole
 # tables: their tests compare them with brute force on small ones.
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.oracle(),
                           "op9_benchmark_decontamination": decontaminate.ORACLE,
-                          "op10_ngram_jaccard_join": jaccard.ORACLE}
+                          "op10_ngram_jaccard_join": jaccard.ORACLE,
+                          "op11_ranked_lexical_search": lexical.ORACLE}

@@ -46,7 +46,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     rows = sorted(best.values())
     texts = [t.encode() for _, t in rows]
     cut = []
-    for (d, _), t, spans in zip(rows, texts, suffix.brute(texts)):
+    for (d, _), t, spans in zip(rows, texts, suffix.brute(texts, k=corpus_pipeline.PASSAGE)):
         out, at = b"", 0
         for s, e in spans:
             while s < e and t[s] & 0xC0 == 0x80:
