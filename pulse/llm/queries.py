@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, importance, jaccard, langid, lexical, packing, rules, suffix, tokens, whitening
+from . import chat, decontaminate, html, importance, jaccard, langid, lexical, packing, rules, spots, suffix, tokens, whitening
 from .common import read
 
 
@@ -59,11 +59,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(read(spark, sf_dir, "embeddings"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_html_extraction,
                             op4_importance_resampling, op5_suffix_dedup, op6_token_counts, op7_language_id,
                             op8_best_fit_packing, op9_benchmark_decontamination, op10_ngram_jaccard_join,
-                            op11_ranked_lexical_search, op12_embedding_whitening)}
+                            op11_ranked_lexical_search, op12_embedding_whitening, op13_document_fingerprints)}
 
 # The others learn a model, search or pack, or are too slow in SQL on whole
 # tables: their tests compare them with brute force on small ones.
