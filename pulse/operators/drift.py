@@ -7,11 +7,14 @@ the input tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.text import text_length
 from pulse.operators.aggregates import shares
+from pulse.session import materialize
 
 # Acceptance limits. Shares are compared as absolute
 # differences, summaries as percentages of the base side.
@@ -67,6 +70,51 @@ def numeric_drift(a: DataFrame, b: DataFrame, col: str, tols: dict | None = None
             .withColumn("status", _status(F.col("diff_pct") <= tol[F.col("metric")])))
 
 
+def distribution_drift(a: DataFrame, b: DataFrame, measures: dict[str, Column], alpha: float = 0.05) -> DataFrame:
+    """Whole distributions compared, which equal means and spreads cannot pass:
+    per measure the rows of each side, the two-sample Kolmogorov-Smirnov
+    statistic (the largest distance of the two cumulative shares), the least
+    value where it stands, its critical value at ``alpha``, OK below or at it.
+    NULL measures take no part; a measure without rows on one side has a NULL
+    statistic and fails.
+
+    Cumulative shares need a running sum over all values. Rows are first counted
+    per value and side, dealt by ranges of (measure, value) and written once;
+    each range's totals give what lies before it (one row per range and measure
+    on the driver), and the running sums are then taken inside every range."""
+    spark = a.sparkSession
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), c.cast("double").alias("value"))
+                                for name, c in measures.items()])).alias("c")
+    sides = a.select(F.lit(1).alias("in_a"), cells).unionByName(b.select(F.lit(0).alias("in_a"), cells))
+    counts = sides.select("in_a", "c.*").where("value IS NOT NULL").groupBy("measure", "value").agg(
+        F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(parts, "measure", "value").withColumn("part", F.spark_partition_id()),
+                         "values-by-range")
+    totals = ranged.groupBy("measure", "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    before, all_of = [], {name: [0, 0] for name in measures}
+    for r in sorted(totals):
+        t = all_of[r["measure"]]
+        before.append((r["measure"], r["part"], *t))
+        t[0] += r["a"]
+        t[1] += r["b"]
+    starts = spark.createDataFrame(before, "measure string, part int, before_a long, before_b long")
+    ends = spark.createDataFrame([(m, *t) for m, t in all_of.items()], "measure string, n_a long, n_b long")
+    run = Window.partitionBy("measure", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    at = (ranged.join(F.broadcast(starts), ["measure", "part"]).join(F.broadcast(ends), "measure")
+          .withColumn("gap", F.abs((F.sum("a").over(run) + F.col("before_a")) / F.nullif("n_a", F.lit(0))
+                                   - (F.sum("b").over(run) + F.col("before_b")) / F.nullif("n_b", F.lit(0)))))
+    # The largest gap of each range first, then the largest of those; of equal ones the least value.
+    best = lambda g: F.max_by(F.struct("gap", "value"), F.struct("gap", -F.col("value")))
+    most = at.where("gap IS NOT NULL").groupBy("measure", "part").agg(best(0).alias("m")).select("measure", "m.*") \
+        .groupBy("measure").agg(best(0).alias("m")).select("measure", F.col("m.gap").alias("statistic"), F.col("m.value").alias("value_at"))
+    n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    critical = F.sqrt(F.lit(-math.log(alpha / 2) / 2) * (n + m) / F.nullif(n * m, F.lit(0.0)))
+    return ends.join(most, "measure", "left").select(
+        "measure", "n_a", "n_b", "statistic", "value_at", critical.alias("critical"),
+        _status(F.coalesce(F.col("statistic") <= critical, F.lit(False))).alias("status"))
+
+
 def integrity_report(df: DataFrame, id_col: str = "tweet_id", entity: str = "entity",
                      cls: str = "sentiment") -> DataFrame:
     """Rows, distinct ids, entities and classes, and NULL cells, in one pass."""

@@ -51,6 +51,21 @@ def mention_volume(df: DataFrame, time_col: str, by: str = "entity", every: str
     return window_counts(df, time_col, [by], every, watermark, name="mentions")
 
 
+def mention_bursts(df: DataFrame, time_col: str, by: str = "entity", gap: str = "30 minutes", least: int = 3,
+                   watermark: str | None = None) -> DataFrame:
+    """Runs of ``least`` or more mentions per ``by`` in which no two neighbours
+    are over ``gap`` apart: w_start (first mention), w_end (last one plus the
+    gap), *by*, mentions. Sessions merge in partial aggregates before the
+    shuffle, so a hot entity sends one row per run and partition. With
+    ``watermark`` it runs on a stream (append mode: a run is emitted once the
+    watermark passes its end)."""
+    src = df.withWatermark(time_col, watermark) if watermark else df
+    src = src.where(F.col(by).isNotNull() & F.col(time_col).isNotNull())
+    g = src.groupBy(F.session_window(time_col, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("mentions"))
+    return g.where(F.col("mentions") >= least).select(
+        F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), by, "mentions")
+
+
 def hashtag_counts(df: DataFrame, text: str, time_col: str, every: str = "1 day",
                    watermark: str | None = None) -> DataFrame:
     """Lower-cased hashtags per period: w_start, hashtag, n. With

@@ -9,6 +9,7 @@ places on both sides so the two engines' last digits cannot differ.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ from pulse.operators import augment as au
 from pulse.operators import dedup as dd
 from pulse.operators import drift as dq
 from pulse.operators import measures as ms
+from pulse.operators import nearness as nr
 from pulse.operators import resample as sa
 from pulse.operators import schema as sc
 from pulse.operators import words as wd
 from pulse.session import materialize, shared_path
 from pulse.sources import files as io
 from pulse.sources import fixtures as fx
+from pulse.streaming import delivery as dl
 from pulse.streaming import jobs as sj
 from pulse.streaming import messages as sm
 from pulse.streaming.windows import as_wall_clock, minute_counts as _minute_counts
@@ -216,6 +219,16 @@ def dedup_repeated_ids(spark, sf):
         "tweet_id", "source_rank", "entity", "sentiment", "lang", F.md5("tweet_content").alias("text_md5"))
 
 
+@query
+def near_texts(spark, sf):
+    """Near-duplicate texts under one id: each conversation's turns, cleaned,
+    as sent four times over with small changes."""
+    t = fx.turns(spark, sf).select("tweet_id", tx.clean_text("tweet_content").alias("t"))
+    sent = F.array(F.col("t"), F.regexp_replace("t", "tion", "toin"), F.concat(F.lit("rt "), F.col("t")),
+                   F.regexp_replace("t", "e", ""))
+    return nr.near_texts(t.select("tweet_id", F.explode(sent).alias("tweet_content")), "tweet_id", "tweet_content")
+
+
 @query
 def union_by_name(spark, sf):
     a = fx.tweets(spark, sf).select("tweet_id", "entity", "sentiment", "lang")
@@ -246,6 +259,16 @@ def drift_lengths(spark, sf):
                     r6("diff_pct").alias("diff_pct"), "status")
 
 
+@query
+def drift_distribution(spark, sf):
+    """Whole distributions of text lengths, words and tags, English against the rest."""
+    words = F.size(tx.tokens("tweet_content"))
+    d = dq.distribution_drift(fx.by_language(spark, sf, True), fx.by_language(spark, sf, False),
+                              {"chars": tx.text_length("tweet_content"), "words": words})
+    return d.select("measure", "n_a", "n_b", r6("statistic").alias("statistic"), "value_at",
+                    r6("critical").alias("critical"), "status")
+
+
 @query
 def integrity_report(spark, sf):
     return dq.integrity_report(fx.tweets(spark, sf))
@@ -456,6 +479,126 @@ def stream_region_opinion(spark, sf):
         "w_start", "r_name", "n", *[r6(c).alias(c) for c in shares])
 
 
+EVENT_COLUMNS = ["tweet_id", "entity", "sentiment", "tweet_content", "event_time"]
+WAVES = 3
+
+
+def in_waves(spark, messages, name):
+    """Messages (wave, value) written to a folder wave by wave; yields after
+    each, so that a stream can be run, stopped and run again in between."""
+    folder = shared_path(spark, name)
+    for i in range(WAVES):
+        messages.where(F.col("wave") == i).select("value").write.mode("append").parquet(folder)
+        yield folder
+
+
+def wave_of(at):
+    """Ten days of the month each."""
+    return F.least(F.floor((F.dayofmonth(at) - 1) / 10), F.lit(WAVES - 1)).cast("int")
+
+
+def delivered(spark, sf):
+    """Messages as a topic holds them: every fifth sent again five minutes
+    later, every seventh at once; waves by the time of delivery."""
+    ev = fx.table(spark, sf, "events")
+    later = ev.where("event_id % 5 = 0").withColumn("at", F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
+    sent = ev.withColumn("at", F.col("ts")).unionByName(later).unionByName(ev.where("event_id % 7 = 0").withColumn("at", F.col("ts")))
+    sent = sent.withColumn("wave", wave_of("at"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        fx.messages(spark, sf, events=sent.where(F.col("wave") == i)).withColumn("wave", F.lit(i)) for i in range(WAVES)])
+
+
+@query
+def stream_keep_first(spark, sf):
+    """Keep-first on a stream of repeated deliveries, stopped and started again
+    between the waves: the state remembers what came before a stop."""
+    out, ck = shared_path(spark, "first"), shared_path(spark, "first_ckpt")
+    for folder in in_waves(spark, delivered(spark, sf), "deliveries"):
+        src = sj.file_stream(spark, folder, "value binary")
+        first = dl.first_deliveries(sm.accepted(sm.decode_messages(src)), watermark=sj.DEFAULT_WATERMARK)
+        sj.stream_to_parquet(first.select(*EVENT_COLUMNS), out, ck, {"availableNow": True}).awaitTermination()
+    return as_wall_clock(spark.read.parquet(out), ["event_time"])
+
+
+@query
+def stream_corrected_counts(spark, sf):
+    """Minute counts of a stream in which every tenth message comes ten or
+    twenty days late, far behind any watermark: the corrected table has them."""
+    ev = fx.table(spark, sf, "events").withColumn("wave", wave_of("ts"))
+    late = F.when(F.col("event_id") % 10 == 3, F.lit(WAVES - 1)).otherwise(F.col("wave"))
+    ev = ev.withColumn("wave", late)
+    sent = reduce(lambda a, b: a.unionByName(b), [
+        fx.messages(spark, sf, events=ev.where(F.col("wave") == i)).withColumn("wave", F.lit(i)) for i in range(WAVES)])
+    path, ck, by = shared_path(spark, "corrected"), shared_path(spark, "corrected_ckpt"), {"sentiment": "string"}
+    for folder in in_waves(spark, sent, "late"):
+        src = sm.accepted(sm.decode_messages(sj.file_stream(spark, folder, "value binary")))
+        dl.correct_counts(src, path, ck, list(by), trigger={"availableNow": True}).awaitTermination()
+    return as_wall_clock(dl.corrected(spark, path, by), ["w_start", "w_end"])
+
+
+@query
+def stream_open_windows(spark, sf):
+    """The sink's closed windows and the state's open ones: all minute counts."""
+    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
+    out, ck = shared_path(spark, "closed"), shared_path(spark, "closed_ckpt")
+    sj.stream_to_parquet(counts, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS).awaitTermination()
+    closed = spark.read.parquet(out).withColumn("open", F.lit(False))
+    still = dl.open_windows(spark, ck, ["sentiment"]).withColumn("open", F.lit(True))
+    return as_wall_clock(closed.unionByName(still), ["w_start", "w_end"])
+
+
+def lineage_sides(spark, sf):
+    """Messages, and copies that name them: copies of every fourth message ten
+    minutes on; of every fourth plus one of a message that never was; of every
+    fourth plus two three hours on, out of bounds. Two waves: the messages, and
+    a heartbeat of the next month without an id, which moves the watermark."""
+    ev = fx.table(spark, sf, "events")
+    kind = F.col("event_id") % 4
+    beat = ev.groupBy().agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("string").alias("tweet_id"), F.lit(None).cast("string").alias("original_tweet_id"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(1).alias("wave"))
+    own = ev.select(F.col("event_id").cast("string").alias("tweet_id"), F.lit(None).cast("string").alias("original_tweet_id"),
+                    "ts", F.lit(0).alias("wave"))
+    of = F.when(kind == 1, -F.col("event_id")).otherwise(F.col("event_id")).cast("string")
+    on = F.when(kind == 2, F.expr("INTERVAL 180 MINUTES")).otherwise(F.expr("INTERVAL 10 MINUTES"))
+    copies = ev.where(kind < 3).select(F.concat(F.lit("c"), F.col("event_id")).alias("tweet_id"),
+                                       of.alias("original_tweet_id"), (F.col("ts") + on).alias("ts"), F.lit(0).alias("wave"))
+
+    def messages(df):
+        fields = F.struct("tweet_id", "original_tweet_id", F.lit("Neutral").alias("sentiment"),
+                          (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"))
+        return df.select("wave", F.to_json(fields).cast("binary").alias("value"))
+    return messages(copies.unionByName(beat)), messages(own.unionByName(beat))
+
+
+@query
+def stream_lineage(spark, sf):
+    """Copies joined to their originals across two streams."""
+    sides = lineage_sides(spark, sf)
+    folders = [shared_path(spark, n) for n in ("copies", "originals")]
+    out, ck = shared_path(spark, "lineage"), shared_path(spark, "lineage_ckpt")
+    for wave in (0, 1):
+        streams = []
+        for df, folder in zip(sides, folders):
+            df.where(F.col("wave") == wave).select("value").write.mode("append").parquet(folder)
+            streams.append(sm.accepted(sm.decode_messages(sj.file_stream(spark, folder, "value binary"))))
+        joined = dl.lineage(*streams, within="1 hour", watermark=sj.DEFAULT_WATERMARK)
+        sj.stream_to_parquet(joined, out, ck, {"availableNow": True}).awaitTermination()
+    return as_wall_clock(spark.read.parquet(out), ["copy_time", "original_time"])
+
+
+BURST_GAP = "2 hours"
+
+
+@query
+def stream_mention_bursts(spark, sf):
+    """Runs of mentions of a user on a stream, closed ones only."""
+    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    bursts = ms.mention_bursts(fx.stream_events(spark, sf, events=src), "ts", "entity", BURST_GAP, 2, sj.DEFAULT_WATERMARK)
+    return as_wall_clock(drained(spark, bursts, "bursts"), ["w_start", "w_end"])
+
+
 # ---------------------------------------------------- augment, resample ---
 
 
@@ -525,6 +668,12 @@ def mention_volume(spark, sf):
     return ms.mention_volume(wall_clock_events(spark, sf), "ts", "entity", "1 day")
 
 
+@query
+def mention_bursts(spark, sf):
+    """Runs of two or more mentions of a user, none over two hours apart."""
+    return ms.mention_bursts(wall_clock_events(spark, sf), "ts", "entity", BURST_GAP, 2)
+
+
 @query
 def hashtag_trend(spark, sf):
     """Tags of the tagged texts, over time: each text on the day its id gives."""

@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from pulse.plans import jobs
 from pulse.session import DEFAULTS
+from pulse.streaming import jobs as sj
 
 
 def session(master: str | None, app: str) -> SparkSession:
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--csv", required=True, nargs="+")
     b.add_argument("--out", required=True)
     b.add_argument("--no-header", action="store_true")
+    b.add_argument("--single-line", action="store_true", help="no text holds a line break: split files over tasks")
     s = sub.add_parser("stream", help="Kafka topic or folder of JSON lines -> minute counts Parquet")
     src = s.add_mutually_exclusive_group(required=True)
     src.add_argument("--servers", help="Kafka bootstrap servers")
@@ -46,6 +48,9 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--rejects")
     s.add_argument("--watermark", default="10 minutes")
     s.add_argument("--trigger", default="30 seconds")
+    how = s.add_mutually_exclusive_group()
+    how.add_argument("--once", action="store_true", help="count a message that is delivered repeatedly as one")
+    how.add_argument("--late", action="store_true", help="counts that take in messages of any lateness")
     s.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     s.add_argument("--option", action="append", default=[], metavar="NAME=VALUE",
                    help="option of the Kafka source, e.g. maxOffsetsPerTrigger=100000")
@@ -58,6 +63,7 @@ def main(argv: list[str] | None = None) -> None:
     g.add_argument("--copies", type=int, default=1)
     g.add_argument("--seed", type=int, default=0)
     g.add_argument("--base-time", type=float, required=True, help="event time, epoch seconds")
+    g.add_argument("--batch", help="name of this publication in the folder; a retry under it replaces it")
     g.add_argument("--option", action="append", default=[], metavar="NAME=VALUE")
     v = sub.add_parser("validate", help="acceptance of a candidate table against a reference")
     v.add_argument("--reference", required=True)
@@ -67,22 +73,22 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = session(a.master, f"pulse-{a.job}")
     if a.job == "batch":
-        r = jobs.batch_job(spark, a.csv, a.out, header=not a.no_header)
+        r = jobs.batch_job(spark, a.csv, a.out, header=not a.no_header, multi_line=not a.single_line)
         r.by_sentiment.show(truncate=False)
         r.top_entities.show(truncate=False)
     elif a.job == "stream":
         trigger = {"availableNow": True} if a.available_now else {"processingTime": a.trigger}
         if a.servers:
             qs = jobs.stream_job(spark, a.servers, a.topic, a.out, a.checkpoint, a.rejects, a.watermark, trigger,
-                                 options=dict(o.split("=", 1) for o in a.option))
+                                 options=dict(o.split("=", 1) for o in a.option), once=a.once, late=a.late)
         else:
-            src = spark.readStream.format("text").load(a.folder)
-            qs = jobs.stream_counts(src, a.out, a.checkpoint, a.rejects, a.watermark, trigger)
+            src = sj.message_folder(spark, a.folder)
+            qs = jobs.stream_counts(src, a.out, a.checkpoint, a.rejects, a.watermark, trigger, a.once, a.late)
         for q in qs:
             q.awaitTermination()
     elif a.job == "publish":
         jobs.publish_job(spark.read.parquet(a.source), a.copies, a.seed, a.base_time, a.servers, a.topic, a.folder,
-                         dict(o.split("=", 1) for o in a.option))
+                         dict(o.split("=", 1) for o in a.option), a.batch)
     else:
         report = jobs.validate(spark.read.parquet(a.reference), spark.read.parquet(a.candidate))
         report["acceptance"].write.mode("overwrite").parquet(a.out)

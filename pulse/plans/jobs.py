@@ -26,8 +26,9 @@ from pulse.operators import augment as au
 from pulse.operators import dedup as dd
 from pulse.operators import drift as dq
 from pulse.sources import files as io
+from pulse.streaming import delivery as dl
 from pulse.streaming import jobs as sj
-from pulse.streaming.messages import decode_messages, rejected, to_message_value
+from pulse.streaming.messages import accepted, decode_messages, rejected, to_message_value
 
 REQUIRED = ["tweet_id", "entity", "sentiment", "tweet_content"]
 
@@ -45,10 +46,12 @@ def clean_tweets(df: DataFrame) -> DataFrame:
 
 
 def batch_job(spark: SparkSession, source: DataFrame | str | list[str], out_path: str, header: bool = True,
-              partition_by: list[str] | None = None) -> BatchResult:
+              partition_by: list[str] | None = None, multi_line: bool = True) -> BatchResult:
     """Run the batch job. ``source`` is a DataFrame with canonical names or
-    CSV path(s). The whole cleaned table is written (no row cap)."""
-    df = source if isinstance(source, DataFrame) else io.read_tweets_csv(spark, source, header=header)
+    CSV path(s); without ``multi_line`` (no text holds a line break) a file is
+    split over many tasks. The whole cleaned table is written (no row cap)."""
+    df = source if isinstance(source, DataFrame) else io.read_tweets_csv(spark, source, header=header,
+                                                                         multi_line=multi_line)
     io.write_parquet(clean_tweets(df).select(*REQUIRED, "tweet_content_cleaned"), out_path,
                      partition_by=partition_by)
     written = io.read_parquet(spark, out_path)
@@ -56,13 +59,25 @@ def batch_job(spark: SparkSession, source: DataFrame | str | list[str], out_path
 
 
 def stream_counts(src: DataFrame, out_path: str, checkpoint: str, reject_path: str | None = None,
-                  watermark: str = sj.DEFAULT_WATERMARK, trigger: dict | None = None) -> list[StreamingQuery]:
+                  watermark: str = sj.DEFAULT_WATERMARK, trigger: dict | None = None,
+                  once: bool = False, late: bool = False) -> list[StreamingQuery]:
     """Start the streaming job on any stream with a ``value`` column (a topic,
     or a folder of JSON lines). Returns the started queries: counts, and
-    rejects when ``reject_path`` is given."""
-    queries = [sj.stream_to_parquet(sj.minute_count_stream(src, watermark), out_path,
-                                    checkpoint + "/counts", trigger, "minute_counts",
-                                    state_partitions=sj.STATE_PARTITIONS)]
+    rejects when ``reject_path`` is given. ``once`` counts a message that is
+    delivered repeatedly as one; its state is every message of the watermark's
+    span, so it gets the session's shuffle partitions. ``late`` writes counts
+    that take in messages of any lateness, to be read with
+    ``delivery.corrected``; repeats can be told for as long as the watermark
+    only, so not both."""
+    if once and late:
+        raise ValueError("once drops what comes behind the watermark, late counts it: give one of them")
+    if late:
+        rows = accepted(decode_messages(src))
+        queries = [dl.correct_counts(rows, out_path, checkpoint + "/counts", ["sentiment"], trigger=trigger)]
+    else:
+        queries = [sj.stream_to_parquet(sj.minute_count_stream(src, watermark, once=once), out_path,
+                                        checkpoint + "/counts", trigger, "minute_counts",
+                                        state_partitions=None if once else sj.STATE_PARTITIONS)]
     if reject_path:
         bad = rejected(decode_messages(src))
         queries.append(sj.stream_to_parquet(bad, reject_path, checkpoint + "/rejects", trigger, "rejects"))
@@ -72,12 +87,12 @@ def stream_counts(src: DataFrame, out_path: str, checkpoint: str, reject_path: s
 def stream_job(spark: SparkSession, servers: str, topic: str, out_path: str, checkpoint: str,
                reject_path: str | None = None, watermark: str = sj.DEFAULT_WATERMARK,
                trigger: dict | None = None, starting: str = "latest",
-               options: dict | None = None) -> list[StreamingQuery]:
+               options: dict | None = None, once: bool = False, late: bool = False) -> list[StreamingQuery]:
     """The streaming job on a Kafka topic (needs the Kafka connector on the
     classpath). ``options`` go to the source, e.g. ``minPartitions`` and
     ``maxOffsetsPerTrigger``."""
     src = sj.kafka_source(spark, servers, topic, starting, options)
-    return stream_counts(src, out_path, checkpoint, reject_path, watermark, trigger)
+    return stream_counts(src, out_path, checkpoint, reject_path, watermark, trigger, once, late)
 
 
 def messages_to_publish(source: DataFrame, copies: int, seed: int, base_time: float,
@@ -90,14 +105,23 @@ def messages_to_publish(source: DataFrame, copies: int, seed: int, base_time: fl
 
 
 def publish_job(source: DataFrame, copies: int, seed: int, base_time: float, servers: str | None = None,
-                topic: str = "raw_tweets", folder: str | None = None, options: dict | None = None) -> None:
+                topic: str = "raw_tweets", folder: str | None = None, options: dict | None = None,
+                batch: str | None = None) -> None:
     """Publish augmented copies to a topic, or write them as files of JSON
-    lines that ``stream_counts`` can read."""
+    lines that ``stream_counts`` can read.
+
+    In a folder a publication has a place of its own, ``batch=<name>`` (default:
+    made of the seed, the copies and the base time), which a retry replaces, so
+    it repeats nothing. A topic cannot be replaced in: ids are made of the seed
+    and the row, so a retry sends the same ids again, and ``once`` in the stream
+    job takes them as one."""
     out = messages_to_publish(source, copies, seed, base_time)
     if servers:
         sj.write_kafka(out, servers, topic, options)
     elif folder:
-        out.select("value").write.mode("append").text(folder)
+        batch = batch or f"{seed}-{copies}-{base_time}"
+        (out.select("value", F.lit(batch).alias("batch")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").text(folder))
     else:
         raise ValueError("give servers or a folder")
 

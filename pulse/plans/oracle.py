@@ -209,6 +209,18 @@ SELECT tweet_id, source_rank, entity, sentiment, lang, text_md5 FROM (
            md5(sentiment) NULLS FIRST, md5(tweet_content) NULLS FIRST, md5(lang) NULLS FIRST) AS rn
   FROM corpus) WHERE rn = 1"""
 
+O["near_texts"] = """
+WITH t AS (SELECT conv_id AS id, regexp_replace(lower(text), '[^a-z\\s]', '', 'g') AS t FROM conversations
+           WHERE conv_id IS NOT NULL AND text IS NOT NULL),
+sent AS (SELECT id, unnest([t, replace(t, 'tion', 'toin'), 'rt ' || t, replace(t, 'e', '')]) AS text FROM t),
+texts AS (SELECT id, text, md5(text) AS k, length(text) AS len, count(*) AS rows FROM sent GROUP BY id, text),
+near AS (SELECT a.id, a.k, levenshtein(a.text, b.text) AS d
+         FROM texts a JOIN texts b ON a.id = b.id AND a.k <> b.k
+          AND 10 * abs(a.len - b.len) <= greatest(a.len, b.len)
+         WHERE levenshtein(a.text, b.text) <= greatest(a.len, b.len) // 10)
+SELECT id, k AS text_md5, rows, count(*) AS links, min(d) AS nearest
+FROM near JOIN texts USING (id, k) GROUP BY id, k, rows"""
+
 O["union_by_name"] = with_(TWEETS) + """
 SELECT tweet_id, entity, sentiment, lang, 0 AS source_rank, NULL::BIGINT AS turn FROM tweets
 UNION ALL
@@ -254,6 +266,26 @@ SELECT metric, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round
        CASE WHEN diff_pct <= 5.0 THEN 'OK' ELSE 'FAIL' END AS status
 FROM ({numeric_drift_sql('part_en', 'part_other')})"""
 
+def ks_sql(measure: str, value: str) -> str:
+    """Two-sample Kolmogorov-Smirnov statistic of part_en and part_other."""
+    return f"""
+SELECT '{measure}' AS measure, n_a, n_b, round(gap, 6) AS statistic, value AS value_at,
+       round(sqrt({-math.log(0.05 / 2) / 2!r} * (n_a + n_b) / (n_a::DOUBLE * n_b)), 6) AS critical,
+       CASE WHEN gap <= sqrt({-math.log(0.05 / 2) / 2!r} * (n_a + n_b) / (n_a::DOUBLE * n_b)) THEN 'OK' ELSE 'FAIL' END AS status
+FROM (
+  SELECT value, sum(a) OVER ()::BIGINT AS n_a, sum(b) OVER ()::BIGINT AS n_b,
+         abs(sum(a) OVER up / sum(a) OVER () - sum(b) OVER up / sum(b) OVER ()) AS gap
+  FROM (SELECT value::DOUBLE AS value, sum(a) AS a, sum(1 - a) AS b FROM (
+          SELECT {value} AS value, 1 AS a FROM part_en UNION ALL SELECT {value}, 0 FROM part_other)
+        WHERE value IS NOT NULL GROUP BY 1)
+  WINDOW up AS (ORDER BY value)
+  ORDER BY gap DESC, value LIMIT 1)"""
+
+
+O["drift_distribution"] = with_(_PARTS) + f"""
+SELECT * FROM ({ks_sql('chars', 'length(tweet_content)')})
+UNION ALL SELECT * FROM ({ks_sql('words', f"len({tokens_sql('tweet_content')})")})"""
+
 O["integrity_report"] = with_(TWEETS) + """
 SELECT count(*) AS rows, count(DISTINCT tweet_id) AS ids, count(DISTINCT entity) AS entities,
        count(DISTINCT sentiment) AS classes,
@@ -326,7 +358,7 @@ ent_col AS (SELECT position AS p FROM m
 
 O["schema_by_content"] = with_(_METRICS) + """
 SELECT position, "column", round(digit_share, 6) AS digit_share, round(label_share, 6) AS label_share,
-       round(mean_len, 6) AS mean_len, n_distinct, rows,
+       round(mean_len, 6) AS mean_len, CASE WHEN mean_len < 40 THEN n_distinct END AS n_distinct, rows,
        CASE WHEN position = (SELECT p FROM ent_col) THEN 'Entity'
             WHEN position = (SELECT p FROM text_col) THEN 'Tweet content'
             WHEN position = (SELECT p FROM sent_col) THEN 'Sentiment'
@@ -361,6 +393,44 @@ c AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, sentiment, count(*
 SELECT w_start, w_start + INTERVAL '1 minute' AS w_end, sentiment, count FROM c
 WHERE w_start + INTERVAL '1 minute' <= (SELECT max(ts) FROM ok) - INTERVAL '10 minutes'"""
 
+_OK_EVENTS = "events WHERE event_id % 100 <> 0 AND event_type IS NOT NULL AND ts IS NOT NULL"
+
+O["stream_keep_first"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS tweet_id, CAST(user_id AS VARCHAR) AS entity, event_type AS sentiment,
+       props AS tweet_content, ts AS event_time
+FROM {_OK_EVENTS}"""
+
+O["stream_corrected_counts"] = f"""
+SELECT time_bucket(INTERVAL '1 minute', ts) AS w_start, time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' AS w_end,
+       event_type AS sentiment, count(*) AS count
+FROM {_OK_EVENTS} GROUP BY ALL"""
+
+O["stream_open_windows"] = f"""
+SELECT w_start, w_end, sentiment, count,
+       w_end > (SELECT max(ts) FROM {_OK_EVENTS}) - INTERVAL '10 minutes' AS open
+FROM ({O['stream_corrected_counts']})"""
+
+O["stream_lineage"] = """
+SELECT 'c' || event_id AS tweet_id,
+       CAST(CASE WHEN event_id % 4 = 1 THEN -event_id ELSE event_id END AS VARCHAR) AS original_tweet_id,
+       ts + CASE WHEN event_id % 4 = 2 THEN INTERVAL '180 minutes' ELSE INTERVAL '10 minutes' END AS copy_time,
+       CASE WHEN event_id % 4 = 0 THEN ts END AS original_time
+FROM events WHERE event_id % 4 < 3"""
+
+_BURSTS = """
+runs AS (
+  SELECT entity, ts, sum(fresh) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT CAST(user_id AS VARCHAR) AS entity, ts,
+               CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)),
+bursts AS (SELECT min(ts) AS w_start, max(ts) + INTERVAL '2 hours' AS w_end, entity, count(*) AS mentions
+           FROM runs GROUP BY entity, run HAVING count(*) >= 2)"""
+
+O["mention_bursts"] = f"WITH {_BURSTS} SELECT w_start, w_end, entity, mentions FROM bursts"
+
+O["stream_mention_bursts"] = f"""WITH {_BURSTS} SELECT w_start, w_end, entity, mentions FROM bursts
+WHERE w_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"""
+
 _TIMED = TAGGED + """,
 timed AS (
   SELECT TIMESTAMP '2024-01-01' + to_days((doc_id % 10)::INTEGER) AS ts,

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from pulse.streaming.delivery import first_deliveries
 from pulse.streaming.messages import accepted, decode_messages
 from pulse.streaming.windows import minute_counts
 
@@ -48,10 +49,19 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return r.load(folder)
 
 
+def message_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of JSON lines as messages, also below the folders of publications."""
+    return spark.readStream.format("text").option("recursiveFileLookup", True).load(folder)
+
+
 def minute_count_stream(messages: DataFrame, watermark: str = DEFAULT_WATERMARK,
-                        every: str = "1 minute") -> DataFrame:
-    """value -> decode -> accepted rows -> counts per window and class."""
-    return minute_counts(accepted(decode_messages(messages)), "event_time", every, watermark)
+                        every: str = "1 minute", once: bool = False) -> DataFrame:
+    """value -> decode -> accepted rows -> counts per window and class.
+    ``once`` counts a message that is delivered repeatedly as one."""
+    rows = accepted(decode_messages(messages))
+    if once:  # the repeats' operator has set the watermark
+        return minute_counts(first_deliveries(rows, watermark=watermark), "event_time", every)
+    return minute_counts(rows, "event_time", every, watermark)
 
 
 # State partitions of the minute-count aggregate. Its state is one row per

@@ -89,3 +89,57 @@ def test_cli_stream_from_folder(tmp_dir):
     counts = pq.read_table(os.path.join(tmp_dir, "out")).to_pylist()
     assert [(c["sentiment"], c["count"]) for c in counts] == [("Positive", 1)]
     assert pq.read_table(os.path.join(tmp_dir, "bad")).num_rows == 1
+
+
+def test_batch_job_splits_files_without_line_breaks(spark, tmp_dir):
+    """A file over the split size is read by several tasks, with the rows of the unsplit read."""
+    from pyspark.sql import functions as F
+
+    from pulse.sources import files as io
+    path, key = os.path.join(tmp_dir, "csv"), "spark.sql.files.maxPartitionBytes"
+    tweets = fx.raw_tweets(spark, SF001).withColumn("Tweet content", F.regexp_replace("Tweet content", "[\\r\\n]", " "))
+    io.write_csv(tweets.coalesce(1), path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        split, whole = (io.read_tweets_csv(spark, path, multi_line=m) for m in (False, True))
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        one = jobs.batch_job(spark, path, os.path.join(tmp_dir, "one"), multi_line=False)
+        two = jobs.batch_job(spark, path, os.path.join(tmp_dir, "two"))
+        assert sorted(map(str, one.cleaned.collect())) == sorted(map(str, two.cleaned.collect()))
+        assert one.cleaned.count() > 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_retried_publication_repeats_nothing(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "topic")
+    lab = fx.labelled(spark, SF001).limit(20)
+    lab = spark.createDataFrame(lab.collect(), lab.schema)
+    for _ in range(2):
+        jobs.publish_job(lab, 2, 1, 1704067200.0, folder=folder)
+    assert spark.read.text(folder).count() == 40
+    jobs.publish_job(lab, 2, 2, 1704067200.0, folder=folder)  # another seed is another publication
+    jobs.publish_job(lab, 1, 1, 1704067200.0, folder=folder, batch="named")
+    assert spark.read.text(folder).count() == 100
+    from pulse.streaming import jobs as sj
+    assert sj.message_folder(spark, folder).columns == ["value"]
+
+
+def test_stream_job_counts_late_or_once(spark, tmp_dir):
+    import pytest
+
+    from pulse.streaming import delivery as dl
+    from test_streaming import msg_a, rows, write_lines
+    src = os.path.join(tmp_dir, "src")
+    write_lines(src, "1.txt", [msg_a(1, "Positive", 10), msg_a(1, "Positive", 10), msg_a(2, "Positive", 7200)])
+    stream = spark.readStream.format("text").load(src)
+    now = {"availableNow": True}
+    late, once = os.path.join(tmp_dir, "late"), os.path.join(tmp_dir, "once")
+    for q in (jobs.stream_counts(stream, late, late + "-ck", trigger=now, late=True)
+              + jobs.stream_counts(stream, once, once + "-ck", trigger=now, once=True)):
+        q.awaitTermination()
+    assert sorted(r["count"] for r in dl.corrected(spark, late, {"sentiment": "string"}).collect()) == [1, 2]
+    assert rows(spark, once) == [("2024-01-01 00:00:00", "Positive", 1)]
+    with pytest.raises(ValueError):
+        jobs.stream_counts(stream, late, late, once=True, late=True)
