@@ -25,13 +25,13 @@ REFERENCE_PROFILE = {"Negative": 0.3018, "Positive": 0.2789, "Neutral": 0.2453,
 BUCKETS = 1 << 16
 
 
-# Above this factor, rows are repeated a fixed number of times before the draw.
+# A draw of a larger mean is the sum of several, none with a mean above this.
 MAX_DRAWN = 16
 
 
 def poisson_cdf(lam: float, tail: float = 1e-17) -> list[float]:
     """P(K <= k) for k = 0, 1, ... until the tail left is below ``tail``.
-    Meant for factors up to MAX_DRAWN + 1, where some 80 values reach it."""
+    Meant for factors up to MAX_DRAWN, where some 80 values reach it."""
     p = math.exp(-lam)
     out = [p]
     while 1.0 - out[-1] > tail and p > 0.0:
@@ -57,15 +57,18 @@ def resample(df: DataFrame, fraction: float, seed: int, id_col: str | None = Non
     row's id, so the draw does not depend on partitioning; a ``copy`` column
     numbers the repeats. Without it, ``DataFrame.sample`` is used.
 
-    A fraction above MAX_DRAWN is split: whole copies of every row, and a
-    Poisson number with the rest (8 or more) as its mean; the mean stays
-    ``fraction``, and the draw has as many cases at any fraction."""
+    A fraction above MAX_DRAWN is the sum of independent draws of equal means,
+    which is again a Poisson draw: one law at any fraction."""
     if not math.isfinite(fraction) or fraction < 0:
         raise ValueError(f"fraction must be finite and not negative, got {fraction}")
     if id_col is None:
         return df.sample(withReplacement=True, fraction=fraction, seed=seed)
-    whole = math.floor(fraction) - MAX_DRAWN // 2 if fraction > MAX_DRAWN else 0
-    k = poisson_copies(uniform(seed, F.col(id_col), "resample"), fraction - whole) + whole
+    draws = max(1, math.ceil(fraction / MAX_DRAWN))
+    if draws == 1:
+        k = poisson_copies(uniform(seed, F.col(id_col), "resample"), fraction)
+    else:
+        k = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0), lambda n, i: n + poisson_copies(
+            uniform(seed, F.col(id_col), "resample", i), fraction / draws))
     # k = 0 gives an empty array: the row is not drawn, with no filter (a
     # filter would get the draw copied into it and hash twice).
     rep = df.select("*", F.posexplode(F.array_repeat(F.lit(True), k)).alias("_pos", "_x"))

@@ -120,7 +120,18 @@ def test_resample_mean_at_any_factor(spark, factor):
     lab = fx.labelled(spark, SF01).select("tweet_id")
     n = lab.count()
     got = sa.resample(lab, factor, SEED, "tweet_id").count()
-    assert abs(got - n * factor) < 5 * math.sqrt(n * min(factor, 10)) + 1
+    assert abs(got - n * factor) < 5 * math.sqrt(n * factor) + 1
+
+
+@pytest.mark.parametrize("factor", [2.0, 50.0, 800.0])
+def test_resample_is_poisson_at_any_factor(spark, factor):
+    """Mean and variance of the copies of a row are both the factor."""
+    ids = spark.range(3000).withColumnRenamed("id", "tweet_id")
+    copies = sa.resample(ids, factor, SEED, "tweet_id").groupBy("tweet_id").count()
+    n, s, s2 = copies.agg(F.count("*"), F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+    mean, var = s / 3000, s2 / 3000 - (s / 3000) ** 2  # rows that are not drawn count as 0
+    assert abs(mean - factor) < 5 * math.sqrt(factor / 3000)
+    assert abs(var - factor) < 5 * factor * math.sqrt(2 / 3000) + 0.1
 
 
 @pytest.mark.parametrize("factor", [-1.0, float("nan"), float("inf")])
