@@ -84,83 +84,56 @@ def as_text(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def content_metrics(df: DataFrame) -> DataFrame:
     """One row per column: position, column, digit_share, label_share,
-    mean_len, n_distinct, over all rows (NULL read as ''). Distinct values
-    are counted on their SHA-256, so the distinct-count expansion carries
-    64 characters per cell, not whole texts."""
-    aggs, names = [], df.columns
-    for i, c in enumerate(names):
-        v = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-        aggs += [F.avg(v.rlike("^[0-9]+$").cast("double")).alias(f"d{i}"),
-                 F.avg(F.lower(v).isin(KNOWN_LABELS).cast("double")).alias(f"l{i}"),
-                 F.avg(F.length(v).cast("double")).alias(f"m{i}"),
-                 F.countDistinct(F.sha2(v, 256)).alias(f"u{i}")]
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    per_col = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
-                 F.col(f"d{i}").alias("digit_share"), F.col(f"l{i}").alias("label_share"),
-                 F.col(f"m{i}").alias("mean_len"), F.col(f"u{i}").alias("n_distinct"))
-        for i, c in enumerate(names)])).alias("m")
-    return one.select("rows", per_col).select("m.*", "rows")
-
-
-def choose_roles(metrics: list[dict]) -> dict[str, str]:
-    """Pick columns for the four roles from the per-column metrics:
-    id = first column with > 90 % digit-only values; sentiment = the largest
-    label share if >= 5 %; content = the largest mean length; entity = among
-    the rest, 1 < distinct < max(5000, rows / 2) and mean length < 40, the
-    one nearest to 50 distinct values."""
-    ms = sorted(metrics, key=lambda m: m["position"])
-    roles: dict[str, str] = {}
-    for m in ms:
-        if m["digit_share"] > ID_DIGIT_SHARE:
-            roles["Tweet ID"] = m["column"]
-            break
-    best = None
-    for m in ms:
-        if m["label_share"] > (best["label_share"] if best else 0.0):
-            best = m
-    if best is not None and best["label_share"] >= LABEL_SHARE_MIN:
-        roles["Sentiment"] = best["column"]
-    longest = None
-    for m in ms:
-        if longest is None or m["mean_len"] > longest["mean_len"]:
-            longest = m
-    roles["Tweet content"] = longest["column"]
-    taken = set(roles.values())
-    cands = [m for m in ms if m["column"] not in taken
-             and 1 < m["n_distinct"] < max(ENTITY_MIN_DISTINCT_CAP, m["rows"] // 2)
-             and m["mean_len"] < ENTITY_MAX_LEN]
-    if cands:
-        roles["Entity"] = min(cands, key=lambda m: abs(m["n_distinct"] - ENTITY_TARGET_DISTINCT))["column"]
-    return roles
+    mean_len, n_distinct, rows, over all rows (NULL read as '').
+
+    The shares and lengths are plain means, from one pass without a shuffle of
+    cells; their one row goes to the driver. Different values are counted only
+    in columns short enough to name an entity (others have a NULL): the expansion
+    that exact counts need never carries a text column."""
+    names = df.columns
+    v = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
+    means = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, c in enumerate(v) for m in (
+        F.avg(c.rlike("^[0-9]+$").cast("double")).alias(f"d{i}"),
+        F.avg(F.lower(c).isin(KNOWN_LABELS).cast("double")).alias(f"l{i}"),
+        F.avg(F.length(c).cast("double")).alias(f"m{i}"))]).first()
+    short = [i for i in range(len(names)) if (means[f"m{i}"] or 0.0) < ENTITY_MAX_LEN]
+    counts = df.agg(*[F.countDistinct(v[i]).alias(f"u{i}") for i in short]).first().asDict() if short else {}
+    return df.sparkSession.createDataFrame(
+        [(i, c, means[f"d{i}"], means[f"l{i}"], means[f"m{i}"], counts.get(f"u{i}"), means["rows"]) for i, c in enumerate(names)],
+        "position int, column string, digit_share double, label_share double, mean_len double, n_distinct long, rows long")
 
 
 def with_roles(metrics: DataFrame) -> DataFrame:
-    """``choose_roles`` as columns: the metrics (one row per input column, a
-    schema's size) with the role of each."""
+    """The metrics (one row per input column, a schema's size) with ``earned``,
+    the roles a column earns, and ``role``, the last of them: id = first column
+    with > 90 % digit-only values; sentiment = the largest label share if >= 5 %;
+    content = the largest mean length; entity = among the rest, 1 < distinct <
+    max(5000, rows / 2) and mean length < 40, the one nearest to 50 distinct
+    values. Ties go to the first column."""
     every = Window.partitionBy(F.lit(0))
     first = lambda ok, *order: F.row_number().over(every.orderBy(F.when(ok, 0).otherwise(1), *order))
-    is_id = F.col("digit_share") > ID_DIGIT_SHARE
-    is_label = F.col("label_share") >= LABEL_SHARE_MIN
+    is_id = F.coalesce(F.col("digit_share") > ID_DIGIT_SHARE, F.lit(False))
+    is_label = F.coalesce(F.col("label_share") >= LABEL_SHARE_MIN, F.lit(False))
     m = (metrics.withColumn("_id", (first(is_id, "position") == 1) & is_id)
          .withColumn("_label", (first(is_label, F.desc("label_share"), "position") == 1) & is_label)
          .withColumn("_text", first(F.lit(True), F.desc("mean_len"), "position") == 1))
-    free = (~F.col("_id") & ~F.col("_label") & ~F.col("_text") & (F.col("n_distinct") > 1)
-            & (F.col("n_distinct") < F.greatest(F.lit(ENTITY_MIN_DISTINCT_CAP), F.floor(F.col("rows") / 2)))
-            & (F.col("mean_len") < ENTITY_MAX_LEN))
-    entity = (first(free, F.abs(F.col("n_distinct") - ENTITY_TARGET_DISTINCT), "position") == 1) & free
-    # A column that earns several roles has the last one, as in the reference.
-    role = (F.when(entity, "Entity").when(F.col("_text"), "Tweet content").when(F.col("_label"), "Sentiment")
-            .when(F.col("_id"), "Tweet ID"))
-    return m.withColumn("role", role).drop("_id", "_label", "_text")
+    free = (~F.col("_id") & ~F.col("_label") & ~F.col("_text") & F.coalesce(
+        (F.col("n_distinct") > 1)
+        & (F.col("n_distinct") < F.greatest(F.lit(ENTITY_MIN_DISTINCT_CAP), F.floor(F.col("rows") / 2)))
+        & (F.col("mean_len") < ENTITY_MAX_LEN), F.lit(False)))
+    m = m.withColumn("_entity", (first(free, F.abs(F.col("n_distinct") - ENTITY_TARGET_DISTINCT), "position") == 1) & free)
+    earned = F.filter(F.array(*[F.when(F.col(c), F.lit(role)) for c, role in
+                                (("_id", "Tweet ID"), ("_label", "Sentiment"), ("_text", "Tweet content"), ("_entity", "Entity"))]),
+                      lambda r: r.isNotNull())
+    m = m.withColumn("earned", earned).withColumn("role", F.when(F.size("earned") > 0, F.element_at("earned", -1)))
+    return m.drop("_id", "_label", "_text", "_entity")
 
 
 def infer_by_content(df: DataFrame) -> DataFrame:
     """Rename columns by their content when names say nothing (headerless
     input). Brings one row per column to the driver, then renames."""
-    metrics = [r.asDict() for r in content_metrics(df).collect()]
-    roles = choose_roles(metrics)
-    return df.withColumnsRenamed({src: dst for dst, src in roles.items()})
+    roles = with_roles(content_metrics(df)).where("role IS NOT NULL").collect()
+    return df.withColumnsRenamed({r["column"]: r["role"] for r in roles})
 
 
 def resolve_roles(df: DataFrame) -> DataFrame:
@@ -173,10 +146,11 @@ def resolve_roles(df: DataFrame) -> DataFrame:
     if missing:
         rest = [c for c in named.columns if c not in REFERENCE_NAMES]
         if rest:
-            metrics = [r.asDict() for r in content_metrics(named.select(*[F.col(f"`{c}`") for c in rest])).collect()]
-            roles = {k: v for k, v in choose_roles(metrics).items() if k in missing}
+            found = with_roles(content_metrics(named.select(*[F.col(f"`{c}`") for c in rest]))).collect()
             src_of = {}
-            for dst, src in roles.items():
-                src_of.setdefault(src, dst)  # one column takes one role
+            for r in found:
+                wanted = [x for x in r["earned"] if x in missing]
+                if wanted:
+                    src_of[r["column"]] = wanted[0]  # one column takes one role
             named = named.withColumnsRenamed(src_of)
     return require_columns(named, REFERENCE_NAMES)
