@@ -44,7 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, byte_texts, small_batches, texts
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = re.compile(WORD_PATTERN.encode())
 # An anchor is in this share of the documents, a chain has so many words.
 SHARE = 0.05
 CHAIN = 2
@@ -72,23 +73,20 @@ def common_words(docs: DataFrame, share: float = SHARE) -> frozenset[bytes]:
     all of them: at most (words of a document) / share, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = Counter(), 0
+        count = Counter()
         for b in batches:
             for text in byte_texts(b.column("text")):
-                words = set(words_of(text))
-                n += bool(words)
-                count.update(words)
+                count.update(set(words_of(text)))
                 if len(count) >= HELD_WORDS:
                     yield batch_of(COUNTS, [list(count), list(count.values())])
                     count.clear()
-        if n:
-            # The number of documents goes along as the count of no word.
-            yield batch_of(COUNTS, [[*count, b""], [*count.values(), n]])
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.filter(F.octet_length("word") == 0).select("n")
-    most = counts.filter(F.col("n") >= F.lit(share) * F.coalesce(total.scalar(), F.lit(0)))
-    return frozenset(bytes(r["word"]) for r in most.collect()) - {b""}
+        if count:
+            yield batch_of(COUNTS, [list(count), list(count.values())])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    total = texts.filter(F.col("text").rlike(WORD_PATTERN)).count()
+    counts = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(bytes(r["word"]) for r in counts.filter(F.col("n") >= share * total).collect())
 
 
 def signatures(text: str | bytes, anchors: frozenset[bytes], chain: int = CHAIN) -> np.ndarray:
