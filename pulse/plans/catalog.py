@@ -19,14 +19,17 @@ from pulse.operators import aggregates as ag
 from pulse.operators import augment as au
 from pulse.operators import dedup as dd
 from pulse.operators import drift as dq
+from pulse.operators import lexicon as lx
 from pulse.operators import measures as ms
 from pulse.operators import nearness as nr
 from pulse.operators import resample as sa
+from pulse.operators import rollup as ru
 from pulse.operators import schema as sc
 from pulse.operators import words as wd
 from pulse.session import materialize, shared_path
 from pulse.sources import files as io
 from pulse.sources import fixtures as fx
+from pulse.streaming import contracts as ct
 from pulse.streaming import delivery as dl
 from pulse.streaming import jobs as sj
 from pulse.streaming import messages as sm
@@ -269,6 +272,35 @@ def drift_distribution(spark, sf):
                     r6("critical").alias("critical"), "status")
 
 
+@query
+def profile_merged(spark, sf):
+    """Daily profiles of the events, written in two runs of which the second
+    repeats a day, merged over twenty days: exact figures, and whether the
+    estimated ones are within their bounds of the exact ones."""
+    path = shared_path(spark, "daily")
+    ev = wall_clock_events(spark, sf)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (early, ~early | (F.to_date("ts") == F.lit("2024-01-15"))):
+        ru.add_days(ev.where(part), path, "ts", "tweet_content", ["entity", "tweet_id"])
+    merged = ru.profile_merged(spark, path, "2024-01-05", "2024-01-24").first()
+    d = ev.where(F.to_date("ts").between(F.lit("2024-01-05"), F.lit("2024-01-24"))).withColumn("n", F.length("tweet_content"))
+    near = lambda c, of: F.abs(F.lit(merged[f"distinct_{c}"]) - of) <= F.lit(ru.DISTINCT_ERROR) * of
+    n = F.count("n")
+
+    def ranked(c, q):
+        """The share of lengths up to the estimate, and below it, hold the rank."""
+        v, e = F.lit(merged[c]), F.lit(2 * ru.RANK_ERROR)
+        below, upto = F.count_if(F.col("n") < v) / n, F.count_if(F.col("n") <= v) / n
+        return (below <= q + e) & (upto >= q - e)
+    whole = lambda c: F.lit(merged[c]).cast("long").alias(c)
+    return d.agg(whole("rows"), whole("null_cells"),
+                 r6(F.lit(merged["mean"])).alias("mean"), r6(F.lit(merged["std"])).alias("std"),
+                 whole("min"), whole("max"),
+                 near("entity", F.countDistinct("entity")).alias("entities_ok"),
+                 near("tweet_id", F.countDistinct("tweet_id")).alias("ids_ok"),
+                 *[ranked(c, q).alias(f"{c}_ok") for c, q in ru.QUARTILES.items()])
+
+
 @query
 def integrity_report(spark, sf):
     return dq.integrity_report(fx.tweets(spark, sf))
@@ -357,6 +389,16 @@ def encode_json(spark, sf):
     return sm.to_message_value(rows, keep={"Tweet ID": "tweet_id"})
 
 
+@query
+def clustered_lookup(spark, sf):
+    """Events written by ranges of time, looked up by the hashes of some ids."""
+    path = shared_path(spark, "clustered")
+    ev = fx.table(spark, sf, "events").select("event_id", "ts", "event_type", F.md5(F.col("event_id").cast("string")).alias("hash"))
+    io.write_clustered(ev, path, "ts", ["hash"], files=8, distinct=100_000)
+    wanted = [r[0] for r in ev.where("event_id % 5000 = 0").select("hash").limit(100).collect()]
+    return as_wall_clock(io.read_parquet(spark, path).where(F.col("hash").isin(wanted)), ["ts"])
+
+
 @query
 def bounded_sample(spark, sf):
     return io.bounded_sample(cleaned(spark, sf).select(*BATCH_COLUMNS), 1000, ["tweet_id"])
@@ -406,6 +448,21 @@ def decode_json(spark, sf):
     return as_wall_clock(d, ["event_time"])
 
 
+@query
+def decode_variant(spark, sf):
+    """Messages decoded by the table of contracts: as ``decode_json``."""
+    return as_wall_clock(ct.decode_with(fx.messages(spark, sf)).select(*sm.DECODED_COLUMNS), ["event_time"])
+
+
+@query
+def unexpected_fields(spark, sf):
+    """Every third message has a field more, every ninth has it as a text."""
+    m = fx.messages(spark, sf).select("tweet_id", F.col("value").cast("string").alias("v"))
+    i = F.col("tweet_id")
+    more = F.when(i % 9 == 0, F.lit(',"retweets":"many"}')).when(i % 3 == 0, F.lit(',"retweets":7,"geo":{"lat":1.5}}')).otherwise(F.lit("}"))
+    return ct.unexpected_fields(m.select(F.concat(F.rtrim("v", F.lit("}")), more).alias("value")))
+
+
 @query
 def rejected_messages(spark, sf):
     """What could not be decoded, with its raw value."""
@@ -616,6 +673,22 @@ def augment_synonyms(spark, sf):
     return _augment_one(spark, sf, "syn", au.P_SYNONYM)
 
 
+@query
+def augment_from_table(spark, sf):
+    """Synonyms from a table: every word of the benchmark, in two forms."""
+    words = fx.table(spark, sf, "benchmark").select(F.explode(tx.words("text")).alias("phrase")).distinct()
+    table = words.select("phrase", F.array(F.concat("phrase", F.lit("-"), "phrase"), F.concat(F.lit("("), "phrase", F.lit(")"))).alias("options"))
+    return lx.replace_listed(fx.tweets(spark, sf), "tweet_content", "tweet_id", table, au.P_SYNONYM, SEED).select(
+        "tweet_id", "augmented")
+
+
+@query
+def words_unlisted(spark, sf):
+    """Words that are not in a stopword table: the benchmark's words."""
+    listed = wd.exploded_words(fx.table(spark, sf, "benchmark"), "text")
+    return lx.count_unlisted(fx.tweets(spark, sf), "tweet_content", listed)
+
+
 @query
 def augment_swap(spark, sf):
     return _augment_one(spark, sf, "swap", au.P_SWAP)

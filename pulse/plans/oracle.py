@@ -286,6 +286,12 @@ O["drift_distribution"] = with_(_PARTS) + f"""
 SELECT * FROM ({ks_sql('chars', 'length(tweet_content)')})
 UNION ALL SELECT * FROM ({ks_sql('words', f"len({tokens_sql('tweet_content')})")})"""
 
+O["profile_merged"] = """
+SELECT count(*) AS rows, 0::BIGINT AS null_cells, round(avg(length(props)), 6) AS mean, round(stddev_samp(length(props)), 6) AS std,
+       min(length(props))::BIGINT AS min, max(length(props))::BIGINT AS max, true AS entities_ok, true AS ids_ok,
+       true AS q25_ok, true AS median_ok, true AS q75_ok
+FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'"""
+
 O["integrity_report"] = with_(TWEETS) + """
 SELECT count(*) AS rows, count(DISTINCT tweet_id) AS ids, count(DISTINCT entity) AS entities,
        count(DISTINCT sentiment) AS classes,
@@ -321,6 +327,9 @@ SELECT event_id AS tweet_id,
                            "timestamp" := {ISO}))::VARCHAR AS value
 FROM events"""
 
+O["clustered_lookup"] = """
+SELECT event_id, ts, event_type, md5(CAST(event_id AS VARCHAR)) AS hash FROM events WHERE event_id % 5000 = 0"""
+
 O["bounded_sample"] = with_(CLEANED) + f"\nSELECT {_BATCH} FROM cleaned ORDER BY tweet_id LIMIT 1000"
 
 # ---------------------------------------------------------------- schema ---
@@ -378,6 +387,16 @@ SELECT CASE WHEN bad THEN NULL ELSE CAST(event_id AS VARCHAR) END AS tweet_id,
        bad OR event_type IS NULL OR ts IS NULL AS rejected
 FROM (SELECT *, event_id % 100 = 0 AS bad FROM events)"""
 
+O["decode_variant"] = O["decode_json"]
+
+O["unexpected_fields"] = """
+SELECT field, type, count(*) AS messages FROM (
+  SELECT unnest(CASE WHEN event_id % 9 = 0 THEN ['retweets'] WHEN event_id % 3 = 0 THEN ['retweets', 'geo'] ELSE [] END) AS field,
+         unnest(CASE WHEN event_id % 9 = 0 THEN ['STRING'] WHEN event_id % 3 = 0
+                     THEN ['BIGINT', 'OBJECT<lat: DECIMAL(2,1)>'] ELSE [] END) AS type
+  FROM events WHERE event_id % 100 <> 0)
+GROUP BY field, type"""
+
 O["rejected_messages"] = """
 SELECT 'not json ' || event_id AS raw, NULL::VARCHAR AS sentiment, NULL::VARCHAR AS contract
 FROM events WHERE event_id % 100 = 0"""
@@ -520,6 +539,20 @@ a0 AS (SELECT tweet_id, 0 AS cp, {words_sql('tweet_content')} AS w FROM tweets)"
 O["augment_synonyms"] = with_(_AUG_BASE) + f"""
 SELECT tweet_id, array_to_string({syn_step('w', _QSYN, 0.3, _SEED, 'tweet_id', 'cp')}, ' ') AS augmented FROM a0"""
 
+O["augment_from_table"] = with_(_AUG_BASE) + f""",
+listed AS (SELECT DISTINCT unnest({words_sql('text')}) AS phrase FROM benchmark),
+pairs AS (SELECT phrase, list_sort([phrase || '-' || phrase, '(' || phrase || ')']) AS options FROM listed),
+each AS (SELECT tweet_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM a0),
+new AS (SELECT tweet_id, i, CASE WHEN options IS NOT NULL AND {u_sql(_q(str(_SEED)), 'tweet_id', _q('0'), 'i', _q('syn'))} < 0.3::DOUBLE
+          THEN options[{pick_sql('len(options)', _q(str(_SEED)), 'tweet_id', _q('0'), 'i', _q('syn_pick'))} + 1] ELSE x END AS x
+        FROM each LEFT JOIN pairs ON phrase = x)
+SELECT a0.tweet_id, CASE WHEN w IS NULL THEN NULL ELSE coalesce(t, '') END AS augmented
+FROM a0 LEFT JOIN (SELECT tweet_id, string_agg(x, ' ' ORDER BY i) AS t FROM new GROUP BY tweet_id) USING (tweet_id)"""
+
+O["words_unlisted"] = with_(TWEETS) + f"""
+SELECT word, count(*) AS count FROM ({words_of('tweets')})
+WHERE length(word) >= 3 AND word NOT IN (SELECT DISTINCT word FROM ({words_of('benchmark', 'text')})) GROUP BY word"""
+
 O["augment_swap"] = with_(_AUG_BASE, swap_cte("a1", "a0", 0.1, _SEED, "tweet_id", "cp")) + """
 SELECT tweet_id, array_to_string(w, ' ') AS augmented FROM a1"""
 

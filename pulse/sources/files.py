@@ -139,6 +139,22 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str)
     return df.sparkSession.table(name)
 
 
+def write_clustered(df: DataFrame, path: str, by: str, lookup: list[str], files: int, distinct: int,
+                    block_bytes: int = 64 << 20, mode: str = "overwrite") -> None:
+    """Parquet sorted by ranges of ``by``, with a Bloom filter of each row group
+    for the columns of ``lookup``. A filter on ``by`` skips files and row groups
+    by their least and greatest values; one on a ``lookup`` column, whose values
+    are spread over all of them (hashes, ids of senders), skips those whose Bloom
+    filter lacks the value. ``distinct`` is the number of such values expected in
+    a row group."""
+    w = df.repartitionByRange(files, F.col(f"`{by}`")).sortWithinPartitions(F.col(f"`{by}`")).write.mode(mode)
+    w = w.option("parquet.block.size", block_bytes)
+    for c in lookup:
+        w = (w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", distinct)
+             .option(f"parquet.enable.dictionary#{c}", "false"))
+    w.parquet(path)
+
+
 def bounded_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first n rows by ``order`` (a preview or bounded export): each
     partition keeps its own n smallest, then one task merges them."""
