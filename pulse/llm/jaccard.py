@@ -38,6 +38,7 @@ gives no rows. Other columns are ignored, and kept by ``drop_copies``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,32 +58,45 @@ LEAF = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+class WordHashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        return v
+
+
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
     def __init__(self, size: int):
         self.size = size
-        self.seen: dict[bytes, int] = {}
+        self.seen = WordHashes()
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.translate(LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < self.size:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-        seen = self.seen
-        if len(seen) > 400_000:
-            seen.clear()
-        h = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            v = seen.get(w)
-            if v is None:
-                v = seen[w] = xxhash.xxh3_64_intdigest(w)
-            h[i] = v
-        out = h[:len(h) - self.size + 1].copy()
+        return self.of_all([text.translate(LOWER).split()])[0]
+
+    def of_all(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The shingles of each text, given as its lower-cased words. Hashes of
+        all texts' words are mixed at once; shingles that run from one text into
+        the next are not looked at."""
+        if len(self.seen) > 400_000:
+            self.seen.clear()
+        ends = np.cumsum([0, *map(len, texts)])
+        h = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(texts)), np.uint64, int(ends[-1]))
+        mixed = h[:max(0, len(h) - self.size + 1)].copy()
         for k in range(1, self.size):
-            out = common.mix64(out) + h[k:len(h) - self.size + 1 + k]
-        return np.unique(common.mix64(out))
+            mixed = common.mix64(mixed) + h[k:len(h) - self.size + 1 + k]
+        mixed = common.mix64(mixed)
+        out = []
+        for words, lo, hi in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if hi - lo >= self.size:
+                out.append(np.unique(mixed[lo:hi - self.size + 1]))
+            elif words:
+                out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64))
+            else:
+                out.append(np.empty(0, np.uint64))
+        return out
 
 
 def may_lack(n, percent: int):
@@ -94,30 +108,56 @@ def sent(n: int, percent: int) -> int:
     return min(n, may_lack(n, percent) + max(1, -(-n // SHARE)))
 
 
-def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, k1, k2, cid, n, keys) per document."""
+# Letters in one case, digits and punctuation as spaces.
+PLAIN = bytes(32 if 33 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 else b for b in LOWER)
+
+
+def plain_key(text: bytes, k1: int) -> int:
+    """A key of what is left of a text without case, digits and punctuation; of
+    the text itself where nothing is left; of the row where there is no word."""
+    words = text.decode().lower().encode().translate(PLAIN).split()
+    if not words:
+        words = text.split()
+        if not words:
+            return k1
+        return xxhash.xxh3_64_intdigest(b" ".join(words), 1) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def sketches(docs: DataFrame, size: int, percent: int, carry: tuple[str, ...] = (), plain: bool = False) -> DataFrame:
+    """(doc_id, k1, k2, cid, n, n_words, keys) per document, with text columns
+    of ``docs`` to ``carry`` along and, if asked for, its ``plain_key``: one pass
+    over the texts."""
     common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("cid", pa.int64()),
-                        ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+                        ("n", pa.int64()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64())),
+                        *((c, pa.string()) for c in carry), *([("plain", pa.int64())] if plain else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for b in batches:
-            cid, n, flat, ends = [], [], [], [0]
-            for t in common.byte_texts(b.column(3)):
-                s = shingle(t)
+            cid, n, n_words, flat, ends, plains = [], [], [], [], [0], []
+            texts = common.byte_texts(b.column(3))
+            words_of = [t.translate(LOWER).split() for t in texts]
+            for t, words, s, k1 in zip(texts, words_of, shingle.of_all(words_of), b.column(1).to_pylist(), strict=True):
                 cid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 n.append(len(s))
+                n_words.append(len(words))
                 flat.append(s[:sent(len(s), percent)].view(np.int64))
                 ends.append(ends[-1] + len(flat[-1]))
+                if plain:
+                    plains.append(plain_key(t, k1))
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                             pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield common.batch_of(schema, [b.column(0), b.column(1), b.column(2), cid, n, keys])
+            yield common.batch_of(schema, [b.column(0), b.column(1), b.column(2), cid, n, n_words, keys,
+                                           *(b.column(4 + i) for i in range(len(carry))), *([plains] if plain else [])])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), *(c.alias(k) for c, k in zip(
-        common.row_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, cid long, n long, keys array<long>")
+        common.row_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)), text.alias("text"),
+        *(F.col(c).cast("string").alias(c) for c in carry))
+    columns = ["doc_id long, k1 long, k2 long, cid long, n long, n_words long, keys array<long>"]
+    return rows.mapInArrow(run, ", ".join(columns + [f"{c} string" for c in carry] + (["plain long"] if plain else [])))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -155,22 +195,23 @@ def with_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for b in batches:
-            yield common.batch_of(schema, [b.column(0), b.column(1),
-                                           [shingle(t).view(np.int64) for t in common.byte_texts(b.column(2))]])
+            words = [t.translate(LOWER).split() for t in common.byte_texts(b.column(2))]
+            yield common.batch_of(schema, [b.column(0), b.column(1), [s.view(np.int64) for s in shingle.of_all(words)]])
 
     return rows.drop("repeats").mapInArrow(run, "cid long, copies long, shingles array<long>")
 
 
 def bundles(members: DataFrame, percent: int) -> DataFrame:
     """(cid, bundle) of the classes that may be linked."""
-    rows = shared_keys(members.select(F.explode("shingles").alias("key"), "cid")).select("key", "cid", "rows")
-    # Counted first, so that only the rows of classes with enough are moved.
     need = F.ceil(F.size("shingles") * percent / 100)
-    enough = (members.select("cid", need.alias("need")).join(rows.groupBy("cid").agg(F.count("*").alias("m")), "cid")
-              .filter("m >= need").select("cid", (F.col("m") - F.col("need") + 1).cast("int").alias("most")))
-    rows = rows.join(common.sent_whole(common.cut(enough)), "cid")
-    rank = F.row_number().over(W.partitionBy("cid").orderBy("rows", "key"))
-    rows = rows.withColumn("rank", rank).filter("rank <= most").select("key", "cid")
+    all_keys = members.select("cid", need.alias("need"), F.explode("shingles").alias("key"))
+    enough = (shared_keys(all_keys).groupBy("cid", "need").agg(F.count("*").alias("m")).filter("m >= need").select("cid"))
+    # Only classes that share enough go on. Partners are among them, so what a
+    # class shares with them is enough still.
+    rows = shared_keys(all_keys.join(common.sent_whole(common.cut(enough)), "cid")).select("key", "cid", "need", "rows")
+    # All but the need - 1 most frequent keys: the rarest m - need + 1.
+    rank = F.row_number().over(W.partitionBy("cid").orderBy(F.desc("rows"), F.desc("key")))
+    rows = rows.withColumn("rank", rank).filter("rank >= need").select("key", "cid")
     star = shared_keys(rows).filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
     return components(star).select(F.col("node").alias("cid"), F.col("root").alias("bundle"))
 
@@ -306,9 +347,10 @@ def in_regions(members: DataFrame, percent: int, limit: int = LIMIT) -> DataFram
     return as_own.unionByName(as_every)
 
 
-def link(docs: DataFrame, size: int, percent: int, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, size: int, percent: int, limit: int = LIMIT, carry: tuple[str, ...] = (),
+         plain: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents' sketches, and (cid, root, links) of the linked classes."""
-    sketch = common.cut(sketches(docs, size, percent))
+    sketch = common.cut(sketches(docs, size, percent, carry, plain))
     members = common.cut(with_sets(docs, candidates(sketch, percent), size))
     bundle = bundles(members, percent)
     n = bundle.groupBy("bundle").agg(F.count("*").alias("n_bundle"))

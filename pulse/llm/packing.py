@@ -18,7 +18,7 @@ With b sources, a bin holds b pieces at most; a source with a third of all
 pieces needs as many bins, whatever their fill.
 
 Defined results: a null or empty text, or one without words, has one piece of
-length 0; a null source is a source; equal rows are pieces of the same group
+length 0 and is a copy of equal rows alone; a null source is a source; equal rows are pieces of the same group
 and go to different bins. Ties in length are placed by key. An empty table
 gives no pieces. Other columns are ignored.
 """
@@ -70,46 +70,39 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     return out
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, source, cluster, piece, n_pieces, start_word, n_words, k, k1,
-    k2): a row per piece; the cluster is that of equal normalised texts. Words
-    are runs without ASCII white space."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\d\p{Punct}]+", " "))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"),
-                       n.alias("n"), common.key64(F.col("doc_id"), text).alias("k"),
-                       *(c.alias(k) for c, k in zip(common.row_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)))
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("int")
-    rows = rows.withColumn("n_pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
+def near_copies(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root): the plain forms that near copies connect with others, and
+    the one that stands for all of them."""
+    full = (sketch.filter("n > 0").join(classes.select("cid", "root"), "cid", "left")
+            .select(F.coalesce("root", "cid").alias("group"), "plain").distinct())
+    pairs = common.cut(full)
+    least = common.cut(pairs.groupBy("group").agg(F.min("plain").alias("least"), F.count("*").alias("n"))
+                       .filter("n > 1").select("group", "least"))
+    return components(pairs.join(common.sent_whole(least), "group"), "plain", "least")
+
+
+def pieces(sketch: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, source, cluster, piece, n_pieces, start_word, n_words, k): a row
+    per piece. Words are runs without ASCII white space."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("n_words") / capacity)).cast("int")
+    rows = sketch.select("doc_id", "source", F.col("plain").alias("cluster"), F.col("n_words").alias("n"), F.col("k1").alias("k"),
+                         count.alias("n_pieces"))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     start = F.col("piece").cast("long") * capacity
     return rows.withColumn("start_word", start).withColumn(
         "n_words", F.least(F.lit(capacity).cast("long"), F.col("n") - start).cast("int")).drop("n")
 
 
-def near_copies(docs: DataFrame, todo: DataFrame) -> DataFrame:
-    """(node, root): the clusters of ``todo`` that near copies connect with
-    others, and the cluster that stands for all of them."""
-    sketch, classes = jaccard.link(docs, SIZE, PERCENT)
-    full = (sketch.filter("n > 0").join(classes.select("cid", "root"), "cid", "left")
-            .select(F.coalesce("root", "cid").alias("group"), "k1", "k2"))
-    many = common.cut(full.groupBy("group").count().filter("count > 1").select("group"))
-    full = common.cut(full.join(common.sent_whole(many), "group").distinct())
-    rows = todo.filter("piece = 0").select("k1", "k2", "cluster").distinct()
-    pairs = common.cut(rows.join(common.sent_whole(full), ["k1", "k2"]).select("group", "cluster").distinct())
-    least = common.cut(pairs.groupBy("group").agg(F.min("cluster").alias("least"), F.count("*").alias("n"))
-                       .filter("n > 1").select("group", "least"))
-    return components(pairs.join(common.sent_whole(least), "group"), "cluster", "least")
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Every piece with its bin_id and place in the bin."""
     import pandas as pd
 
-    todo = common.cut(pieces(docs, capacity))
+    # One pass over the texts counts words and makes both kinds of keys.
+    sketch, classes = jaccard.link(docs, SIZE, PERCENT, carry=("source",), plain=True)
+    near = common.sent_whole(near_copies(sketch, classes))
+    todo = pieces(sketch, capacity)
     shards = max(1, -(-todo.count() // shard_rows))
-    near = common.sent_whole(near_copies(docs, todo))
-    todo = (todo.drop("k1", "k2").join(near, F.col("cluster") == F.col("node"), "left")
+    todo = (todo.join(near, F.col("cluster") == F.col("node"), "left")
             .withColumn("cluster", F.coalesce("root", "cluster")).drop("node", "root"))
     todo = todo.withColumn("shard", F.pmod(F.xxhash64("k", "piece"), F.lit(shards)))
 

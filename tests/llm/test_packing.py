@@ -84,3 +84,11 @@ def test_near_copies_never_share_a_bin(spark):
     assert all(len(x) == len(set(x)) for x in bins.values())
     assert all(len(x) == 1 for x in clusters.values()) and len(set.union(*clusters.values())) == 8
     assert len({r["bin_id"] for r in got}) == 4  # and no more bins than that takes
+
+
+def test_texts_of_digits_or_of_nothing_are_not_one_group(spark):
+    rows = [(1, "123", "a"), (2, "456 789", "b"), (3, None, "c"), (4, "%% !!", "d"), (5, "", "e"), (6, "123 ", "f"), (7, "Ab1 c", "g"), (8, "aB c!", "h")]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len({got[i]["cluster"] for i in range(1, 6)}) == 5
+    assert got[1]["cluster"] == got[6]["cluster"] and got[7]["cluster"] == got[8]["cluster"]
+    assert len({r["bin_id"] for r in got.values()}) == 2
