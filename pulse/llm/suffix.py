@@ -347,26 +347,27 @@ def with_spans(docs: DataFrame, **kw) -> DataFrame:
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
-    """One digest row per document."""
+    """One digest row per document, with the text that is left (parts of
+    characters that a cut goes through are left out of it, not of the digest)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                        ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+                        ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, spans in zip(common.byte_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
                 spans = merged(spans)
-                digest, at = hashlib.sha256(), 0
+                kept, at = [], 0
                 for s, e in spans:
-                    digest.update(text[at:s])
+                    kept.append(text[at:s])
                     at = e
-                digest.update(text[at:])
-                out.append((len(text), sum(e - s for s, e in spans), len(spans), digest.hexdigest()))
-            yield common.batch_of(schema, [b.column(0), *(map(list, zip(*out, strict=True)) if out else [[]] * 4)])
+                kept = b"".join(kept) + text[at:]
+                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            yield common.batch_of(schema, [b.column(0), *(map(list, zip(*out, strict=True)) if out else [[]] * 5)])
 
     rows = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text")), **kw)
     return rows.select("row.doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, **kw) -> DataFrame:
