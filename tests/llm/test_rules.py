@@ -1,15 +1,18 @@
 """Rules: counts against plain ones, exact bounds, and the guarantee."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 from conftest import SF01
 from fixtures_llm import no_docs, odd_docs, odd_rows
 
 from pulse.llm import rules
 from pulse.llm.common import read
 
+SF1 = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,3 +82,79 @@ def test_every_word_is_tested_for_the_lexicon(spark):
     assert rules.toxic_words(docs, known) == {b"mark0", b"mark1", b"mark2"}
     assert rules.toxic_words(no_docs(spark), known) == frozenset()
     assert rules.toxic_words(docs, known.filter("NOT toxic")) == frozenset()
+
+
+def test_paths_and_their_steps_equal_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        good = np.array([[rng.choice([0, 0, 1, 2, 5]) for _ in range(3)] for _ in range(30)])
+        bad = np.array([[rng.choice([0, 1, 4, 6, 7]) for _ in range(3)] for _ in range(12)])
+        path = rules.choose_steps(good, bad)
+        fine = rules.fit_path(good, bad)
+        assert set(path) <= set(fine) and len(set(fine)) == len(fine)  # with all milder ones before each
+        assert all((j, x + 1) in fine[:i] for i, (j, x) in enumerate(fine) if x < rules.BINS - 1)
+        cuts = [10 ** 6] * 3
+        for j, x in path:  # every step is the best one left
+            gone = lambda m: (m >= np.array(cuts)).any(axis=1)
+            b, g = bad[~gone(bad)], good[~gone(good)]
+            value = lambda j, x: ((b[:, j] >= x).sum() / ((g[:, j] >= x).sum() + 1), (b[:, j] >= x).sum())
+            assert value(j, x) == max(value(i, y) for i in range(3) for y in range(1, 8) if (b[:, i] == y).any())
+            cuts[j] = min(cuts[j], x)
+        assert all((row >= np.array(cuts)).any() or not row.any() for row in bad)
+        first = rules.first_steps(path, 3, 8)
+        for row in good:
+            want = next((s for s, (j, x) in enumerate(path, 1) if row[j] >= x), len(path) + 1)
+            assert min(first[j, x] for j, x in enumerate(row)) == want
+
+
+def test_cutoffs_and_kept_equal_brute_force(spark):
+    """The whole of it again, plainly, on the rows that the operator measured."""
+    docs, lab = read(spark, SF1, "documents"), read(spark, SF1, "labels")
+    got = rules.judge(docs, lab).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    known = {r["doc_id"]: r for r in rules.good_labels(docs, lab).collect()}
+    rows = [r for r in got if r["doc_id"] in known and not r["base_failed"]]
+    langs = sorted({r["lang"] for r in rows})
+    cuts = {}
+    for lang in langs:
+        of = [(np.array(r["bins"]), known[r["doc_id"]]) for r in rows if r["lang"] == lang]
+        fit = [[b for b, k in of if not k["holdout"] and k["good"] == g] for g in (True, False)]
+        hold = [b for b, k in of if k["holdout"] and k["good"]]
+        cut = [rules.BINS] * len(rules.RULES)
+        for j, x in rules.fit_path(np.array(fit[0]), np.array(fit[1])):
+            new = [min(x, c) if i == j else c for i, c in enumerate(cut)]
+            k = sum((b >= np.array(new)).any() for b in hold)
+            if sum(math.comb(len(hold), i) * 0.02 ** i * 0.98 ** (len(hold) - i) for i in range(k + 1)) > 0.05 / len(langs):
+                break
+            cut = new
+        cuts[lang] = cut
+        assert sum((b >= np.array(cut)).any() for b in hold) <= 0.02 * len(hold)
+    for r in got:
+        over = any(b >= c for b, c in zip(r["bins"], cuts.get(r["lang"], [rules.BINS] * 5)))
+        assert r["kept"] == (not r["base_failed"] and not over)
+    # Toxic documents go where there are labels enough to reject any good one.
+    toxic = [r for r in rows if known[r["doc_id"]]["toxic"]]
+    assert {"en", "de", "fr"} <= set(langs)
+    for lang in ("en", "de", "fr"):
+        assert sum(r["kept"] for r in toxic if r["lang"] == lang) <= 0.2 * sum(r["lang"] == lang for r in toxic), lang
+
+
+def test_copies_are_on_one_side_and_languages_without_labels_stay(spark):
+    rows = [(i, f"text {i % 7} " * 20, "en" if i < 60 else "xx") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = labels(spark, [(i, 1, 0, "x") for i in range(60)])
+    side = {r["doc_id"]: r["holdout"] for r in rules.good_labels(docs, lab).collect()}
+    assert len(side) == 60 and all(side[i] == side[i % 7] for i in side)
+    assert all(r["kept"] == (not r["base_failed"]) for r in rules.report(docs, lab).collect())
+
+
+def test_beginnings_of_words_mark_texts(spark):
+    ends = ["a", "b", "c", "d", "e", "f"]
+    rows = [(i, "plain words here " + (f"Scumbag{ends[i % 6]}, " if i < 12 else "scu ") + f"n{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i >= 12, i < 12, False) for i in range(300)], "doc_id long, good boolean, toxic boolean, holdout boolean")
+    assert rules.toxic_words(docs, known) == frozenset()  # each form is too rare
+    stems = rules.toxic_stems(docs, known)
+    assert stems == {b"scum", b"scumb", b"scumba", b"scumbag"}
+    marks = rules.Marks(frozenset({"über".encode()}), stems)
+    assert [marks[w.encode()] for w in ("SCUMBAGX!", "scumbag", "scum", "scu", "(Über)", "überx", "ß")] == [1, 1, 0, 0, 1, 0, 0]
+    assert not rules.Marks() and bool(marks)
