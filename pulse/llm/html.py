@@ -6,7 +6,9 @@ different articles' pages a subtree stands. Subtrees on ``MIN_PAGES`` pages or
 more, and on a share of ``SHARE`` of the host's different pages or more, are the
 site's template and are deleted: a paragraph that a few pages of a large host
 have in common is none. Besides, elements that say what they are (by tag, role
-or class: menus, footers, adverts, forms, comments and the like) are deleted.
+or class: menus, footers, adverts, forms, comments and the like) are deleted;
+inside an article or ``main`` that holds for containers alone, and for a class
+or id only if all its parts are such names.
 The main element is the article, else ``main``, else the body. An article or
 ``main`` counts where it holds half or more of the text that the template
 leaves of its page; else the page's text is all that is left of the body. In an
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -59,7 +62,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "option": ({"option"}, {"select"})}
 KEEPS_P = frozenset("table".split())
 DROPPED_TAGS = frozenset("head script style nav footer aside form noscript template iframe svg button select dialog menu"
-                         " textarea title object audio video canvas map".split())
+                         " textarea title audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar"
                           " toolbar tablist note".split())
 DROPPED_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion"
@@ -80,12 +83,23 @@ class Page:
         # tag, attributes, start, end, parent, dropped
         self.tag, self.attrs, self.start, self.end, self.parent = ["#"], [""], [0], [len(html)], [-1]
         self.texts: list[tuple[int, int, str]] = []  # (element, block, raw text)
+        self.hash = [0]
         stack, block, at, pos = [0], 0, 0, 0
         tag, parent = self.tag, self.parent
+        # A subtree's hash is made of its start tag, its texts and its children's
+        # hashes as they end, so that a page is read once, however deep it is.
+        hashes, opened = [xxhash.xxh3_64()], Counter()
+
+        def seen(markup: str) -> None:
+            hashes[-1].update(markup.encode("utf-8", "surrogatepass"))
 
         def close_to(depth: int, where: int) -> None:
             while len(stack) > depth:
-                self.end[stack.pop()] = where
+                i = stack.pop()
+                self.end[i] = where
+                opened[tag[i]] -= 1
+                self.hash[i] = hashes.pop().intdigest() - (1 << 63)
+                hashes[-1].update(self.hash[i].to_bytes(8, "little", signed=True))
 
         n = len(html)
         while at < n:
@@ -93,6 +107,7 @@ class Page:
             upto = m.start() if m else n
             if upto > pos:
                 self.texts.append((stack[-1], block, html[pos:upto]))
+                seen(html[pos:upto])
             if not m:
                 break
             at = pos = m.end()
@@ -101,7 +116,7 @@ class Page:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name), 0) if opened[name] else 0
                 if k and name in INLINE and any(tag[stack[j]] not in INLINE for j in range(k + 1, len(stack))):
                     continue  # an inline end tag does not end the blocks inside
                 if k:
@@ -111,6 +126,7 @@ class Page:
                 continue
             if name == "br":
                 self.texts.append((stack[-1], block, " "))
+                seen(m[0])
                 continue
             if name not in INLINE:
                 block += 1
@@ -129,8 +145,13 @@ class Page:
                             close_to(k, m.start())
                             break
             if name in VOID:
+                seen(m[0])
                 continue
             tag.append(name)
+            opened[name] += 1
+            self.hash.append(0)
+            hashes.append(xxhash.xxh3_64())
+            seen(m[0])
             self.attrs.append(m[3] or m[6] or "")
             self.start.append(m.start())
             self.end.append(n)
@@ -138,14 +159,17 @@ class Page:
             stack.append(len(tag) - 1)
             if name in RAW:
                 shut = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
+                seen(html[at:shut.end() if shut else n])
                 at = pos = shut.end() if shut else n
                 close_to(len(stack) - 1, at)
         close_to(1, n)
         self._mark()
 
-    def _says_so(self, i: int, by_name: bool) -> bool:
+    def _says_so(self, i: int, by_name: bool, inside: bool) -> bool:
         """Whether an element states that it is no main text; ``by_name``: in
-        its attributes, not only by its tag."""
+        its attributes, not only by its tag. ``inside`` an article or ``main``,
+        paragraphs, headings and the like are text whatever their names, and a
+        container's class or id must be made of such names alone."""
         name = self.tag[i]
         if name in PROTECTED and name != "article":
             return False
@@ -155,8 +179,12 @@ class Page:
             key, value = (m[1] or "hidden").lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in DROPPED_ROLES:
                 return True
-            if key in ("class", "id") and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
+            if key in ("class", "id"):
+                words = [set(re.split(r"[^a-z0-9]+", w)) - {""} for w in value.split()]
+                if inside and name in CONTENT:
+                    continue
+                if any(w and (w <= DROPPED_NAMES if inside else w & DROPPED_NAMES) for w in words):
+                    return True
         return False
 
     def _mark(self) -> None:
@@ -171,8 +199,10 @@ class Page:
         while j > 0:
             j = self.parent[j]
             holds.add(j)
+        inside = [False] * n
         for i in range(1, n):
-            self.dropped[i] = self.dropped[self.parent[i]] or self._says_so(i, i not in holds)
+            inside[i] = inside[self.parent[i]] or self.tag[self.parent[i]] in ("article", "main")
+            self.dropped[i] = self.dropped[self.parent[i]] or self._says_so(i, i not in holds, inside[i])
         live = [i for i in range(1, n) if not self.dropped[i]]
         for name in ("article", "main", "body"):
             self.main = {i for i in live if self.tag[i] == name}
@@ -185,12 +215,11 @@ class Page:
             in_main[i] = i in self.main or i > 0 and in_main[self.parent[i]]
         # A site's header may stand inside the main element; an article's own has a heading.
         headed = {i for i in range(1, n) if self.tag[i] == "header"}
-        for i in range(1, n):
-            if self.tag[i] in ("h1", "h2", "h3"):
-                j = self.parent[i]
-                while j > 0:
-                    headed.discard(j)
-                    j = self.parent[j]
+        has_heading = [False] * n
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            if has_heading[i] or self.tag[i] in ("h1", "h2", "h3"):
+                has_heading[self.parent[i]] = True
+        headed = {i for i in headed if not has_heading[i]}
         for i in range(1, n):
             if i in headed or self.tag[i] == "header" and not in_main[i]:
                 self.dropped[i] = True
@@ -220,22 +249,23 @@ class Page:
                 continue
             if self.in_main[i] and not self.whole_body and name in CONTENT:
                 continue
-            piece = re.sub(r"(?s)<!--.*?-->", "", self.html[self.start[i]:self.end[i]])
-            out.append((i, xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63)))
+            out.append((i, self.hash[i]))
         return out
 
-    def parts(self) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, ...]]]:
-        """What may be text: (block, chain, raw text, in the main element)
-        pieces, and the chains: hashes of the subtrees that a piece stands in."""
+    def parts(self) -> tuple[list[tuple[int, int, str, bool]], list[tuple[int, int]]]:
+        """What may be text: (block, node, raw text, in the main element)
+        pieces, and the nodes: (the node around it, or -1; its hash), outer ones
+        first, of the subtrees that may be template."""
         own = dict(self.subtrees())
-        chain: list[tuple[int, ...]] = [()]
+        at, nodes = [-1], []
         for i in range(1, len(self.tag)):
-            up = chain[self.parent[i]]
-            chain.append((*up, own[i]) if i in own else up)
-        number: dict[tuple[int, ...], int] = {}
-        pieces = [(block, number.setdefault(chain[i], len(number)), raw, self.in_main[i]) for i, block, raw in self.texts
-                  if not self.dropped[i]]
-        return pieces, list(number)
+            up = at[self.parent[i]]
+            if i in own:
+                nodes.append((up, own[i]))
+                up = len(nodes) - 1
+            at.append(up)
+        pieces = [(block, at[i], raw, self.in_main[i]) for i, block, raw in self.texts if not self.dropped[i]]
+        return pieces, nodes
 
     def text(self, template: set[int]) -> str:
         return join_parts(*self.parts(), template)
@@ -246,11 +276,13 @@ def _size(raw: str) -> int:
     return sum(map(len, raw.split()))
 
 
-def join_parts(pieces: list[tuple[int, int, str, bool]], chains: list[tuple[int, ...]], template: set[int]) -> str:
+def join_parts(pieces: list[tuple[int, int, str, bool]], nodes: list[tuple[int, int]], template: set[int]) -> str:
     """The text of the pieces that stand in no template subtree: those in the
     main element, if they are half of them or more."""
-    stays = [template.isdisjoint(c) for c in chains]
-    left = [p for p in pieces if stays[p[1]]]
+    stays = []
+    for up, h in nodes:
+        stays.append(h not in template and (up < 0 or stays[up]))
+    left = [p for p in pieces if p[1] < 0 or stays[p[1]]]
     size = [0, 0]
     for p in left:
         size[p[3]] += _size(p[2])
@@ -259,7 +291,8 @@ def join_parts(pieces: list[tuple[int, int, str, bool]], chains: list[tuple[int,
     for block, _, raw, main in left:
         if whole or main:
             blocks.setdefault(block, []).append(raw)
-    lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
+    # References are decoded within a piece: one cut by markup is none.
+    lines = (" ".join("".join(map(unescape, b)).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
 
 

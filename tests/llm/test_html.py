@@ -1,5 +1,7 @@
 """Main text: markup cases, template removal, and the corpus' own texts."""
 
+import pickle
+
 from conftest import SF01
 
 from pulse.llm import html
@@ -16,6 +18,10 @@ CASES = [
     ("<main><p>a</p><section class='comments'><article>c</article></section></main>", "a"),
     ("<body><div id=cookie-notice>no</div><p>yes</p><div hidden>no</div></body>", "yes"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    ("<article><h2 id='comments'>On comments</h2><p id='banner'>A banner</p><div class='related-work'>Work</div>"
+     "<p class='alert'>Careful</p><div class='cookie-notice'>no</div><canvas>c</canvas><map>m</map></article>",
+     "On comments\nA banner\nWork\nCareful\nc\nm"),
+    ("<p>&am<b>p;lt;</b> &amp;lt; &l<!-- x -->t;</p>", "&amp;lt; &lt; &lt;"),
     ("<header>site</header><article><header><h1>T</h1></header>x</article>", "T\nx"),
 ]
 
@@ -80,3 +86,25 @@ def test_article_of_few_words_does_not_hide_the_page(spark):
         assert text[i] == f"A teaser.\nThe text of page {i}, which is longer.\nMore of {i}."
         # The template goes first: an article may be shorter than that.
         assert text[50 + i] == f"Text of {i}."
+
+
+def test_deep_and_long_pages_take_little_time_and_memory():
+    import time
+    deep = "<div>" * 20_000 + "<p>text" + "</b></section>" * 2_000
+    nested = "<article>" + "<div><p>a</p>" * 8_000 + "</article>"
+    for page, want in ((deep, "text"), (nested, "\n".join("a" * 8_000))):
+        t = time.perf_counter()
+        got = html.Page(page)
+        assert got.text(set()) == want and len(pickle.dumps(got.parts())) < 2_000_000
+        assert got.text({h for _, h in got.subtrees()}) == ""
+        assert time.perf_counter() - t < 5
+
+
+def test_switching_the_counts_off_changes_the_text(spark):
+    """Template that no name tells is found by the host counts alone."""
+    shell = "<body><div class=q1>Made with care since 1999.</div><div class=q2><p>Own {0} text.</p></div><div><div>Find us here.</div></div></body>"
+    rows = [(i, f"http://a.example/{i}", shell.format(i)) for i in range(6)]
+    on = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()}
+    off = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows), min_pages=10 ** 9).collect()}
+    assert on == {i: f"Own {i} text." for i in range(6)}
+    assert all(off[i] == f"Made with care since 1999.\nOwn {i} text.\nFind us here." for i in range(6))
