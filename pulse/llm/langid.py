@@ -9,9 +9,10 @@ letter adds nothing. The language with the highest sum wins, and its share of
 the posterior is the score.
 
 Bounds: at most about ``FIT_ROWS`` documents in all, shared out evenly over the
-languages, are read for the fit; the model holds the ``MAX_WORDS`` most frequent
-words and the ``MAX_GRAMS`` most frequent n-grams (by count, then text). These
-go to the driver and to the tasks; nothing else does. Whole texts are scored
+languages, are read for the fit; of what stands in them more than once the model
+holds the ``MAX_WORDS`` most frequent words and the ``MAX_GRAMS`` most frequent
+n-grams (by count, then text): bounds of the fit, as is its sample. These go to
+the driver and to the tasks; nothing else does. Whole texts are scored
 where they are scanned, without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
@@ -47,6 +48,18 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "_"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. What counts as a word character but is
+    no letter (fractions, raised or circled digits) parts words."""
+    out = []
+    for w in WORD.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
@@ -112,7 +125,7 @@ class Model:
         return out
 
     def score(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
@@ -148,7 +161,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS,
             words: Counter = Counter()
             for text, lang in zip(common.texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 k = small[lang]
-                words.update((w, k) for w in WORD.findall(text.lower()))
+                words.update((w, k) for w in words_of(text))
             some: Counter = Counter()
             for (w, k), n in words.items():
                 for size in range(1, MAX_GRAM + 1):

@@ -43,3 +43,9 @@ def test_odd_rows(spark):
     assert langid.report(no_docs(spark)).count() == 0
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in langid.report(unlabelled).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters(spark):
+    assert langid.words_of("½ ² ① Ⅷ x² a½b Éa_b9c") == ["x", "a", "b", "éa", "b", "c"]
+    m = langid.Model(["de", "en"], {"x": [1, 9]}, {"x": [1, 3]})
+    assert m.score("½ ² ① Ⅷ") == ("und", 0.0) and m.score("x²")[0] == "en"
