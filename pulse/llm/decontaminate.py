@@ -9,9 +9,11 @@ that are absent move it by the most. Where the shift is 0, the block's bucket
 lists the strings to compare directly.
 
 No text is shuffled: each scan task searches its own documents. The strings
-are sent to the tasks in blocks of at most ``block_bytes`` of item text; a
-benchmark beyond that is searched block after block, each adding to the spans
-found before.
+are sent to the tasks in blocks of about ``block_bytes`` of item text (a byte of
+it takes some 100 in a task's tables). A benchmark beyond that is searched block
+after block: each block is a scan of its own, whose hits are written before the
+next one begins, so that driver and tasks hold one block at a time; the hits,
+which are few, are then joined to the documents.
 
 Defined results: null or empty texts, and texts without words, have no words
 and no hits. Repeated documents each get a row; a repeated item counts once by
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 # Longest block of the shift tables; shorter strings use shorter blocks.
 BLOCK = 8
 # Bounds of the length classes, in bytes: one long string must not wait for
@@ -157,17 +159,29 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         subset=["body"]).distinct()
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    out = (docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-           .withColumn("_starts", F.array().cast("array<int>")).withColumn("_ends", F.array().cast("array<int>"))
-           .withColumn("_items", F.array().cast("array<string>")).withColumn("_n_words", F.lit(0).cast("long")))
-    schema = out.schema
+    none = {"_starts": F.array().cast("array<int>"), "_ends": F.array().cast("array<int>"),
+            "_items": F.array().cast("array<string>"), "_n_words": F.lit(0).cast("long")}
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumns(none)
     from pyspark.sql.pandas.types import to_arrow_schema
-    state = to_arrow_schema(schema)
+
+    def scan(rows, block):
+        return rows.mapInArrow(_scan(block, window, to_arrow_schema(rows.schema)), rows.schema)
     numbered = items.withColumn("block", F.pmod(common.key64(F.col("item"), F.col("body")), F.lit(n_blocks)))
+    if n_blocks == 1:
+        return scan(rows, [(r[0], r[1]) for r in items.select("item", "body").toLocalIterator()]).drop("_text")
+    keys = dict(zip(("_k1", "_k2"), common.row_key(F.col("doc_id"), F.col("text")), strict=True))
+    narrow = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), *(c.alias(k) for k, c in keys.items())).withColumns(none)
+    hits = None
     for k in range(n_blocks):
         block = [(r[0], r[1]) for r in numbered.filter(F.col("block") == k).select("item", "body").toLocalIterator()]
-        out = out.mapInArrow(_scan(block, window, state), schema)
-    return out.drop("_text")
+        found = common.cut(scan(narrow, block).filter(F.size("_starts") > 0).select(*keys, "_starts", "_ends", "_items")
+                           .dropDuplicates(list(keys)))  # equal rows hit alike
+        hits = found if hits is None else hits.unionByName(found)
+    together = hits.groupBy(*keys).agg(*[F.flatten(F.collect_list(c)).alias(f"{c}_of") for c in ("_starts", "_ends", "_items")])
+    k1, k2 = common.row_key(F.col("row.doc_id"), F.col("row.text"))
+    rows = rows.withColumns({"_k1": k1, "_k2": k2}).join(common.sent_whole(common.cut(together), "_starts_of"), list(keys), "left")
+    rows = rows.select("row", "_text", *[F.coalesce(f"{c}_of", c).alias(c) for c in ("_starts", "_ends", "_items")], "_n_words")
+    return scan(rows, []).drop("_text")  # merges the spans
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
