@@ -10,12 +10,14 @@ Anchors are counted over all documents: every word in a share of ``SHARE`` of
 those that have words. A caller may give other ones, which makes fingerprints
 of several corpora comparable.
 
-Near duplicates: sets are parted by their length, into ranges so wide that a set
-and one at the threshold are in the same or in neighbouring ranges. Within a
-range candidates share one of the rarest signatures of theirs, of which so many
-are taken that two sets above the threshold cannot miss each other; candidates
-are compared in bounded blocks, each comparison ending where the lengths, or the
-signatures left, no longer allow the threshold.
+Near duplicates (``near_duplicates``): sets are parted by their length, into
+ranges so wide that two sets above the threshold are in one or in neighbouring
+ranges. Within a pair of ranges candidates share one of their rarest signatures,
+of which so many are taken that two sets above the threshold cannot miss each
+other; what shares such signatures forms a bundle. Bundles are compared block by
+block, each set with those of like length only, and a comparison ends where the
+lengths no longer allow the threshold. Only a spanning forest of a block's links
+goes on, so a large group of copies makes few rows.
 
 Defined results: words are ``WORD`` with A-Z lower-cased. A text with words, but
 no chain, takes the chains behind each of its words, as if all were anchors (the
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +43,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_texts, small_batches, texts
+from .common import batch_of, by_groups, byte_texts, cut, small_batches, texts
+from .graph import components
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = re.compile(WORD_PATTERN.encode())
@@ -53,6 +58,8 @@ CHAIN = 2
 HELD_WORDS = 200_000
 # Ranges of ids dealt to each partition: the more, the more even.
 RANGES = 4
+# Sets of a bundle that one task compares with each other, or with as many others.
+BLOCK = 500
 HASH_BYTES = 6  # of a signature in a fingerprint
 
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -134,6 +141,104 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return j if j >= least else 0.0
 
 
+def lengths_apart(n: F.Column, least: float) -> F.Column:
+    """The range of a set's length: sets whose lengths differ by a factor of
+    ``least`` or nearer are in one range or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / least)) + F.lit(1e-9)).cast("int")
+
+
+def spot_sets(docs: DataFrame, anchors: frozenset[bytes], chain: int = CHAIN) -> DataFrame:
+    """doc_id, cid (names the set; equal sets have one), n, spots."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("spots", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [signatures(t, anchors, chain) for t in byte_texts(b.column("text"))]
+            yield batch_of(schema, [b.column("doc_id"), [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets],
+                                    [len(x) for x in sets], [x.view(np.int64) for x in sets]])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, cid long, n long, spots array<long>")
+
+
+def compared(rows: DataFrame, least: float) -> DataFrame:
+    """(cid, root, links) from (unit, side, across, cid, copies, spots): the sets
+    of a unit, or those of its two sides with each other, by pruned Jaccard."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("unit", sort=False):
+            part = part.sort_values(["size", "cid"], kind="stable")
+            sets = [np.asarray(x).view(np.uint64) for x in part["spots"]]
+            n, side = part["size"].to_numpy(), part["side"].to_numpy()
+            cid, copies = part["cid"].to_numpy(), part["copies"].to_numpy()
+            across = bool(part["across"].iloc[0])
+            root, links = list(range(len(sets))), np.zeros(len(sets), np.int64)
+
+            def find(x, root=root):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+            # Partners are no longer than 1 / least times the set itself.
+            upto = np.searchsorted(n, np.floor(n / least + 1e-9), "right")
+            for i in range(len(sets)):
+                for j in range(i + 1, int(upto[i])):
+                    if across and side[i] == side[j] or likeness(sets[i], sets[j], least) == 0.0:
+                        continue
+                    links[i] += copies[j]
+                    links[j] += copies[i]
+                    x, y = find(i), find(j)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+            top = [find(i) for i in range(len(sets))]
+            some = links > 0
+            out.append(pd.DataFrame({"cid": cid[some], "root": cid[top][some], "links": links[some]}))
+        return pd.concat(out)
+
+    return by_groups(rows.withColumn("size", F.size("spots")), "unit", run, "cid long, root long, links long", rows=4 * BLOCK)
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, anchors: frozenset[bytes] | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (the least id that links of likeness ``least`` or more
+    reach), n_links (documents linked to this one, those of an equal set among
+    them), for every document. Documents without signatures are linked with none."""
+    small_batches(docs.sparkSession)
+    anchors = common_words(docs) if anchors is None else anchors
+    sets = cut(spot_sets(docs, anchors))
+    full = sets.filter("n > 0")
+    copies = full.groupBy("cid").agg(F.count("*").alias("copies"))
+    classes = cut(full.dropDuplicates(["cid"]).select("cid", "n", "spots").join(copies, "cid"))
+    each = classes.select("cid", "n", F.explode("spots").alias("spot"))
+    often = each.groupBy("spot").agg(F.count("*").alias("often")).filter("often > 1")
+    # Of two sets above the threshold each lacks so few of the other's that among
+    # so many of its rarest there is one in common.
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
+    rank = F.row_number().over(W.partitionBy("cid").orderBy(F.coalesce("often", F.lit(1)), "spot"))
+    keys = each.join(often, "spot", "left").withColumn("rank", rank).filter((F.col("rank") <= prefix) & F.col("often").isNotNull())
+    apart = lengths_apart(F.col("n"), least)
+    keys = keys.select("cid", "spot", F.explode(F.array(apart, apart - 1)).alias("range"))
+    first = keys.groupBy("range", "spot").agg(F.min("cid").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    star = keys.join(first, ["range", "spot"]).filter("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
+    bundle = components(star.distinct()).select(F.col("node").alias("cid"), F.col("root").alias("bundle"))
+    sizes = bundle.groupBy("bundle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = classes.join(bundle, "cid").join(sizes, "bundle").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    units = rows.select(F.xxhash64("bundle", lo, hi).alias("unit"), F.col("mine").alias("side"), (lo != hi).alias("across"),
+                        "cid", "copies", "spots")
+    found = cut(compared(units, least))
+    roots = components(found, "cid", "root")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    named = full.select("doc_id", "cid").join(roots, F.col("cid") == F.col("node"), "left").select(
+        "doc_id", "cid", F.coalesce("root", "cid").alias("root"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    out = named.join(ids, "root").join(copies, "cid").join(links, "cid", "left").select(
+        "doc_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
 def edited(text: str, after: str) -> str:
     """``text`` with its last half replaced by the start of ``after``."""
     half = len(text) // 2

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -91,3 +92,33 @@ def test_given_anchors_and_likeness():
     assert len(a) == 3 and spots.likeness(a, a) == 1.0
     assert spots.likeness(a, a[:0]) == 0.0 and spots.likeness(a[:0], a[:0]) == 1.0
     assert spots.likeness(a, a[:2]) == 2 / 3 and spots.likeness(a, a[:2], 0.7) == 0.0 == spots.likeness(a, a[:1], 0.5)
+
+
+@pytest.mark.parametrize("block", [spots.BLOCK, 4])
+def test_near_duplicates_equal_all_pairs(spark, block):
+    rng = random.Random(6)
+    anchors = frozenset({b"the", b"of"})
+    rows = []
+    for f in range(6):
+        base = [rng.choice(["the", "of", f"w{f}x{i}", f"v{f}x{i}"]) for i in range(rng.choice([20, 60, 150]))]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, rows[0][1]), (901, rows[0][1].upper()), (902, None), (903, ""), (904, " . "), (904, " . "), (905, "alone"), (None, rows[1][1])]
+    sets = [frozenset(chains(t or "", anchors)) for _, t in rows]
+    linked = [{j for j, b in enumerate(sets) if i != j and a and b and 10 * len(a & b) >= 8 * len(a | b)} for i, a in enumerate(sets)]
+    want = []
+    for i, (d, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        want.append((d, min(ids) if ids else None, len(linked[i])))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, cid string").repartition(4)
+    got = sorted(map(tuple, spots.near_duplicates(docs, 0.8, anchors, block).collect()), key=str)
+    assert got == sorted(want, key=str) and len({w[1] for w in want}) < len(rows) / 2
+    assert spots.near_duplicates(no_docs(spark), 0.8, anchors).collect() == []
