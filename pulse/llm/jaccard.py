@@ -54,6 +54,7 @@ SHARE = 10  # b is one SHARE-th of a set's size
 LIMIT = 2000  # classes in a unit
 PIVOTS = 8
 LEAF = 64
+RING = 0.05  # least width of a ring
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -216,49 +217,72 @@ def bundles(members: DataFrame, percent: int) -> DataFrame:
     return components(star).select(F.col("node").alias("cid"), F.col("root").alias("bundle"))
 
 
+class Postings:
+    """Postings of some sets: what others are intersected with."""
+
+    def __init__(self, members: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        self.members = members
+        size = n[members]
+        at = np.repeat(start[members] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        of, owner = ids[at], np.repeat(np.arange(len(members)), size)
+        order = np.argsort(of, kind="stable")
+        self.ids, self.owners = of[order], owner[order]
+
+    def shared(self, mine: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of a set with the members."""
+        lo, hi = np.searchsorted(self.ids, mine, "left"), np.searchsorted(self.ids, mine, "right")
+        k = hi - lo
+        at = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return np.bincount(self.owners[at], minlength=len(self.members))
+
+
 class Region:
-    """Sets that are compared with each other, by postings."""
+    """Sets of a unit, compared with each other region by region."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.radius = percent, 1 - percent / 100
         self.n = np.array([len(s) for s in sets])
         self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        order = np.argsort(self.ids, kind="stable")
-        self.owners = owner[order]
-        self.post = np.searchsorted(self.ids[order], np.arange(int(self.ids.max()) + 2))
-
-    def common_with(self, i: int) -> np.ndarray:
-        """Sizes of the intersections of set i with all sets."""
-        mine = self.ids[self.start[i]:self.start[i + 1]]
-        lo, hi = self.post[mine], self.post[mine + 1]
-        k = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        return np.bincount(self.owners[at], minlength=len(self.n))
+        self.compared = 0  # pairs of sets that were intersected
+
+    def _shared(self, i: int, window: Postings) -> np.ndarray:
+        self.compared += len(window.members)
+        return window.shared(self.ids[self.start[i]:self.start[i + 1]])
 
     def links(self, own: np.ndarray, every: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(i, its linked sets among ``every``) for i of ``own``, by recursive
-        Voronoi regions."""
+        Voronoi regions. A region's sets are intersected only with those that its
+        window lets in."""
         if len(every) > LEAF and len(own) > 1:
+            both = np.union1d(own, every)
+            window = Postings(both, self.start, self.n, self.ids)
             pivots = own[np.linspace(0, len(own) - 1, min(PIVOTS, len(own))).astype(int)]
-            both = np.array([self.common_with(int(p)) for p in pivots])
-            d = 1 - both / (self.n[pivots][:, None] + self.n[None, :] - both)
+            shared = np.array([self._shared(int(p), window) for p in pivots])
+            d = 1 - shared / (self.n[pivots][:, None] + self.n[both][None, :] - shared)
+            at_own, at_every = np.searchsorted(both, own), np.searchsorted(both, every)
             nearest, least = d.argmin(axis=0), d.min(axis=0)
+            # A region falls into rings around its pivot: a partner is no farther
+            # from the pivot, nor nearer to it, than the ring by more than the
+            # radius, and not nearer to another pivot by more than twice of it.
+            ring = (least / max(self.radius, RING)).astype(int)
             parts = []
-            for j in range(len(pivots)):
-                mine = own[nearest[own] == j]
-                near = every[d[j, every] <= least[every] + 2 * self.radius + 1e-9]
-                if len(mine):
-                    parts.append((mine, near))
+            for j, q in sorted(set(zip(nearest[at_own].tolist(), ring[at_own].tolist()))):
+                mine = own[(nearest[at_own] == j) & (ring[at_own] == q)]
+                of = least[np.searchsorted(both, mine)]
+                far = d[j, at_every]
+                near = every[(far <= least[at_every] + 2 * self.radius + 1e-9) & (far <= of.max() + self.radius + 1e-9)
+                             & (far >= of.min() - self.radius - 1e-9)]
+                parts.append((mine, near))
             if sum(len(a) * len(b) for a, b in parts) < 0.7 * len(own) * len(every):
                 for mine, near in parts:
                     yield from self.links(mine, near)
                 return
-        for i in own:
-            both = self.common_with(int(i))[every]
-            hit = 100 * both >= self.percent * (self.n[i] + self.n[every] - both)
-            yield int(i), every[hit & (every != i)]
+        window = Postings(every, self.start, self.n, self.ids)
+        for i in own.tolist():
+            shared = self._shared(i, window)
+            hit = 100 * shared >= self.percent * (self.n[i] + self.n[every] - shared)
+            yield i, every[hit & (every != i)]
 
 
 def join_units(rows: DataFrame, percent: int) -> DataFrame:

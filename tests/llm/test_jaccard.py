@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from fixtures_llm import no_docs, odd_docs, odd_rows
 
@@ -89,3 +90,26 @@ def test_components(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
+
+
+def test_regions_compare_only_what_their_windows_let_in():
+    rng = random.Random(5)
+    sets = []
+    for f in range(40):  # families that share a little with all others
+        base = rng.sample(range(f * 1000, f * 1000 + 900), 60) + list(range(100_000, 100_006))
+        for _ in range(15):
+            s = set(base)
+            for x in rng.sample(base, rng.randint(0, 5)):
+                s.discard(x)
+                s.add(rng.randrange(200_000, 900_000))
+            sets.append(np.array(sorted(s), np.int64))
+    region = jaccard.Region(sets, 90)
+    every = np.arange(len(sets))
+    own = every[::2]
+    got = {i: set(x.tolist()) for i, x in region.links(own, every)}
+    plain = [frozenset(s.tolist()) for s in sets]
+    for i in own.tolist():
+        assert got[i] == {j for j in every.tolist() if j != i and 100 * len(plain[i] & plain[j]) >= 90 * len(plain[i] | plain[j])}
+    assert region.compared < len(own) * len(every) / 3
+    apart = jaccard.Region(sets, 90)
+    assert {i: set(x.tolist()) for i, x in apart.links(every[:40], every[300:])} == {i: set() for i in range(40)}
