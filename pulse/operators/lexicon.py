@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.draws import pick, uniform
 from pulse.functions.text import words as split_words
+from pulse.operators import augment as au
 from pulse.operators.words import word_counts
 
 SALTS = 8
@@ -51,7 +52,8 @@ def replace_listed(df: DataFrame, text: str, id_col: str, table: DataFrame, p: f
     row = F.col(id_col)
     key = F.md5(F.concat_ws("|", row.cast("string"), F.col(text)))
     ws = split_words(text)
-    drawn = F.filter(_phrases(ws, longest), lambda s: uniform(seed, row, copy, s["pos"], "syn") < F.lit(p))
+    # The words are bound once: an expression inside a lambda runs for each element.
+    drawn = au.let(ws, lambda w: F.filter(_phrases(w, longest), lambda s: uniform(seed, row, copy, s["pos"], "syn") < F.lit(p)))
     spots = df.where(F.col(text).isNotNull()).select(key.alias("_key"), row.alias("_row"), F.explode(drawn).alias("s")).select(
         "_key", "_row", "s.*")
     spots = spots.withColumn("salt", F.pmod(F.xxhash64("_key", "pos"), F.lit(salts)))
@@ -61,18 +63,20 @@ def replace_listed(df: DataFrame, text: str, id_col: str, table: DataFrame, p: f
     chosen = F.element_at("options", pick(F.size("options"), seed, F.col("_row"), copy, F.col("pos"), "syn_pick") + 1)
     hits = spots.join(listed, ["phrase", "salt"]).select(
         "_key", F.struct("pos", (-F.col("n")).alias("shorter"), chosen.alias("choice")).alias("f"))
-    per_row = hits.groupBy("_key").agg(_without_overlaps(F.sort_array(F.collect_set("f"))).alias("_found"))
+    found = F.sort_array(F.collect_set("f"))  # single words cannot overlap
+    per_row = hits.groupBy("_key").agg((found if longest == 1 else _without_overlaps(found)).alias("_found"))
     joined = df.withColumn("_key", key).join(per_row, "_key", "left")
-    # A replaced phrase leaves its choice at its first word and nothing at the others.
-    changes = F.map_from_entries(F.flatten(F.transform("_found", lambda f: F.transform(
-        F.sequence(f["pos"], f["pos"] - f["shorter"] - 1),
-        lambda i: F.struct(i.alias("at"), F.when(i == f["pos"], f["choice"]).alias("word"))))))
-    rebuilt = F.filter(F.transform(ws, lambda w, i: F.when(F.map_contains_key(F.col("_changes"), i), F.element_at("_changes", i))
-                                   .otherwise(w)), lambda w: w.isNotNull())
-    plain = F.array_join(ws, " ")
-    return (joined.withColumn("_changes", changes)
-            .withColumn(out, F.when(F.col("_found").isNull(), plain).otherwise(F.array_join(rebuilt, " ")))
-            .drop("_key", "_found", "_changes"))
+    end = lambda f: f["pos"] - f["shorter"]
+
+    def rebuilt(w, found):
+        """The words between the replacements, and those, in one pass."""
+        def piece(f, i):
+            start = F.when(i == 0, F.lit(0)).otherwise(end(F.element_at(found, i)))
+            return F.concat(F.slice(w, start + 1, f["pos"] - start), F.array(f["choice"]))
+        tail = end(F.element_at(found, -1))
+        return F.concat(F.flatten(F.transform(found, piece)), F.slice(w, tail + 1, F.size(w) - tail))
+    new = au.let(ws, lambda w: F.when(F.col("_found").isNull(), w).otherwise(rebuilt(w, F.col("_found"))))
+    return joined.withColumn(out, F.array_join(new, " ")).drop("_key", "_found")
 
 
 def count_unlisted(df: DataFrame, text: str, stopwords: DataFrame, by: list[str] | None = None, min_len: int = 3) -> DataFrame:
