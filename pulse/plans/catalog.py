@@ -474,14 +474,17 @@ def minute_counts(spark, sf):
     return _minute_counts(wall_clock_events(spark, sf), "ts")
 
 
+def table_stream(spark, sf, name):
+    return sj.table_stream(spark, f"{sf.rstrip('/')}/{name}.parquet", fx.table(spark, sf, name).schema)
+
+
 @query
 def stream_minute_counts(spark, sf):
     """The streaming job end to end: a file stream of events stands in for the
     topic, values are encoded and decoded, counted per minute and class with
     a 10-minute watermark, appended to Parquet with a checkpoint; the query
     drains what is there (availableNow) and the sink is read back."""
-    events_schema = fx.table(spark, sf, "events").schema
-    src = sj.file_stream(spark, sf, events_schema, glob="events.parquet")
+    src = table_stream(spark, sf, "events")
     counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
     out, ck = shared_path(spark, "minute_counts"), shared_path(spark, "minute_counts_ckpt")
     q = sj.stream_to_parquet(counts, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS)
@@ -495,7 +498,7 @@ DAY = 86400
 def texts_stream(spark, sf):
     """A file stream of documents as tagged texts with a time: tweet_content,
     ts (the day that the id gives)."""
-    src = sj.file_stream(spark, sf, fx.table(spark, sf, "documents").schema, glob="documents.parquet")
+    src = table_stream(spark, sf, "documents")
     at = F.timestamp_seconds(F.lit(BASE_TIME).cast("long") + F.col("doc_id") % 10 * DAY)
     tagged = F.concat(F.col("text"), F.lit(" #"), F.upper("source"), F.lit(" #"), F.col("lang"))
     return src.select(tagged.alias("tweet_content"), at.alias("ts"))
@@ -527,7 +530,7 @@ def stream_hashtag_counts(spark, sf):
 @query
 def stream_region_opinion(spark, sf):
     """Opinion by region and day on a stream of events."""
-    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    src = table_stream(spark, sf, "events")
     ev = src.select("user_id", F.col("ts").cast("timestamp").alias("ts"), fx.event_class("event_type").alias("sentiment"))
     o = ms.region_opinion_over_time(ev, fx.region_dimension(spark, sf), "user_id", "sentiment",
                                     ["Positive", "Negative", "Neutral"], "ts", "1 day", "1 hour")
@@ -596,7 +599,7 @@ def stream_corrected_counts(spark, sf):
 @query
 def stream_open_windows(spark, sf):
     """The sink's closed windows and the state's open ones: all minute counts."""
-    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    src = table_stream(spark, sf, "events")
     counts = sj.minute_count_stream(fx.messages(spark, sf, events=src), sj.DEFAULT_WATERMARK)
     out, ck = shared_path(spark, "closed"), shared_path(spark, "closed_ckpt")
     sj.stream_to_parquet(counts, out, ck, {"availableNow": True}, state_partitions=sj.STATE_PARTITIONS).awaitTermination()
@@ -651,7 +654,7 @@ BURST_GAP = "2 hours"
 @query
 def stream_mention_bursts(spark, sf):
     """Runs of mentions of a user on a stream, closed ones only."""
-    src = sj.file_stream(spark, sf, fx.table(spark, sf, "events").schema, glob="events.parquet")
+    src = table_stream(spark, sf, "events")
     bursts = ms.mention_bursts(fx.stream_events(spark, sf, events=src), "ts", "entity", BURST_GAP, 2, sj.DEFAULT_WATERMARK)
     return as_wall_clock(drained(spark, bursts, "bursts"), ["w_start", "w_end"])
 

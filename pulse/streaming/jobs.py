@@ -49,6 +49,14 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at ``path`` as a stream, be it one file or a folder of
+    files. A plain path would have to be a folder, so it is given as a pattern,
+    which matches that one name."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return file_stream(spark, f"{folder}/{{{name}}}", schema)
+
+
 def message_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Files of JSON lines as messages, also below the folders of publications."""
     return spark.readStream.format("text").option("recursiveFileLookup", True).load(folder)

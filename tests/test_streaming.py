@@ -146,3 +146,30 @@ def test_rejects_carry_their_value_and_place(spark):
     assert [(r["raw"], r["topic"], r["partition"], r["offset"]) for r in got] == [("not json", "t", 3, 7)]
     kept = sm.accepted(sm.decode_messages(df))
     assert kept.count() == 1 and "raw" not in kept.columns and "offset" not in kept.columns
+
+
+@pytest.mark.parametrize("name", ["stream_hashtag_counts", "stream_top_words"])
+def test_a_table_of_many_files_is_streamed_whole(spark, tmp_dir, name):
+    """A table may be one file or a folder of files: a stream reads both."""
+    from pulse.plans.catalog import QUERIES
+    docs = spark.createDataFrame([(i, f"tea #one{i % 3} tea milk", "en", "web") for i in range(60)],
+                                 "doc_id long, text string, lang string, source string")
+    docs.repartition(5).write.parquet(os.path.join(tmp_dir, "many", "documents.parquet"))
+    docs.coalesce(1).write.parquet(os.path.join(tmp_dir, "part"))
+    os.makedirs(os.path.join(tmp_dir, "one"))
+    part = next(f for f in os.listdir(os.path.join(tmp_dir, "part")) if f.endswith(".parquet"))
+    os.link(os.path.join(tmp_dir, "part", part), os.path.join(tmp_dir, "one", "documents.parquet"))
+    many, one = ([tuple(r) for r in QUERIES[name](spark, os.path.join(tmp_dir, d)).collect()] for d in ("many", "one"))
+    # Ten days of six texts; the last day and the one before it are not closed.
+    assert sorted(many) == sorted(one) and len({r[0] for r in many}) == 8
+    n = [r[-1] for r in many if r[0].day == 1 and (r[2] == "tea" if name == "stream_top_words" else r[1] == "#web")]
+    assert n == [12 if name == "stream_top_words" else 6]
+
+
+def test_events_of_many_files_are_streamed(spark, tmp_dir):
+    from pulse.plans.catalog import QUERIES
+    os.makedirs(os.path.join(tmp_dir, "one"))
+    os.symlink(os.path.join(SF001, "events.parquet"), os.path.join(tmp_dir, "one", "events.parquet"))
+    fx.table(spark, SF001, "events").repartition(3).write.parquet(os.path.join(tmp_dir, "many", "events.parquet"))
+    many, one = (QUERIES["stream_minute_counts"](spark, os.path.join(tmp_dir, d)).collect() for d in ("many", "one"))
+    assert sorted(map(tuple, many)) == sorted(map(tuple, one)) and many
