@@ -87,19 +87,20 @@ def content_metrics(df: DataFrame) -> DataFrame:
     mean_len, n_distinct, rows, over all rows (NULL read as '').
 
     The shares and lengths are plain means, from one pass without a shuffle of
-    cells; their one row goes to the driver. Different values are counted only
-    in columns short enough to name an entity (others have a NULL): the expansion
-    that exact counts need never carries a text column."""
+    cells; their one row goes to the driver. Different values are counted in
+    every column: the values of columns too long to name an entity by their
+    SHA-256, so that the expansion that exact counts need never carries a text."""
     names = df.columns
     v = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
     means = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, c in enumerate(v) for m in (
         F.avg(c.rlike("^[0-9]+$").cast("double")).alias(f"d{i}"),
         F.avg(F.lower(c).isin(KNOWN_LABELS).cast("double")).alias(f"l{i}"),
         F.avg(F.length(c).cast("double")).alias(f"m{i}"))]).first()
-    short = [i for i in range(len(names)) if (means[f"m{i}"] or 0.0) < ENTITY_MAX_LEN]
-    counts = df.agg(*[F.countDistinct(v[i]).alias(f"u{i}") for i in short]).first().asDict() if short else {}
+    short = [(means[f"m{i}"] or 0.0) < ENTITY_MAX_LEN for i in range(len(names))]
+    counts = df.agg(*[F.countDistinct(c if s else F.unhex(F.sha2(c, 256))).alias(f"u{i}")
+                      for i, (c, s) in enumerate(zip(v, short, strict=True))]).first()
     return df.sparkSession.createDataFrame(
-        [(i, c, means[f"d{i}"], means[f"l{i}"], means[f"m{i}"], counts.get(f"u{i}"), means["rows"]) for i, c in enumerate(names)],
+        [(i, c, means[f"d{i}"], means[f"l{i}"], means[f"m{i}"], counts[f"u{i}"], means["rows"]) for i, c in enumerate(names)],
         "position int, column string, digit_share double, label_share double, mean_len double, n_distinct long, rows long")
 
 

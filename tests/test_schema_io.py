@@ -141,12 +141,21 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_dir):
         spark.conf.set(key, before)
 
 
-def test_content_metrics_count_only_short_columns(spark):
+def test_content_metrics_count_every_column(spark):
     from pulse.operators import schema as sc
     df = spark.createDataFrame([(str(i), f"e{i % 3}", "Positive" if i % 2 else "odd", f"{i} " + "x" * 50) for i in range(30)],
                                "a string, b string, c string, d string")
     got = {r["column"]: r for r in sc.with_roles(sc.content_metrics(df)).collect()}
-    assert [got[c]["n_distinct"] for c in "abcd"] == [30, 3, 2, None]
+    assert [got[c]["n_distinct"] for c in "abcd"] == [30, 3, 2, 30]
     assert [got[c]["role"] for c in "abcd"] == ["Tweet ID", "Entity", "Sentiment", "Tweet content"]
     empty = sc.with_roles(sc.content_metrics(df.limit(0))).collect()
     assert [r["rows"] for r in empty] == [0] * 4 and [r["role"] for r in empty] == ["Tweet content", None, None, None]
+
+
+def test_content_metrics_count_different_long_texts(spark):
+    """Columns of long texts too have a count, with repeats and NULLs (as '') in them."""
+    from pulse.operators import schema as sc
+    texts = [None, "", None] + [f"{i % 7} " + "long " * 40 for i in range(40)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "a string, b string")
+    got = {r["column"]: r for r in sc.content_metrics(df).collect()}
+    assert got["b"]["mean_len"] >= sc.ENTITY_MAX_LEN and (got["a"]["n_distinct"], got["b"]["n_distinct"]) == (43, 8)
