@@ -21,13 +21,21 @@ from pulse.operators.words import word_counts
 SALTS = 8
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """(pos, n, phrase) of every run of 1 to ``longest`` words."""
-    def runs_of(n):
-        return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(
-            i.cast("int").alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("phrase")))
-    none = F.array().cast("array<struct<pos:int,n:int,phrase:string>>")
-    return F.concat(*[F.when(F.size(words) >= n, runs_of(n)).otherwise(none) for n in range(1, longest + 1)])
+def _drawn_phrases(df: DataFrame, text: str, key: Column, row: Column, p: float, seed: int, copy: int, longest: int) -> DataFrame:
+    """(_key, _row, pos, n, phrase) of every run of 1 to ``longest`` words that
+    starts at a drawn position. The words become rows before the draw: an
+    expression inside a lambda is interpreted for each element, on rows it is
+    compiled with the scan."""
+    # Below the explode, so that a text is hashed once and not for each of its words.
+    each = df.where(F.col(text).isNotNull()).select(key.alias("_key"), row.alias("_row"), F.col(text).alias("_text"))
+    ws = split_words("_text")
+    held = each.select("_key", "_row", *([ws.alias("_words")] if longest > 1 else []), F.posexplode(ws).alias("pos", "_word"))
+    drawn = held.where(uniform(seed, F.col("_row"), copy, F.col("pos"), "syn") < F.lit(p))
+    if longest == 1:
+        return drawn.select("_key", "_row", "pos", F.lit(1).alias("n"), F.col("_word").alias("phrase"))
+    runs = F.array(*[F.when(F.col("pos") + n <= F.size("_words"), F.struct(
+        F.lit(n).alias("n"), F.array_join(F.slice("_words", F.col("pos") + 1, F.lit(n)), " ").alias("phrase"))) for n in range(1, longest + 1)])
+    return drawn.select("_key", "_row", "pos", F.explode(runs).alias("r")).where("r IS NOT NULL").select("_key", "_row", "pos", "r.*")
 
 
 def _without_overlaps(found: Column) -> Column:
@@ -52,10 +60,7 @@ def replace_listed(df: DataFrame, text: str, id_col: str, table: DataFrame, p: f
     row = F.col(id_col)
     key = F.md5(F.concat_ws("|", row.cast("string"), F.col(text)))
     ws = split_words(text)
-    # The words are bound once: an expression inside a lambda runs for each element.
-    drawn = au.let(ws, lambda w: F.filter(_phrases(w, longest), lambda s: uniform(seed, row, copy, s["pos"], "syn") < F.lit(p)))
-    spots = df.where(F.col(text).isNotNull()).select(key.alias("_key"), row.alias("_row"), F.explode(drawn).alias("s")).select(
-        "_key", "_row", "s.*")
+    spots = _drawn_phrases(df, text, key, row, p, seed, copy, longest)
     spots = spots.withColumn("salt", F.pmod(F.xxhash64("_key", "pos"), F.lit(salts)))
     listed = (table.where(F.col("phrase").isNotNull()).select("phrase", F.explode("options").alias("o")).where(F.col("o").isNotNull())
               .groupBy("phrase").agg(F.sort_array(F.collect_set("o")).alias("options"))
@@ -65,6 +70,7 @@ def replace_listed(df: DataFrame, text: str, id_col: str, table: DataFrame, p: f
         "_key", F.struct("pos", (-F.col("n")).alias("shorter"), chosen.alias("choice")).alias("f"))
     found = F.sort_array(F.collect_set("f"))  # single words cannot overlap
     per_row = hits.groupBy("_key").agg((found if longest == 1 else _without_overlaps(found)).alias("_found"))
+    # The words are bound once: an expression inside a lambda runs for each element.
     joined = df.withColumn("_key", key).join(per_row, "_key", "left")
     end = lambda f: f["pos"] - f["shorter"]
 

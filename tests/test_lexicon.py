@@ -58,3 +58,13 @@ def test_stopword_table_equals_the_list(spark):
     want = wd.drop_stopwords(wd.exploded_words(df, "tweet_content")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     got = lx.count_unlisted(df, "tweet_content", listed)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 0
+
+
+def test_a_text_is_hashed_once_and_not_per_word(spark):
+    """The key of a text stands below the step that makes its words rows."""
+    df = spark.createDataFrame([(1, "the cat of the house")], "id long, t string")
+    out = lx.replace_listed(df, "t", "id", table(spark, MAPPING), 1.0, 5)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    words = next(i for i, x in enumerate(lines) if "Generate" in x and "explode" in x and "options" not in x)
+    assert next(i for i, x in enumerate(lines) if "AS _row" in x) > words
+    assert out.first()["augmented"].split()[::3] in ([w, x] for w in MAPPING["the"] for x in MAPPING["the"])
