@@ -60,6 +60,39 @@ def test_near_texts_equal_brute_force(spark, share):
     assert got == brute(rows, share)
 
 
+@pytest.mark.parametrize("many", [0, 10, 2000])
+def test_both_ways_of_pairing_find_the_same(spark, many):
+    """Ids with many texts go by q-grams, the others are compared in a task."""
+    rows = [(i, t) for i, t in made() if i is not None and t is not None]
+    texts = nr.distinct_texts(spark.createDataFrame(rows, "i long, t string"), "i", "t").cache()
+    name = {(r["id"], r["key"]): r["text"] for r in texts.collect()}
+    got = sorted((r["id"], *sorted((name[r["id"], r["a"]], name[r["id"], r["b"]])), r["distance"])
+                 for r in nr.near_pairs(texts, 0.25, many=many).collect())
+    by = {i: sorted({t for k, t in rows if k == i}) for i, _ in rows}
+    want = [(i, t, u, distance(t, u)) for i, some in by.items() for t in some for u in some
+            if t < u and distance(t, u) <= math.floor(0.25 * max(len(t), len(u)) + 1e-9)]
+    assert got == sorted(want) and want
+
+
+def test_letters_leave_few_pairs():
+    """Pairs of one length that differ are told apart by their letters, before any edit distance."""
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzü") for _ in range(rng.randint(2, 9))) for _ in range(150)]
+    words = [" ".join(rng.choice(known) for _ in range(80))[:200] for _ in range(60)]
+    near = [t[:50] + "q" + t[51:120] + t[121:] for t in words[:6]]
+    left = {(i, j) for i, j, _ in nr.possible([nr._points(t) for t in words + near], 0.1)}
+    assert {(k, 60 + k) for k in range(6)} <= left and len(left) < 66 * 65 / 2 / 20
+    assert list(nr.possible([], 0.1)) == []
+
+
+def test_edits_equal_the_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé😀"[:rng.randint(1, 4)]) for _ in range(rng.choice([0, 1, 5, 30, 90]))) for _ in range(2))
+        b = rng.choice([b, a[:len(a) // 2] + b[:3] + a[len(a) // 2:]])
+        assert nr.edits(nr._points(a), nr._points(b)) == distance(a, b)
+
+
 def test_candidates_are_few(spark):
     rng = random.Random(8)
     rows = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(80))) for _ in range(200)]
