@@ -32,6 +32,31 @@ def test_without_repeats_keeps_columns_and_characters(spark):
     assert suffix.report(no_docs(spark)).count() == 0 and suffix.without_repeats(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_frequent_strings_are_no_window_group(spark, monkeypatch, sent):
+    # One passage in all rows, with other ends: above the limit, its strings
+    # are parted, and its windows compared one by one.
+    passage = "".join(f"{i:04d} " for i in range(100))
+    rows = [(i, f"{i} " * (i % 7) + passage + f" {i}" * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plans, cut = [], suffix.common.cut
+    if not sent:  # too many units to send: adaptive execution must part none
+        monkeypatch.setattr(suffix.common, "sent_whole", lambda df: df)
+        docs = docs.union(spark.createDataFrame([(100 + i, f"{i} " * i + passage[i:] + passage[:i]) for i in range(40)], docs.schema))
+        rows += [(100 + i, f"{i} " * i + passage[i:] + passage[:i]) for i in range(40)]
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(suffix.common, "cut", kept)
+    out = suffix.report(docs, limit=5)
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    want = [(i, len(t), sum(e - s for s, e in x), len(x)) for (i, t), x in zip(rows, suffix.brute([t.encode() for _, t in rows]))]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == want
+    assert len(plans) > 4 and not any("Window" in p for p in plans)
+
+
 def test_anchors_of_equal_windows_agree_and_slices_lose_none(monkeypatch):
     rng = random.Random(4)
     body = bytes(rng.choice(b"abc ") for _ in range(3000))
