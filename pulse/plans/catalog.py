@@ -395,8 +395,8 @@ def clustered_lookup(spark, sf):
     path = shared_path(spark, "clustered")
     ev = fx.table(spark, sf, "events").select("event_id", "ts", "event_type", F.md5(F.col("event_id").cast("string")).alias("hash"))
     io.write_clustered(ev, path, "ts", ["hash"], files=8, distinct=100_000)
-    wanted = [r[0] for r in ev.where("event_id % 5000 = 0").select("hash").limit(100).collect()]
-    return as_wall_clock(io.read_parquet(spark, path).where(F.col("hash").isin(wanted)), ["ts"])
+    wanted = materialize(ev.where("event_id % 5000 = 0").select("hash").distinct(), "wanted")
+    return as_wall_clock(io.lookup(io.read_parquet(spark, path), "hash", wanted), ["ts"])
 
 
 @query

@@ -3,11 +3,14 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from pulse.operators import rollup as ru
+from pulse.plans.catalog import QUERIES
+from pulse.plans.oracle import ORACLE
 from pulse.sources import files as io
 from pulse.sources import fixtures as fx
 from pulse.streaming import contracts as ct
@@ -113,3 +116,35 @@ def test_lookups_skip_row_groups(spark, tmp_dir):
     assert scanned(spark.read.parquet(clustered).where("id between 1000 and 1010")) <= n / 4
     missing = spark.read.parquet(clustered).where(F.col("hash") == "no such hash")
     assert scanned(missing) <= n / 4 and missing.count() == 0
+
+
+def test_lookup_has_the_same_rows_in_the_scan_and_joined(spark, tmp_dir):
+    n, clustered, ids = 200_000, os.path.join(tmp_dir, "clustered"), os.path.join(tmp_dir, "wanted")
+    df = spark.range(n).select("id", F.when(F.col("id") % 10 != 3, F.md5((F.col("id") - F.col("id") % 2).cast("string"))).alias("hash"))
+    io.write_clustered(df, clustered, "id", ["hash"], files=8, distinct=30_000)
+    some = df.where("id in (123456, 123457, 123459, 123463)").select("hash").distinct()  # two hashes of two rows, and NULL
+    io.write_parquet(some.unionByName(spark.createDataFrame([("no such hash",)], "hash string")), ids)
+    read, wanted = io.read_parquet(spark, clustered), io.read_parquet(spark, ids)
+    in_scan, joined, none = io.lookup(read, "hash", wanted), io.lookup(read, "hash", wanted, in_scan=2), io.lookup(read, "hash", wanted.limit(0))
+    assert "Join" not in in_scan._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert scanned(in_scan) <= n / 4 and none.count() == 0
+    want = sorted(map(tuple, df.join(some, "hash", "left_semi").select("id", "hash").collect()))
+    assert len(want) == 4 and in_scan.columns == joined.columns == ["id", "hash"]
+    assert sorted(map(tuple, in_scan.collect())) == sorted(map(tuple, joined.collect())) == want
+
+
+@pytest.mark.parametrize("n", [600, 3000])
+def test_clustered_lookup_finds_every_wanted_event(spark, tmp_dir, n):
+    """Every second event is wanted: some hundreds, and more than a scan's filter
+    holds. Some come twice, and some have no id."""
+    i = F.col("id")
+    ev = spark.range(n).select((i * 2500).alias("event_id"), F.timestamp_seconds(i * 60 + 1704067200).cast("timestamp_ntz").alias("ts"),
+                               F.concat(F.lit("t"), i % 3).alias("event_type"))
+    ev = ev.unionByName(ev.where("event_id % 35000 = 0")).unionByName(ev.limit(20).withColumn("event_id", F.lit(None).cast("long")))
+    io.write_parquet(ev, os.path.join(tmp_dir, "events.parquet"))
+    got = QUERIES["clustered_lookup"](spark, tmp_dir)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_dir}/events.parquet/*.parquet')")
+    want = con.execute(ORACLE["clustered_lookup"]).fetchall()
+    assert len(want) > n / 2 and sorted(map(tuple, got.collect())) == sorted(want)
